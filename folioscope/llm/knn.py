@@ -108,12 +108,12 @@ def _valid(df: DataFrame, key: str, vector: str, model: str, dims: str) -> DataF
 
 def _surplus(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
     """Of vectors that many keys share, the k + 1 smallest keys stand for all in the search. (the other keys, their k answers)."""
-    light = rows.select("key", "id", "kind", F.xxhash64("v").alias("h")).dropDuplicates(["key"])
-    crowd = light.groupBy("kind", "h").agg(F.count("*").alias("c")).filter(F.col("c") > k + 1)
+    light = rows.select("key", "id", "kind", F.xxhash64("v").alias("h"))
+    crowd = light.select("id", "kind", "h").distinct().groupBy("kind", "h").agg(F.count("*").alias("c")).filter(F.col("c") > k + 1)
     crowd = materialize(crowd)
     if crowd.isEmpty():
         return None
-    many = light.join(crowd.select("kind", "h"), ["kind", "h"]).withColumn("salt", F.pmod("id", F.lit(SALTS)))
+    many = light.dropDuplicates(["key"]).join(crowd.select("kind", "h"), ["kind", "h"]).withColumn("salt", F.pmod("id", F.lit(SALTS)))
     first = many.withColumn("r", F.row_number().over(Window.partitionBy("kind", "h", "salt").orderBy("key"))).filter(F.col("r") <= k + 1)
     first = first.withColumn("r", F.row_number().over(Window.partitionBy("kind", "h").orderBy("key"))).filter(F.col("r") <= k + 1)
     first = materialize(first.select("kind", "h", "key", "id", "r"))
@@ -122,8 +122,9 @@ def _surplus(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
     return rest, answers.select("a", "b")
 
 
-def nearest(df: DataFrame, key: str, vector: str, model: str, dims: str, k: int = 5, tables: int = 4, probes: int = 3, width: float = 2.0, seed: int = 7) -> DataFrame:
-    """(key_a, key_b): key_b is among the k most similar to key_a by cosine, of the same model and dims.
+def nearest(df: DataFrame, key: str, vector: str, model: str, dims: str, k: int = 5, tables: int = 4, probes: int = 3, width: float = 2.0, seed: int = 7, either: bool = False) -> DataFrame:
+    """(key_a, key_b): key_b is among the k most similar to key_a by cosine, of the same model and dims. With `either`:
+    key_a < key_b, once, where either is among the k most similar to the other.
 
     Left out: null keys, null models, and vectors that are null, of another length than dims, not finite, or zero. A
     repeated key counts once. Equal cosines go to the smaller key. Fewer than k others: all of them. Kinds of up to
@@ -250,18 +251,21 @@ def nearest(df: DataFrame, key: str, vector: str, model: str, dims: str, k: int
     routed = slim.mapInArrow(visit, "cell long, side byte, id long, step double, x binary").repartition("cell").sortWithinPartitions("cell")
     lists = routed.mapInArrow(meet, "a long, b array<long>, s array<float>")
     found = materialize(lists.repartition("a").sortWithinPartitions("a").mapInArrow(merge, "a long, b long, left int"))
-    names = core.select("id", "key").dropDuplicates(["key"])
-    named = found.join(names.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(names.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")
-    sure = named.filter(F.col("left") == 0).select("ka", "kb")
-    doubt = materialize(named.filter(F.col("left") > 0).select("ka", "kb", "left"))
+    links = found.filter("left = 0").select("a", "b")
+    doubt = found.filter("left > 0")
     if not doubt.isEmpty():
-        wanted = materialize(doubt.select(F.col("ka").alias("key")).union(doubt.select("kb")).distinct())
-        exact = materialize(core.select("key", F.transform("v", lambda x: x.cast("double")).alias("v")).join(wanted, "key", "left_semi").dropDuplicates(["key"]))
-        both = doubt.join(exact.select(F.col("key").alias("ka"), F.col("v").alias("va")), "ka").join(exact.select(F.col("key").alias("kb"), F.col("v").alias("vb")), "kb")
+        wanted = materialize(doubt.select(F.col("a").alias("id")).union(doubt.select("b")).distinct())
+        exact = materialize(core.select("id", "key", F.transform("v", lambda x: x.cast("double")).alias("v")).join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+        both = doubt.join(exact.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(exact.select(F.col("id").alias("b"), "key", F.col("v").alias("vb")), "b")
         dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
         both = both.withColumn("c", dot("va", "vb") / F.sqrt(dot("va", "va")) / F.sqrt(dot("vb", "vb")))
-        place = F.row_number().over(Window.partitionBy("ka").orderBy(F.desc("c"), "kb"))
-        sure = sure.union(both.withColumn("r", place).filter("r <= left").select("ka", "kb"))
+        place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "key"))
+        links = links.union(both.withColumn("r", place).filter("r <= left").select("a", "b"))
+    if either:
+        links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    names = core.select("id", "key").repartition("id").dropDuplicates(["id", "key"])
+    named = links.join(names.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(names.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b").select("ka", "kb")
     if surplus:
-        sure = sure.union(surplus[1])
-    return sure.select(F.col("ka").alias("key_a"), F.col("kb").alias("key_b"))
+        named = named.union(surplus[1])
+    first, second = (F.least("ka", "kb"), F.greatest("ka", "kb")) if either else (F.col("ka"), F.col("kb"))
+    return named.select(first.alias("key_a"), second.alias("key_b"))

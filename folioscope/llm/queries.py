@@ -47,14 +47,17 @@ def p3_groups(spark: SparkSession, base: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, base, "chunk_rows").select("chunk_id", "text"), "chunk_id", "text", t=0.6, words=3, least=20).withColumnRenamed("id", "chunk_id")
 
 
+def _vectors(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "chunk_rows").select("chunk_id", "vector", "embedding_model", "embedding_dims")
+
+
 def p5_neighbours(spark: SparkSession, base: str) -> DataFrame:
-    rows = table(spark, base, "chunk_rows").select("chunk_id", "vector", "embedding_model", "embedding_dims")
-    return knn.nearest(rows, "chunk_id", "vector", "embedding_model", "embedding_dims", k=5)
+    return knn.nearest(_vectors(spark, base), "chunk_id", "vector", "embedding_model", "embedding_dims", k=5)
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
-    found = p5_neighbours(spark, base)
-    return found.select(F.least("key_a", "key_b").alias("chunk_id_a"), F.greatest("key_a", "key_b").alias("chunk_id_b")).distinct()
+    found = knn.nearest(_vectors(spark, base), "chunk_id", "vector", "embedding_model", "embedding_dims", k=5, either=True)
+    return found.withColumnsRenamed({"key_a": "chunk_id_a", "key_b": "chunk_id_b"})
 
 
 def p6_containers(spark: SparkSession, base: str) -> DataFrame:
