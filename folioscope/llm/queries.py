@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import cooccur, knn, mixing, neardup, packing, split
+from folioscope.llm import cooccur, knn, markup, mixing, neardup, packing, quality, split
 from folioscope.llm.tokens import folded, token_count
 from folioscope.session import table
 
@@ -23,6 +23,16 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return split.split_oversized(rows).filter("n_pieces > 1").select("chunk_id").distinct()
 
 
+def p2_clean(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "chunk_rows").select("chunk_id", "text", "source_domain")
+    return markup.clean_markup(rows).dropDuplicates(["chunk_id", "clean_text"])
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "chunk_rows").select("chunk_id", "text", "source_domain")
+    return markup.clean_markup(rows).filter("n_html + n_markdown + n_wiki + n_latex > 0").select("chunk_id").distinct()
+
+
 def _pairs_of_entities(spark: SparkSession, base: str) -> DataFrame:
     chunks = table(spark, base, "chunk_rows").select("chunk_id").distinct()
     mentions = table(spark, base, "mention_rows").select("chunk_id", folded("entity_id").alias("entity")).filter("entity <> ''").distinct()
@@ -88,8 +98,16 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return p7_shares(spark, base).filter("falls_short").select("source")
 
 
+def p8_quality(spark: SparkSession, base: str) -> DataFrame:
+    return quality.text_quality(table(spark, base, "documents").select("doc_id", "text"), table(spark, base, "common_words"))
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return p8_quality(spark, base).filter("kind <> 'prose'").select("doc_id", "kind")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_groups, p4_found, p4_pairs, p5_found, p5_neighbours, p6_found, p6_containers, p7_found, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_clean, p3_found, p3_groups, p4_found, p4_pairs, p5_found, p5_neighbours, p6_found, p6_containers, p7_found, p7_mix, p7_shares, p8_found, p8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
