@@ -15,7 +15,7 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def chunk_files(files: DataFrame, root: str, size: int = 256, overlap: int = 50) -> DataFrame:
-    rel = F.regexp_replace("path", F.lit(f"^.*{root.rstrip('/')}/"), F.lit(""))
+    rel = F.regexp_replace("path", F.lit(rf"^.*\Q{root.rstrip(chr(47))}/\E"), F.lit(""))
     docs = files.withColumn("source_rel_path", rel).filter(X.source_type("source_rel_path").isin("markdown", "docling_md")).select("source_rel_path", F.decode("content", "UTF-8").alias("text"))
     rows = C.window_chunks(docs, "source_rel_path", "text", size, overlap).withColumn("chunk_hash", ids.content_id("chunk_text"))
     rows = C.with_occurrence(rows, "source_rel_path", "chunk_hash", "chunk_index")
