@@ -187,7 +187,7 @@ def nearest(df: DataFrame, key: str, vector: str, model: str, dims: str, k: int
                     yield pa.RecordBatch.from_arrays([pa.array(where[s : s + 20_000].view(np.int64)), pa.array(side[s : s + 20_000], pa.int8()), pa.array(ids[at]).take(w), pa.array(step).take(w), data.take(w)], ["cell", "side", "id", "step", "x"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = k + 3
+        keep = 2 * k + 2
         for side, ids, step, x in groups(batches, "cell", ["side", "id", "step", "x"]):
             _, first = np.unique(ids, return_index=True)
             n = len(first)
@@ -206,9 +206,15 @@ def nearest(df: DataFrame, key: str, vector: str, model: str, dims: str, k: int
                     value = np.take_along_axis(near, best, 1)
                     fifth = np.partition(value, max(0, take - k), 1)[:, max(0, take - k)]
                     ok = (value >= fifth[:, None] - DOUBT) & (value > -5)
-                    c = ok.sum(1)
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(c)]), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.ListArray.from_arrays(offsets, pa.array(ids[cols[best[ok]]])), pa.ListArray.from_arrays(offsets, pa.array(value[ok]))], ["a", "b", "s"])
+                    full = ok.all(1) & (near.shape[1] > take)  # more may be as near: take them all
+                    ok[full] = False
+                    at, which = np.nonzero(ok)
+                    more, other_ = np.nonzero(near[full] >= fifth[full, None] - DOUBT)
+                    row, col = np.concatenate([at, np.flatnonzero(full)[more]]), np.concatenate([best[at, which], other_])
+                    order = np.argsort(row, kind="stable")
+                    row, col = row[order], col[order]
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(r)))]), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.ListArray.from_arrays(offsets, pa.array(ids[cols[col]])), pa.ListArray.from_arrays(offsets, pa.array(near[row, col]))], ["a", "b", "s"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None

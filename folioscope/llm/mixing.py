@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.llm.tokens import folded, token_count
+from folioscope.session import materialize
 
 #: Hash bins a source is cut into, by which the fractional repetition is drawn.
 BINS = 4096
@@ -94,6 +95,6 @@ def report(chosen: DataFrame, shares: list[Share]) -> DataFrame:
         "source string, target_share double, tokens long, capacity long, epochs double, clamped boolean, falls_short boolean",
     )
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"), F.count("*").alias("mixed_documents"))
-    both = plan.join(got, "source", "left").fillna(0, ["mixed_tokens", "mixed_documents"])
-    total = both.agg(F.sum("mixed_tokens").alias("__total"))  # one row
-    return both.crossJoin(F.broadcast(total)).withColumn("reached_share", F.when(F.col("__total") > 0, F.col("mixed_tokens") / F.col("__total")).otherwise(0.0)).drop("__total")
+    both = materialize(plan.join(got, "source", "left").fillna(0, ["mixed_tokens", "mixed_documents"]))  # a row per target
+    total = both.agg(F.sum("mixed_tokens")).first()[0] or 0
+    return both.withColumn("reached_share", F.col("mixed_tokens") / float(total) if total else F.lit(0.0))

@@ -1,7 +1,8 @@
 """Filling fixed-capacity containers by pattern packing (problem 6).
 
 Sizes are put into classes of `grain` tokens. All patterns of few classes that exactly fill a container are enumerated;
-non-negative least squares fits how often each is used to the histogram of classes over all documents. The documents
+non-negative least squares fits how often each is used to the histogram of classes over all documents. Classes up to
+`filler` stay out of the patterns: rounding sizes up to classes leaves gaps, which small items fill later. The documents
 are hashed into blocks of bounded size; each block uses its share of every pattern, rounded down, and what is left is
 packed best-fit, largest first, into the space that remains in open containers or into new ones.
 """
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 50_000
 
 
-def patterns(units: int, parts: int) -> np.ndarray:
-    """Every multiset of at most `parts` classes 1..units that adds up to `units`, as columns of multiplicities."""
+def patterns(units: int, parts: int, smallest: int = 1) -> np.ndarray:
+    """Every multiset of at most `parts` classes smallest..units that adds up to `units`, as columns of multiplicities."""
     found: list[list[int]] = []
 
     def grow(left: int, largest: int, chosen: list[int]) -> None:
@@ -27,7 +28,7 @@ def patterns(units: int, parts: int) -> np.ndarray:
             found.append(chosen)
         elif len(chosen) < parts:
             room = parts - len(chosen)
-            for c in range(min(left, largest), (left - 1) // room, -1):
+            for c in range(min(left, largest), max(smallest - 1, (left - 1) // room), -1):
                 grow(left - c, c, [*chosen, c])
 
     grow(units, units, [])
@@ -104,7 +105,7 @@ def pack_block(sizes: np.ndarray, capacity: int, grain: int, columns: list[tuple
     return where
 
 
-def pack(df: DataFrame, key: str = "doc_id", size: str = "tokens", capacity: int = 1024, grain: int = 32, parts: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pack(df: DataFrame, key: str = "doc_id", size: str = "tokens", capacity: int = 1024, grain: int = 16, parts: int = 6, filler: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per piece: key, container_id, piece_index, n_pieces, piece_tokens, token_offset.
 
     Only an item larger than the capacity is divided: into full pieces, each a container of its own, and a rest that is
@@ -121,8 +122,8 @@ def pack(df: DataFrame, key: str = "doc_id", size: str = "tokens", capacity: int
     for r in histogram:
         if r["__rest"] > 0:
             counts[-(-r["__rest"] // grain)] += r.c
-    a = patterns(capacity // grain, parts)
-    fitted = nnls(a[1:], counts[1:])
+    a = patterns(capacity // grain, parts, filler + 1)
+    fitted = nnls(a[filler + 1 :], counts[filler + 1 :])
     blocks = max(1, -(-total // block_rows))
     used = sorted(((tuple(int(c) for c in np.repeat(np.arange(len(a)), a[:, j].astype(int)))[::-1], fitted[j] / blocks) for j in np.flatnonzero(fitted >= blocks)), key=lambda x: (-x[1], x[0]))
     columns = [(chosen, int(repeats)) for chosen, repeats in used]
