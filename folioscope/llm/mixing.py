@@ -71,8 +71,8 @@ def mix(docs: DataFrame, shares: list[Share], key: str = "doc_id", seed: int = 4
     """Chosen documents with `repeats` >= 1: key, source, tokens, repeats.
 
     Every document of a source is taken floor(epochs) times. The fraction left is drawn by a seeded hash of the key in
-    BINS bins: bins are taken in order while their tokens fit into the fraction, so the reached size misses the wanted
-    one by less than a bin, whatever the number of documents. Rows with the same key are drawn together. A source
+    BINS bins: bins are taken in order while more than half of their tokens fits into the fraction, so the reached size misses
+    the wanted one by at most half a bin, whatever the number of documents. Rows with the same key are drawn together. A source
     without documents adds nothing; empty documents give an empty mix.
     """
     spark = docs.sparkSession
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, shares: list[Share], key: str = "doc_id", seed: int = 4
     bins = rows.groupBy("source", "__bin").agg(F.sum("tokens").alias("__t"))  # at most BINS rows a source
     upto = Window.partitionBy("source").orderBy("__bin")
     drawn = bins.join(F.broadcast(plan), "source").withColumn("__upto", F.sum("__t").over(upto))
-    drawn = drawn.filter(F.col("__upto") <= F.col("rest")).groupBy("source").agg(F.max("__bin").alias("__last"))
+    drawn = drawn.filter(F.col("__upto") - F.col("__t") / 2 <= F.col("rest")).filter("rest > 0").groupBy("source").agg(F.max("__bin").alias("__last"))
     cut = plan.join(drawn, "source", "left").select("source", "whole", F.coalesce("__last", F.lit(-1)).alias("__last"))  # a row per target
     chosen = rows.join(F.broadcast(cut), "source").withColumn("repeats", F.col("whole") + (F.col("__bin") <= F.col("__last")).cast("int"))
     return chosen.filter("repeats > 0").select(key, "source", "tokens", "repeats")
