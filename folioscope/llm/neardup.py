@@ -100,8 +100,10 @@ def least_overlap(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
 
 
 def least_meetings(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
-    """Fewest meetings of texts of these sizes that are similar: the overlap less all that lies beyond the routed part."""
-    return np.maximum(1, least_overlap(a, b, t) - np.minimum(np.ceil(t * a - 1e-9), np.ceil(t * b - 1e-9)) + 1).astype(np.int32)
+    """Fewest meetings of texts of these sizes that are similar: the overlap less all that lies beyond the routed part.
+
+    Shared shingles that don't meet all lie behind the routed part that ends first, and that may be either text's."""
+    return np.maximum(1, least_overlap(a, b, t) - np.maximum(np.ceil(t * a - 1e-9), np.ceil(t * b - 1e-9)) + 1).astype(np.int32)
 
 
 class Tree:

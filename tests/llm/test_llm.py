@@ -119,6 +119,19 @@ def test_pairs_equal_brute_force(spark, monkeypatch, t, words, block, leaf):
         assert n == sum(k in p for p in want)
 
 
+def test_long_texts_of_unequal_size_equal_brute_force(spark):
+    rng, texts = random.Random(9), []
+    own = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n)]
+    for i in range(4):
+        base = prose(rng, 650).split()
+        at = rng.randrange(100, 500)
+        texts += [(f"{i}-{k}", " ".join(x)) for k, x in enumerate([base, base + own(195), own(195) + base, base[:at] + own(195) + base[at:], base + own(390)])]
+    df = spark.createDataFrame(texts, "chunk_id string, text string")
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(df, "chunk_id", "text", 0.6, 3, 20).collect()}
+    want = brute_pairs(texts, 0.6, 3, 20)
+    assert {("0-0", "0-1"), ("0-0", "0-4")} <= want and got == want
+
+
 def test_no_text_no_pair(spark):
     df = spark.createDataFrame([(None, None)], "chunk_id string, text string")
     assert neardup.near_duplicate_pairs(df, "chunk_id", "text").count() == 0
