@@ -146,8 +146,11 @@ def html_text(text: str, winners: frozenset[str] | None) -> str:
         boxes = containers(text)
         if any(path in winners for path, *_ in boxes):
             dropped = [(s, e) for path, s, e, _, linked in boxes if (linked > 0.5 or path.rsplit("/", 1)[-1].split(".")[0] in FURNITURE) and not any(path == w or path.startswith(w + "/") or w.startswith(path + "/") for w in winners)]
-            for s, e in sorted(dropped, reverse=True):
-                text = text[:s] + text[e:]
+            kept, at = [], 0
+            for s, e in sorted(dropped):  # boxes may be nested: each cut is made once
+                kept.append(text[at : max(at, s)])
+                at = max(at, e)
+            text = "".join(kept) + text[at:]
     text = re.sub(r"<(script|style)\b[^<>]*>.*?</\1\s*>", " ", text, flags=re.S | re.I)
     text = COMMENT.sub("", text)
     text = re.sub(r"<(pre|syntaxhighlight)\b[^<>]*>\s*(?:<code[^<>]*>)?\n?(.*?)\n?(?:</code>\s*)?</\1\s*>", lambda m: f"\n```\n{m.group(2)}\n```\n", text, flags=re.S | re.I)

@@ -78,6 +78,12 @@ def test_host_votes_drop_furniture(spark):
     assert markup.clean_markup(rows.limit(0)).count() == 0
 
 
+def test_nested_furniture_is_cut_once():
+    page = "<nav><ul><li><a href='/a'>first of the links</a></li><li><a href='/b'>second of the links</a></li></ul></nav><div class='body'>Long text, with parts. And more of it, here.</div><aside><ul><li><a href='/c'>third</a></li></ul></aside>The end."
+    got = markup.clean(page, frozenset({"div.body"}))[0]
+    assert got.split() == "Long text, with parts. And more of it, here. The end.".split()
+
+
 # --- near duplicates ---
 
 
