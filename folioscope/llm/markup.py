@@ -1,9 +1,9 @@
 """Markup residue in texts: HTML, Markdown, wiki and LaTeX become clean text that keeps its structure (problem 2).
 
-HTML goes by consensus host paths. A first pass scores every container of a page (its text, less what stands in links)
+HTML goes by consensus host paths. A first pass scores every container of a page (its own text, less what stands in links)
 and keeps the page's best generalised path: the tags and classes from the root, without digits. Spark adds up the votes
 per host; the second pass extracts each page again, by the paths that won at its host: containers that carry mostly links
-and lie outside the winning paths are page furniture and go, the rest stays. Wiki, Markdown and LaTeX constructs are then rewritten.
+and lie outside the winning paths, or in one that frames the whole page, are page furniture and go, the rest stays. Wiki, Markdown and LaTeX constructs are then rewritten.
 The output marks structure the same way for all languages: "# " headings, "- " items, " | " between cells, fenced code, $formulas$.
 """
 
@@ -23,11 +23,13 @@ from folioscope.session import BROADCAST_ROWS, materialize
 TAGS = "a abbr address article aside audio b blockquote body br button caption center cite code col colgroup dd del details div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark math meta nav nowiki object ol option p pre q ref s samp script section select small source span strike strong style sub summary sup svg syntaxhighlight table tbody td textarea tfoot th thead title tr tt u ul var video gallery includeonly noinclude onlyinclude references wbr"
 CONTAINERS = frozenset("article aside blockquote body center div dl footer form header html main nav ol p section table td ul".split())
 FURNITURE = frozenset("nav footer aside form script style head iframe button select".split())
+FLOW = frozenset("blockquote dl ol p table td ul".split())
 VOID = frozenset("br hr img input link meta source wbr col".split())
 NAMES = "|".join(sorted(TAGS.split(), key=len, reverse=True))
 TAG = re.compile(rf"<(/?)({NAMES})(?=[\s/>])((?:\s+[^<>]*?)?)\s*(/?)>", re.I)
 CUT_TAG = re.compile(rf"</?(?:{NAMES})(?:\s+[\w:-]+\s*=\s*(?:\"[^\"<>]*\"?|'[^'<>]*'?|[^\s<>\"']+))+\s*/?\s*(?=$|\n)|</(?:{NAMES})(?=\s*$)", re.I)
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^<>]*>|<\?xml[^<>]*\?>|<!\[CDATA\[.*?\]\]>", re.S | re.I)
+UNSEEN = re.compile(r"<(script|style|head)\b[^<>]*>.*?</\1\s*>|" + COMMENT.pattern, re.S | re.I)
 ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 CLASS = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+))""", re.I)
 MAYBE = re.compile(r"[<&\\\[`*_~$|]|^[ ]{0,3}(?:#{1,6}|>|=|-{2}|\{|!|:|;)|''|\{\{|\}\}|==", re.M)
@@ -99,20 +101,38 @@ def generalised(name: str, attributes: str) -> str:
     return f"{name}.{mark}" if mark else name
 
 
-def containers(text: str) -> list[tuple[str, int, int, float, float]]:
-    """(path, start, end, score, share of text in links) of each container of a page. Unclosed ones end with the page."""
+def containers(text: str) -> list[tuple[str, int, int, float, float, bool]]:
+    """(path, start, end, score, share of text in links, is a frame) of each container of a page. Unclosed ones end with the page.
+
+    Text counts for the innermost container around it, that of paragraphs, lists and tables for the one they stand in; so a
+    wrapper scores only for what it holds itself. A frame has no text of the page outside; html and body always are frames."""
+    page = UNSEEN.sub(lambda m: " " * len(m.group(0)), text)
     found, stack, paths = [], [], []
     spans: list[list] = []
     links: list[tuple[int, int]] = []
-    anchor = None
-    for m in TAG.finditer(text):
+    open_link: list[tuple[list, int]] = []
+    anchor, last = None, 0
+
+    def own(end: int) -> None:
+        if spans and (piece := page[last:end]).strip():
+            owner = next((s for s in reversed(spans) if s[3] not in FLOW), spans[0])
+            owner[4].append(piece)
+            if anchor is not None:
+                open_link.append((owner[4], len(owner[4]) - 1))
+
+    for m in TAG.finditer(page):
+        own(m.start())
+        last = m.end()
         closing, name, attributes, single = m.group(1), m.group(2).lower(), m.group(3), m.group(4)
         if name == "a":
             if not closing:
                 anchor = m.end()
+                open_link.clear()
             elif anchor is not None:
                 links.append((anchor, m.start()))
                 anchor = None
+                for pieces, k in open_link:
+                    pieces[k] = ""
         if name not in CONTAINERS or single or name in VOID:
             continue
         if not closing:
@@ -121,36 +141,55 @@ def containers(text: str) -> list[tuple[str, int, int, float, float]]:
                 spans.pop()[2] = m.start()
             stack.append(name)
             paths.append(generalised(name, attributes))
-            span = ["/".join(paths), m.end(), len(text)]
+            span = ["/".join(paths), m.end(), len(page), name, []]
             spans.append(span)
             found.append(span)
         elif name in stack:
             while stack:
-                last = stack.pop()
+                top = stack.pop()
                 paths.pop()
                 spans.pop()[2] = m.start()
-                if last == name:
+                if top == name:
                     break
-    out = []
-    for path, start, end in found:
-        inner = TAG.sub("", text[start:end])
+    own(len(page))
+    out, whole = [], len("".join(TAG.sub("", page).split()))
+    for path, start, end, name, pieces in found:
+        inner = TAG.sub("", page[start:end])
         size = len(inner.strip())
-        linked = sum(len(TAG.sub("", text[a:b])) for a, b in links if a >= start and b <= end) / max(1, size)
-        out.append((path, start, end, size * (1 - min(1.0, linked)) + 10 * inner.count(",") + 20 * inner.count(". "), linked))
+        linked = sum(len(TAG.sub("", page[a:b])) for a, b in links if a >= start and b <= end) / max(1, size)
+        mine = " ".join(" ".join(pieces).split()) + " "
+        frame = name in ("html", "body") or len("".join(inner.split())) == whole
+        out.append((path, start, end, len(mine) - 1 + 10.0 * mine.count(",") + 20 * mine.count(". ") if mine.strip() else 0.0, linked, frame))
+    return out
+
+
+def furniture(boxes: list[tuple[str, int, int, float, float, bool]], winners: frozenset[str]) -> list[tuple[int, int]]:
+    """Spans of what goes: boxes of mostly links or with a name of furniture that hold no winning box and lie outside of all, or
+    in one that is the frame of the page. Of another winning box, only menus and blocks of mostly links go; its lists stay."""
+    won = [b for b in boxes if b[0] in winners and b[3] > 0]
+    out = []
+    for path, s, e, _, linked, _ in boxes if won else ():
+        name = path.rsplit("/", 1)[-1].split(".")[0]
+        if any(s <= w[1] and w[2] <= e for w in won):
+            continue
+        around = [w for w in won if w[1] <= s and e <= w[2]]
+        if around and not max(around, key=lambda w: w[1])[5]:
+            gone = name == "nav" or linked > 0.5 and name not in FLOW
+        else:
+            gone = linked > 0.5 or name in FURNITURE
+        if gone:
+            out.append((s, e))
     return out
 
 
 def html_text(text: str, winners: frozenset[str] | None) -> str:
     """The text of a page, by the winning paths of its host."""
     if winners:
-        boxes = containers(text)
-        if any(path in winners for path, *_ in boxes):
-            dropped = [(s, e) for path, s, e, _, linked in boxes if (linked > 0.5 or path.rsplit("/", 1)[-1].split(".")[0] in FURNITURE) and not any(path == w or path.startswith(w + "/") or w.startswith(path + "/") for w in winners)]
-            kept, at = [], 0
-            for s, e in sorted(dropped):  # boxes may be nested: each cut is made once
-                kept.append(text[at : max(at, s)])
-                at = max(at, e)
-            text = "".join(kept) + text[at:]
+        kept, at = [], 0
+        for s, e in sorted(furniture(containers(text), winners)):  # boxes may be nested: each cut is made once
+            kept.append(text[at : max(at, s)])
+            at = max(at, e)
+        text = "".join(kept) + text[at:]
     text = re.sub(r"<(script|style)\b[^<>]*>.*?</\1\s*>", " ", text, flags=re.S | re.I)
     text = COMMENT.sub("", text)
     text = re.sub(r"<(pre|syntaxhighlight)\b[^<>]*>\s*(?:<code[^<>]*>)?\n?(.*?)\n?(?:</code>\s*)?</\1\s*>", lambda m: f"\n```\n{m.group(2)}\n```\n", text, flags=re.S | re.I)

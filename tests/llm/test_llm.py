@@ -78,6 +78,18 @@ def test_host_votes_drop_furniture(spark):
     assert markup.clean_markup(rows.limit(0)).count() == 0
 
 
+def test_host_votes_drop_furniture_of_wrapped_pages(spark):
+    menu = "<a href='/a'>home</a> <a href='/b'>about us</a>"
+    whole = lambda i: f"<html><head><title>T</title><script>var a = 1, b = 2, c = 3;</script></head><body><div id='page'><div class='top'>{menu}</div><div class='body-{i}'><p>Long text, with parts. And more of it, here.</p><p>Number {i}.</p><ul><li><a href='/r'>a source of the text</a></li></ul></div><footer>imprint</footer></div></body></html>"
+    bare = lambda i: f"<html><body><div class='wrap'><ul class='menu'><li>{menu}</li></ul><p>Long text, with parts. And more of it, here.</p><p>Number {i}.</p><footer>imprint</footer></div></body></html>"
+    rows = spark.createDataFrame([(f"{h}{i}", page(i), h) for h, page in (("w", whole), ("b", bare)) for i in range(4)], "chunk_id string, text string, source_domain string")
+    got = {r.chunk_id: r.clean_text for r in markup.clean_markup(rows).collect()}
+    assert {r.host: r.paths for r in markup.host_paths(rows, "source_domain", "text").collect()} == {"w": ["html/body/div.page/div.body"], "b": ["html/body/div.wrap"]}
+    for k, text in got.items():
+        assert "Long text" in text and f"Number {k[1]}." in text and "home" not in text and "imprint" not in text, text
+        assert ("a source" in text) == (k[0] == "w")
+
+
 def test_nested_furniture_is_cut_once():
     page = "<nav><ul><li><a href='/a'>first of the links</a></li><li><a href='/b'>second of the links</a></li></ul></nav><div class='body'>Long text, with parts. And more of it, here.</div><aside><ul><li><a href='/c'>third</a></li></ul></aside>The end."
     got = markup.clean(page, frozenset({"div.body"}))[0]
