@@ -1,6 +1,6 @@
 """Graph operators over an edge table (src, dst, weight): traversal, centrality, communities, paths.
 
-PageRank, breadth-first search and bounded shortest paths are rounds of joins and scale with the edges. Betweenness and
+PageRank, breadth-first search and shortest paths are rounds of joins and scale with the edges. Betweenness and
 closeness search from every node in parallel tasks, over adjacency lists that are broadcast, and refuse graphs above
 BROADCAST_ROWS edges. Communities by modularity and eigenvectors run on the driver behind the same bound; larger graphs
 take label propagation.
@@ -30,8 +30,11 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """id, rank: weights of parallel edges add up, and what has no way out is spread over all nodes."""
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int | None = None, tol: float = 1e-6) -> DataFrame:
+    """id, rank: weights of parallel edges add up, and what has no way out is spread over all nodes.
+
+    Runs until all ranks together move by less than `tol`, or for a given number of rounds. Every round leaves at most
+    `damping` of the last one's movement, so it ends."""
     flat = materialize(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")))
     out = flat.groupBy("src").agg(F.sum("w").alias("total")).filter("total > 0")
     step = materialize(flat.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
@@ -40,11 +43,15 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataF
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
     ends = nodes.join(out.withColumnRenamed("src", "id").select("id", F.lit(True).alias("goes")), "id", "left")
-    rank = ends.withColumn("rank", F.lit(1.0 / n))
-    for r in range(rounds):
-        lost = rank.filter("goes is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+    rank = materialize(ends.select("id", "goes", F.lit(1.0 / n).alias("rank"), F.lit(None).cast("double").alias("was")))
+    r = 0
+    while True:
+        lost, moved = rank.agg(F.coalesce(F.sum(F.when(F.col("goes").isNull(), F.col("rank"))), F.lit(0.0)), F.sum(F.abs(F.col("rank") - F.col("was")))).first()
+        if r == rounds or (rounds is None and moved is not None and moved < tol):
+            break
         got = step.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("s")).withColumnRenamed("dst", "id")
-        rank = materialize(ends.join(got, "id", "left").select("id", "goes", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("s", F.lit(0.0))).alias("rank")))
+        rank = materialize(rank.select("id", "goes", F.col("rank").alias("was")).join(got, "id", "left").select("id", "goes", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"), "was"))
+        r += 1
     return rank.select("id", "rank")
 
 
@@ -59,13 +66,22 @@ def hops(edges: DataFrame, seeds: list[str], most: int = 3) -> DataFrame:
     return seen
 
 
-def cheapest(edges: DataFrame, source: str, rounds: int = 6) -> DataFrame:
-    """id, cost and hops of the cheapest directed way of at most `rounds` edges from the source; `weight` is an edge's cost."""
+def cheapest(edges: DataFrame, source: str, rounds: int | None = None) -> DataFrame:
+    """id and cost of the cheapest directed way from the source; `weight` is an edge's cost. Relaxes until no cost changes,
+    or only ways of at most `rounds` edges. A cycle of negative cost raises ValueError."""
     flat = materialize(edges.groupBy("src", "dst").agg(F.min("weight").alias("c")))
     best = flat.filter(F.col("src") == source).limit(1).select(F.lit(source).alias("id"), F.lit(0.0).alias("cost"))
-    for _ in range(rounds):
-        further = flat.join(best.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (F.col("cost") + F.col("c")).alias("cost"))
-        best = materialize(best.union(further).groupBy("id").agg(F.min("cost").alias("cost")))
+    best = front = materialize(best)
+    most, r = nodes_of(flat).count() if rounds is None else rounds, 0
+    while r < most:
+        further = flat.join(front.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.min(F.col("cost") + F.col("c")).alias("new")).withColumnRenamed("dst", "id")
+        front = materialize(further.join(best, "id", "left").filter("cost is null or new < cost").select("id", F.col("new").alias("cost")))
+        if front.isEmpty():
+            return best
+        best = materialize(best.union(front).groupBy("id").agg(F.min("cost").alias("cost")))
+        r += 1
+    if rounds is None and r:
+        raise ValueError("a cycle of negative cost")
     return best
 
 
@@ -217,15 +233,25 @@ def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     return edges.sparkSession.createDataFrame([(v, c) for c, g in enumerate(groups) for v in g], "id string, community int")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """id, community for graphs of any size: every node takes its neighbours' most frequent label, the smallest of equals."""
+def label_propagation(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """id, community for graphs of any size: every node takes its neighbours' most frequent label, the smallest of equals.
+
+    Runs until no label changes, or for a given number of rounds. As links count both ways, labels settle or come to
+    alternate between two states; of those every node takes the smaller label."""
     both = materialize(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst"))
-    labels = nodes_of(edges).withColumn("community", F.col("id"))
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("id", "src"), "src").groupBy("dst", "community").agg(F.count("*").alias("c"))
+    labels = materialize(nodes_of(edges).select("id", F.col("id").alias("community"), F.lit(None).cast("string").alias("was")))
+    r = 0
+    while r != rounds:
+        votes = both.join(labels.select(F.col("id").alias("src"), "community"), "src").groupBy("dst", "community").agg(F.count("*").alias("c"))
         best = votes.groupBy("dst").agg(F.min(F.struct(-F.col("c"), "community")).alias("b")).select(F.col("dst").alias("id"), F.col("b.community").alias("new"))
-        labels = materialize(labels.join(best, "id", "left").select("id", F.coalesce("new", "community").alias("community")))
-    return labels
+        new = materialize(labels.join(best, "id", "left").select("id", F.coalesce("new", "community").alias("community"), F.col("community").alias("was"), F.col("was").alias("before")))
+        labels = new.select("id", "community", "was")
+        r += 1
+        if rounds is None and new.filter("community <> was").isEmpty():
+            break
+        if rounds is None and new.filter("before is null or community <> before").isEmpty():
+            return new.select("id", F.least("community", "was").alias("community"))
+    return labels.select("id", "community")
 
 
 def weighted_path(edges: DataFrame, source: str, target: str) -> tuple[list[str], float] | None:

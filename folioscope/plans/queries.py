@@ -423,6 +423,11 @@ def pagerank(spark: SparkSession, base: str) -> DataFrame:
     return G.pagerank(_edges(spark, base), rounds=8).select("id", F.round("rank", 8).alias("rank"))
 
 
+@query()
+def pagerank_whole(spark: SparkSession, base: str) -> DataFrame:
+    return G.pagerank(_edges(spark, base))
+
+
 @query(f"""with recursive {RELATIONS}, {EDGES}, u as (select src as a, dst as b from e union select dst, src from e), h as (select distinct a as id, 0 as hop from u where a in ({SEED_LIST}) union select b, hop + 1 from h join u on a = id where hop < 2) select id, min(hop)::int as hop from h group by 1""")
 def bfs_hops(spark: SparkSession, base: str) -> DataFrame:
     return G.hops(_edges(spark, base), SEEDS, 2)
@@ -434,11 +439,21 @@ def weighted_paths(spark: SparkSession, base: str) -> DataFrame:
     return G.cheapest(edges, SOURCE, rounds=3).select("id", F.round("cost", 6).alias("cost"))
 
 
+@query()
+def weighted_paths_whole(spark: SparkSession, base: str) -> DataFrame:
+    return G.cheapest(_edges(spark, base).withColumn("weight", 1 - F.col("weight")), SOURCE)
+
+
 @query(f"""with recursive {RELATIONS}, {EDGES}, p as (select '{SOURCE}' as id, ['{SOURCE}'] as path union select dst, list_append(path, dst) from p join e on src = id where len(path) <= 3 and not list_contains(path, dst)), f as (select path from p where id = '{TARGET}' order by len(path), path limit 1) select array_to_string(path, '>') as path, (len(path) - 1)::int as n_hops from f""")
 def shortest_path(spark: SparkSession, base: str) -> DataFrame:
     return G.shortest_path(_edges(spark, base), SOURCE, TARGET, 3)
 
 
+@query()
+def shortest_path_whole(spark: SparkSession, base: str) -> DataFrame:
+    return G.shortest_path(_edges(spark, base), SOURCE, TARGET)
+
+
 @query(f"with {RELATIONS}, {EDGES} select dst as id, 'out' as direction from e where src = '{SEEDS[0]}' union all select src, 'in' from e where dst = '{SEEDS[0]}'")
 def neighbours(spark: SparkSession, base: str) -> DataFrame:
     return G.neighbours(_edges(spark, base), SEEDS[0])
@@ -466,7 +481,7 @@ def communities(spark: SparkSession, base: str) -> DataFrame:
 
 @query()
 def label_propagation(spark: SparkSession, base: str) -> DataFrame:
-    return G.label_propagation(_edges(spark, base), rounds=5)
+    return G.label_propagation(_edges(spark, base))
 
 
 @query(f"""with {RELATIONS}, {EDGES}, {MENTIONS}, {SOURCES}, d as (select distinct entity_id from matcher_terms), s as (select e, count(distinct chunk_id) as c, count(distinct source_rel_path) as f, count(*) as n from m join k using (chunk_id) group by 1),

@@ -66,6 +66,27 @@ def test_graph_measures(spark):
     assert G.pagerank(empty).count() == 0 and G.communities(empty).count() == 0
 
 
+def test_rounds_go_on_until_all_is_settled(spark):
+    rng, names = random.Random(7), [f"n{i:02}" for i in range(12)]
+    rows = [(a, b, 0.1) for a, b in zip(names, names[1:])] + [(names[0], names[-1], 5.0), (names[3], names[8], 0.7)]
+    rows += [(rng.choice(names[6:]), rng.choice(names[:6]), rng.random()) for _ in range(4)]
+    cost = {names[0]: 0.0}
+    for _ in names:
+        for a, b, w in rows:
+            if a in cost:
+                cost[b] = min(cost.get(b, 99.0), cost[a] + w)
+    assert {r.id: r.cost for r in G.cheapest(edges(spark, rows), names[0]).collect()} == pytest.approx(cost)
+    assert cost[names[-1]] == pytest.approx(1.1)
+    with pytest.raises(ValueError, match="negative"):
+        G.cheapest(edges(spark, [("a", "b", 1.0), ("b", "a", -2.0)]), "a")
+    ranks = {r.id: r["rank"] for r in G.pagerank(edges(spark, [("a", "b", 1.0), ("b", "a", 1.0), ("c", "a", 1.0)])).collect()}
+    a = (0.05 + 0.85 * 0.05 * 2) / (1 - 0.85**2)
+    assert ranks == pytest.approx({"a": a, "b": 0.05 + 0.85 * a, "c": 0.05}, abs=6e-6)
+    far = [(a, b, 1.0) for a, b in zip(names, names[1:])] + [(names[0], names[0] + x, 1.0) for x in "xyz"]
+    label = {r.id: r.community for r in G.label_propagation(edges(spark, far)).collect()}
+    assert len(label) == 15 and all(label[x] == label[names[0]] for x in label)
+
+
 def test_communities_split_two_cliques(spark):
     names = "abcd", "wxyz"
     rows = [(p, q, 1.0) for g in names for p in g for q in g if p < q] + [("a", "w", 1.0)]
