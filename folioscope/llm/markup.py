@@ -53,8 +53,8 @@ NOTE = re.compile(r"\[\^[^\[\]\s]+\]")
 AUTOLINK = re.compile(r"<((?:https?|ftp|mailto):[^<>\s]+)>", re.I)
 STRONG = re.compile(r"(?<![\w*])\*\*(?=[^\s*])([^\n]*?[^\s*])\*\*(?!\*)|(?<![\w_])__(?=[^\s_])([^\n]*?[^\s_])__(?![\w_])", re.M)
 DELETED = re.compile(r"(?<!~)~~(?=[^\s~])([^\n]*?[^\s~])~~(?!~)")
-EMPH = re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]{0,400}?[^\s*])\*(?![\w*])")
-EMPH_LOW = re.compile(r"(?<![\w\\])_(?=[^\s_])([^_\n]{0,400}?[^\s_])_(?!\w)")
+EMPH = re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]*?[^\s*])\*(?![\w*])")
+EMPH_LOW = re.compile(r"(?<![\w\\])_(?=[^\s_])([^_\n]*?[^\s_])_(?!\w)")
 LEFT_PAIR = re.compile(r"(?<![\w*])\*\*(?=\w)|(?<=\w|[.,;:!?])\*\*(?![\w*])|(?<![\w~])~~(?=\w)|(?<=[\w.,;:!?])~~(?!\w)|(?<![\w_])__(?=[A-Za-z])(?!\w+__\()|(?<=[A-Za-z.,;:!?])__(?![\w_])")
 TICK = re.compile(r"(?<!`)(`{1,2})(?=[^`\s])([^`\n]*?[^`\s])\1(?!`)")
 ESCAPE = re.compile(r"\\([*_#`\[\]~>])")
@@ -89,7 +89,9 @@ TEX_WORD = re.compile(rf"(?<![\w:\\/])\\(?:{'|'.join(sorted(TEX_BARE.split(), ke
 TEX_ANY = re.compile(r"(?<![\w:\\/.])\\[a-zA-Z]{2,}\*?(?=\{|\[[^\]\n]*\]\{)")
 TEX_LINE = re.compile(r"(?<=\s)\\\\(?=\s|$)", re.M)
 TEX_MATH = re.compile(r"\$\$(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)", re.S)
-TEX_INLINE = re.compile(r"(?<![\w\\$])\$(?=[^\s$])([^$\n]{0,200}?[^\s$\\])\$(?![\w$])")
+TEX_INLINE = re.compile(r"(?<![\w\\$])\$(?=[^\s$])([^$\n]*?[^\s$\\])\$(?![\w$])")
+#: LaTeX and wiki commands that keep an indented line from passing for code.
+INDENTED = re.compile("|".join([TEX_HEADING.pattern, TEX_ARG.pattern, TEX_GONE.pattern, TEX_HREF.pattern, TEX_ENV.pattern, r"\\\((?=\S)[^\n]+?\\\)|\$\$[^\n$]+\$\$", r"(?<![\w\])])\[\[[A-Za-z][^\[\]\n]*\]\]", r"\{\{[A-Za-z][\w -]*\|[^{}\n]*\}\}"]))
 FORMULA = re.compile(r"\\[a-zA-Z]+|[\^_]\{?\w|[A-Za-z]\s*[=<>+]\s*\S|^[A-Za-z]$|^[A-Za-z]\([A-Za-z, ]+\)$|[=+*/^]\s*[A-Za-z]\b")
 MATH_WORD = re.compile(r"(?<![\w:\\/.])\\(?:alpha|beta|gamma|delta|epsilon|theta|lambda|mu|pi|rho|sigma|tau|phi|omega|sum|int|prod|sqrt|frac|leq|geq|neq|times|cdot|infty|partial|approx)(?![A-Za-z\\])")
 
@@ -206,8 +208,13 @@ def html_text(text: str, winners: frozenset[str] | None) -> str:
 
 def clean(text: str | None, winners: frozenset[str] | None = None) -> tuple[str | None, int, int, int, int]:
     """(clean text, number of HTML, Markdown, wiki and LaTeX constructs). Text without markup comes back as it is."""
-    if not text or "\x00" in text or not MAYBE.search(text):
+    if not text or not MAYBE.search(text):
         return text, 0, 0, 0, 0
+    if "\x00" in text:  # the mark of what is set aside; another character stands for it meanwhile
+        seen = set(text + html.unescape(text))
+        stand_in = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in seen)
+        out, *n = clean(text.replace("\x00", stand_in), winners)
+        return out.replace(stand_in, "\x00"), *n
     counts = {"html": 0, "md": 0, "wiki": 0, "tex": 0}
     kept: list[str] = []
 
@@ -228,8 +235,8 @@ def clean(text: str | None, winners: frozenset[str] | None = None) -> tuple[str
 
     t = sub("md", FENCED, lambda m: keep(f"```{m.group(2)}\n{m.group(3).rstrip()}\n```"), text)
     t = sub("md", FENCE, "", t)
-    # a line that is indented like code is left alone, but for tags in it
-    t = re.sub(r"^(?: {4}|\t)(?![-*+•] |\d+[.)] )[^\n]*$", lambda m: m.group(0) if TAG.search(m.group(0)) or ENTITY.search(m.group(0)) else keep(m.group(0)), t, flags=re.M)
+    # a line that is indented like code is left alone, but for tags and commands in it
+    t = re.sub(r"^(?: {4}|\t)(?![-*+•] |\d+[.)] )[^\n]*$", lambda m: m.group(0) if TAG.search(m.group(0)) or ENTITY.search(m.group(0)) or INDENTED.search(m.group(0)) else keep(m.group(0)), t, flags=re.M)
     n = len(TAG.findall(t)) + len(COMMENT.findall(t)) + len(CUT_TAG.findall(t))
     if n:
         counts["html"] += n

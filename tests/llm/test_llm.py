@@ -96,6 +96,15 @@ def test_nested_furniture_is_cut_once():
     assert got.split() == "Long text, with parts. And more of it, here. The end.".split()
 
 
+def test_markup_is_found_anywhere():
+    long = "word " * 120
+    assert markup.clean("a\x00b <b>x</b> \x000\x00 `c`")[:3] == ("a\x00b x \x000\x00 c", 2, 1)
+    for text in (f"see *{long}end* now", f"see _{long}end_ now", f"see $x_1 = {long}+ y$ now", "    \\section{A}", "\tuse \\emph{this} word", "    see [[Some page|it]]", "    {{cite|a}} b"):
+        assert sum(markup.clean(text)[1:]) == 1, text
+    for text in ("    if [[ -n $x ]]; then", "    y = a[[i]] + {{ name }}", "a\x00b"):
+        assert markup.clean(text) == (text, 0, 0, 0, 0), text
+
+
 # --- near duplicates ---
 
 
