@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.session import BROADCAST_ROWS, materialize
@@ -233,6 +233,15 @@ def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     return edges.sparkSession.createDataFrame([(v, c) for c, g in enumerate(groups) for v in g], "id string, community int")
 
 
+def communities_of_any_size(edges: DataFrame) -> DataFrame:
+    """id, community: by modularity within the bound, beyond it by label propagation, numbered in order of the labels."""
+    if edges.filter("src <> dst").select("src", "dst").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return communities(edges)
+    labels = label_propagation(edges)
+    numbers = labels.select("community").distinct().withColumn("n", F.row_number().over(Window.orderBy("community")) - 1)
+    return labels.join(numbers, "community").select("id", F.col("n").alias("community"))
+
+
 def label_propagation(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """id, community for graphs of any size: every node takes its neighbours' most frequent label, the smallest of equals.
 

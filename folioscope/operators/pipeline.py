@@ -78,7 +78,7 @@ def build_graph(store: Store, terms: DataFrame, phases: list[str] | None = None)
             rank = rank.join(measure(edges), "id", "left")
         store.replace("centrality", rank.withColumnsRenamed({"id": "entity_id", "rank": "pagerank"}))
     if "communities" in phases:
-        store.replace("entity_communities", G.communities(edges).withColumnsRenamed({"id": "entity_id", "community": "community_id"}))
+        store.replace("entity_communities", G.communities_of_any_size(edges).withColumnsRenamed({"id": "entity_id", "community": "community_id"}))
     if "profiles" in phases:
         stats = C.entity_stats(mentions, C.chunk_sources(store.read("chunk_rows")))
         label = X.title_of_id("entity_id")

@@ -50,6 +50,16 @@ def test_ingest_is_incremental(spark, corpus, tmp_path):
             tools.search_corpus(terms=terms, **bad)
 
 
+def test_communities_of_a_graph_beyond_the_bound(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P.G, "BROADCAST_ROWS", 2)
+    store, terms = Store(spark, str(tmp_path / "store")), spark.createDataFrame(TERMS, "entity_id string, term_source string, normalized_term string")
+    store.replace("mention_rows", spark.createDataFrame([("k", "a", "alias", "a", 0, 1)], "chunk_id string, entity_id string, term_source string, surface_form string, start_char int, end_char int"))
+    rows = [(f"r{i}", "k", "d", "p", a, "uses", b, 0.9, "m", "2031") for i, (a, b) in enumerate(["ab", "bc", "ac", "xy", "yz", "xz"])]
+    store.replace("extracted_relations", spark.createDataFrame(rows, "relation_id string, chunk_id string, document_id string, source_rel_path string, subject_entity_id string, predicate string, object_entity_id string, confidence double, extraction_model string, extracted_at string"))
+    P.build_graph(store, terms, ["communities"])
+    assert {r.entity_id: r.community_id for r in store.read("entity_communities").collect()} == dict.fromkeys("abc", 0) | dict.fromkeys("xyz", 1)
+
+
 def test_eval_cases(spark, tmp_path):
     (tmp_path / "e.json").write_text('[{"question":"q","expected_source_files":["a.md","z.md"],"domain":null}]')
     paths = spark.createDataFrame([("x/a.md",), ("y/b.md",), ("z/b.md",)], "source_rel_path string")
