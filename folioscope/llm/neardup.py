@@ -35,7 +35,7 @@ LONG = 448
 SURE = 1 << 20
 #: A meeting point whose counter promises more texts than this is split into blocks, and pairs of blocks meet.
 BLOCK = 8192
-#: Texts with equal sets: up to this many are listed pair by pair, more of them each with the smallest id only.
+#: Texts equal to the byte: up to this many are listed pair by pair, more of them each with the smallest id only.
 EXPAND = 1000
 WORDS = re.compile(r"[a-z0-9]+")
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -313,22 +313,25 @@ def _meet(routed: DataFrame, t: float) -> DataFrame:
 
 
 def _members(rows: DataFrame, words: int, least: int, sets: bool) -> DataFrame:
-    """id, fingerprint and, if asked for, the sorted shingle set of every text with enough shingles."""
+    """id, fingerprint and the sorted shingle set, or else a hash of the text, of every text with enough shingles."""
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(words, least)
         for batch in batches:
-            row, offsets, value = make(batch.column(1).to_pylist())
-            columns = [batch.column(0).take(pa.array(row)), pa.array(fingerprints(value, offsets))]
+            texts = batch.column(1).to_pylist()
+            row, offsets, value = make(texts)
             if sets:
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64))))
-            yield pa.RecordBatch.from_arrays(columns, ["id", "f", "s"][: len(columns)])
+                last = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64)))
+            else:
+                last = pa.array(np.array([xxhash.xxh3_64_intdigest(texts[r]) for r in row.tolist()], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(fingerprints(value, offsets)), last], ["id", "f", "s" if sets else "d"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, f long" + ", s array<bigint>" * sets)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, f long, " + ("s array<bigint>" if sets else "d long"))
 
 
 def similar_classes(df: DataFrame, key: str, text: str, t: float = 0.8, words: int = 5, least: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(members: id, f) and (links: fa < fb, similarity), both materialized: texts under the fingerprint of their set, and the
+    """(members: id, f, hash d of the text) and (links: fa < fb, similarity), both materialized: texts under the fingerprint of their set, and the
     fingerprints whose sets have Jaccard similarity >= t. Null keys, null texts and texts with fewer than `least` distinct
     shingles are left out; a key that is repeated with equal text counts once. Empty input gives two empty tables."""
     spark = df.sparkSession
@@ -341,21 +344,21 @@ def similar_classes(df: DataFrame, key: str, text: str, t: float = 0.8, words: i
     shared = F.size(F.array_intersect("sa", "sb"))
     links = both.withColumn("o", shared).withColumn("similarity", F.col("o") / (F.size("sa") + F.size("sb") - F.col("o")))
     links = materialize(links.filter(F.col("similarity") >= t - 1e-12).select("fa", "fb", "similarity"))
-    members = materialize(_members(rows, words, least, False).dropDuplicates(["id", "f"]))
+    members = materialize(_members(rows, words, least, False).groupBy("id", "f").agg(F.min("d").alias("d")))
     return members, links
 
 
 def near_duplicate_pairs(df: DataFrame, key: str, text: str, t: float = 0.8, words: int = 5, least: int = 1, expand: int = EXPAND) -> DataFrame:
     """id_a < id_b of every two texts with similarity >= t, equal ones included.
 
-    Where more than `expand` texts have one set, they are not written out as all pairs: each is paired with the smallest
-    id of them, and that id alone stands for them in pairs with other texts. No other pair is left out."""
+    Where more than `expand` texts are the same to the byte, they are not written out as all pairs: each is paired with the
+    smallest id of them, and that id alone stands for them in pairs with other texts. No other pair is left out."""
     members, links = similar_classes(df, key, text, t, words, least)
-    classes = members.groupBy("f").agg(F.count("*").alias("size"), F.min("id").alias("rep")).filter("size > 1")
-    tagged = members.join(classes, "f")
-    equal = tagged.filter(F.col("size") <= expand).alias("a").join(members.alias("b"), (F.col("a.f") == F.col("b.f")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-    star = tagged.filter((F.col("size") > expand) & (F.col("id") > F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
-    shown = members.join(classes, "f", "left").filter(F.coalesce(F.col("size"), F.lit(1)) <= expand).select("f", "id").union(classes.filter(F.col("size") > expand).select("f", F.col("rep").alias("id")))
+    copies = members.groupBy("f", "d").agg(F.count("*").alias("size"), F.min("id").alias("rep")).filter(F.col("size") > expand)
+    tagged = materialize(members.join(copies, ["f", "d"], "left"))
+    star = tagged.filter("size is not null and id > rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+    shown = tagged.filter("size is null or id = rep").select("f", "id")
+    equal = shown.alias("a").join(shown.alias("b"), (F.col("a.f") == F.col("b.f")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
     cross = links.join(shown.select(F.col("f").alias("fa"), F.col("id").alias("ia")), "fa").join(shown.select(F.col("f").alias("fb"), F.col("id").alias("ib")), "fb").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).filter("id_a < id_b")
     return cross.union(equal).union(star).distinct()
 

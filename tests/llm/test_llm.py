@@ -159,6 +159,15 @@ def test_long_texts_of_unequal_size_equal_brute_force(spark):
     assert {("0-0", "0-1"), ("0-0", "0-4")} <= want and got == want
 
 
+def test_only_equal_bytes_are_listed_as_a_star(spark):
+    base = prose(random.Random(3), 60)
+    texts = [("a1", base), ("a2", base), ("a3", base), ("b1", base.upper()), ("b2", base.upper()), ("c", base + "!"), ("e", base + " more of it")]
+    df = spark.createDataFrame(texts, "chunk_id string, text string")
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(df, "chunk_id", "text", 0.6, 3, 20, expand=2).collect()}
+    want = brute_pairs(texts, 0.6, 3, 20)
+    assert got == {p for p in want if not {"a2", "a3"} & set(p)} | {("a1", "a2"), ("a1", "a3")} and len(want) == 21
+
+
 def test_no_text_no_pair(spark):
     df = spark.createDataFrame([(None, None)], "chunk_id string, text string")
     assert neardup.near_duplicate_pairs(df, "chunk_id", "text").count() == 0
