@@ -7,14 +7,16 @@ smaller count, so a pair, or two boxes of points, whose bound lies below the ove
 So that the points need not all meet in one place, they are routed: of the shingles ordered from rare to frequent a
 text sends its point under each of the first |A| - ceil(t |A|) + 1. Similar texts meet under at least one of these, and
 at the first shingle they have in common the shingles still to come bound the overlap too. Any fixed order is exact;
-frequency is only what keeps the meeting points small, and is taken from a table of GROUPS counters over all texts. In each
-meeting point an R-tree of boxes is built and joined with itself. Surviving pairs are verified on the whole shingle sets.
-Texts with equal sets share a fingerprint and travel once; every text is listed under its fingerprint.
+frequency is only what keeps the meeting points small, and is taken from a table of `counters` counters over all texts.
+Shingles that are really sent by more than BLOCK texts are counted one by one, and only these have their meeting point
+split into blocks that meet pairwise. In each meeting point an R-tree of boxes is built and joined with itself. Surviving
+pairs are verified on the whole shingle sets. Texts with equal sets share a fingerprint; every text is listed under it.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +28,13 @@ from folioscope.llm.groups import Bytes
 from folioscope.session import broadcast_if_small, materialize
 
 DIMS = 64
-GROUPS = 1 << 20
+#: Counters of the order of shingles, a byte each once they are added up. A table for tens of GB of text; for more, raise it:
+#: a coarser order makes meeting points larger, never the result another.
+COUNTERS = 1 << 20
+#: Counters that travel together.
+RANGE = 1024
 LEAF = 64
-#: Two texts that both have more shingles than this fill their points so evenly that the bound says little. For them the
-#: meetings are counted instead: similar texts share more of their routed shingles than the rest of the sets can make up for.
-LONG = 448
-#: What a meeting of other texts counts, where a single one is enough.
-SURE = 1 << 20
-#: A meeting point whose counter promises more texts than this is split into blocks, and pairs of blocks meet.
+#: A shingle under which more texts than this meet is split into blocks, and pairs of blocks meet.
 BLOCK = 8192
 #: Texts equal to the byte: up to this many are listed pair by pair, more of them each with the smallest id only.
 EXPAND = 1000
@@ -99,13 +100,6 @@ def least_overlap(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (a + b) - 1e-9)
 
 
-def least_meetings(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
-    """Fewest meetings of texts of these sizes that are similar: the overlap less all that lies beyond the routed part.
-
-    Shared shingles that don't meet all lie behind the routed part that ends first, and that may be either text's."""
-    return np.maximum(1, least_overlap(a, b, t) - np.maximum(np.ceil(t * a - 1e-9), np.ceil(t * b - 1e-9)) + 1).astype(np.int32)
-
-
 class Tree:
     """An R-tree over the points of one meeting point: sorted by size, cut into leaves, each with its box."""
 
@@ -124,49 +118,81 @@ class Tree:
             need = least_overlap(self.least[p], self.least[later], t)
             fits = (t * self.least[later] <= self.most[p] + 1e-9) & (np.minimum(self.reach[p], self.reach[later]) >= need)
             fits &= np.minimum(self.high[p], self.high[later]).sum(1) >= need
-            fits |= (self.most[p] > LONG) & (self.most[later] > LONG) & (t * self.least[later] <= self.most[p] + 1e-9)
             a = slice(self.starts[p], self.ends[p])
             for q in later[fits]:
                 b = slice(self.starts[q], self.ends[q])
                 need = least_overlap(self.size[a, None], self.size[None, b], t)
-                long = (np.minimum(self.size[a, None], self.size[None, b]) > LONG) & (np.minimum(self.size[a, None], self.size[None, b]) >= t * np.maximum(self.size[a, None], self.size[None, b]) - 1e-3)
-                ok = long | (np.minimum(self.left[a, None], self.left[None, b]) >= need)
+                ok = np.minimum(self.left[a, None], self.left[None, b]) >= need
                 if p == q:
                     ok &= np.tri(len(ok), k=-1, dtype=bool).T
                 if mine is not None:
                     ok &= mine[a, None] != mine[None, b]
                 i, j = np.nonzero(ok)
                 if len(i):
-                    bound = np.minimum(self.points[a][i], self.points[b][j]).sum(1)
-                    pass_ = long[i, j] | (bound >= need[i, j])
+                    pass_ = np.minimum(self.points[a][i], self.points[b][j]).sum(1) >= need[i, j]
                     yield i[pass_] + a.start, j[pass_] + b.start
 
 
-def _counters(rows: DataFrame, words: int, least: int) -> np.ndarray:
-    """How many shingles of all texts fall into each of GROUPS counters; a table of fixed size."""
+def coded(count: np.ndarray) -> np.ndarray:
+    """Counts as bytes on a scale of 8 steps for each doubling, rounded up."""
+    return np.ceil(8 * np.log2(count + 1.0) - 1e-9).clip(0, 255).astype(np.uint8)
+
+
+def most_of(code: np.ndarray) -> np.ndarray:
+    """The largest count that a code stands for."""
+    return np.where(code == 255, np.inf, 2.0 ** (code / 8.0) - 1)
+
+
+def _survey(rows: DataFrame, words: int, least: int, counters: int) -> DataFrame:
+    """One row per text with enough shingles: id, fingerprint f, hash d of the text; and under a null id, numbered by f, the
+    compressed counts of RANGE counters each that a task has added up over its texts."""
+    import xxhash
+
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, make = np.zeros(GROUPS, np.int64), Shingler(words, least)
+        total, make, id_type = np.zeros(counters, np.uint32), Shingler(words, least), None
+        names = ["id", "f", "d", "z"]
         for batch in batches:
-            _, _, value = make(batch.column(1).to_pylist())
-            total += np.bincount((value % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["g", "c"])
+            texts, id_type = batch.column(1).to_pylist(), batch.column(0).type
+            row, offsets, value = make(texts)
+            total += np.bincount((value % np.uint64(counters)).astype(np.int64), minlength=counters).astype(np.uint32)
+            mark = pa.array(np.array([xxhash.xxh3_64_intdigest(texts[r]) for r in row.tolist()], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(fingerprints(value, offsets)), mark, pa.nulls(len(row), pa.binary())], names)
+        if id_type is not None:
+            parts = total.reshape(-1, RANGE)
+            at = np.flatnonzero(parts.any(1))
+            packed = [zlib.compress(parts[i].tobytes(), 1) for i in at.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), id_type), pa.array(at), pa.nulls(len(at), pa.int64()), pa.array(packed, pa.binary())], names)
 
-    out, found = np.zeros(GROUPS, np.int64), rows.mapInArrow(run, "g int, c long").groupBy("g").agg(F.sum("c").alias("c")).toArrow()
-    out[found.column("g").to_numpy()] = found.column("c").to_numpy()
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+    return rows.mapInArrow(run, f"id {kind}, f long, d long, z binary")
 
 
-def _points(value: np.ndarray, owner: np.ndarray, sent: np.ndarray, n: int) -> pa.Array:
-    """For each shingle sent, the counts per group of it and all later shingles of its text, in half bytes.
+def _order(survey: DataFrame, counters: int) -> np.ndarray:
+    """A code per counter: how many shingles of all texts fall into it, rounded up. The table has `counters` bytes for any corpus."""
 
-    At the first shingle that two texts share, none before it is shared, so these counts bound their overlap. 15 stands
-    for any number from 15 on."""
+    def add(part: pa.Table) -> pa.Table:
+        total = np.zeros(RANGE, np.int64)
+        for z in part.column("z"):
+            total += np.frombuffer(zlib.decompress(z.as_py()), np.uint32)
+        return pa.table({"f": part.column("f")[:1], "z": pa.array([coded(total).tobytes()], pa.binary())})
+
+    out = np.zeros((counters // RANGE, RANGE), np.uint8)
+    found = survey.filter("id is null").select("f", "z").groupBy("f").applyInArrow(add, "f long, z binary").toArrow()
+    for f, z in zip(found.column("f").to_pylist(), found.column("z").to_pylist()):
+        out[f] = np.frombuffer(z, np.uint8)
+    return out.ravel()
+
+
+def _points(value: np.ndarray, owner: np.ndarray, sent: np.ndarray, n: int) -> tuple[pa.Array, np.ndarray]:
+    """For each shingle sent, the counts per group of it and all later shingles of its text, in half bytes, and their scale.
+
+    At the first shingle that two texts share, none before it is shared, so these counts bound their overlap. Counts above
+    15 are kept in steps of 2^scale, rounded up."""
     group = ((value >> np.uint64(24)) % np.uint64(DIMS)).astype(np.int64)
     whole = np.bincount(owner * DIMS + group, minlength=n * DIMS).reshape(n, DIMS)
     at = np.flatnonzero(sent)
-    parts = []
+    parts, scales = [], []
     for s in range(0, len(at), 100_000):
         part = at[s : s + 100_000]
         who = owner[part]
@@ -178,91 +204,141 @@ def _points(value: np.ndarray, owner: np.ndarray, sent: np.ndarray, n: int) -> p
         if s and owner[at[s - 1]] == who[0]:  # the text began in the part before
             before = at[(owner[at[:s]] == who[0]).nonzero()[0]]
             lead[0] -= np.bincount(group[before], minlength=DIMS).astype(np.int32)
-        left = np.clip(whole[who] - (gone - np.repeat(lead, np.diff(np.append(new, len(part))), axis=0)), 0, 15).astype(np.uint8)
+        left = whole[who] - (gone - np.repeat(lead, np.diff(np.append(new, len(part))), axis=0))
+        scale = np.ceil(np.log2(np.maximum(left.max(1), 15) / 15) - 1e-12).astype(np.int64)
+        left = ((left + (1 << scale)[:, None] - 1) >> scale[:, None]).astype(np.uint8)
         parts.append(left[:, ::2] << 4 | left[:, 1::2])
+        scales.append(scale)
     packed = np.concatenate(parts) if parts else np.zeros((0, DIMS // 2), np.uint8)
-    return pa.Array.from_buffers(pa.binary(), len(packed), [None, pa.py_buffer((np.arange(len(packed) + 1) * (DIMS // 2)).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
+    buffers = [None, pa.py_buffer((np.arange(len(packed) + 1) * (DIMS // 2)).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())]
+    return pa.Array.from_buffers(pa.binary(), len(packed), buffers), np.concatenate(scales) if scales else np.zeros(0, np.int64)
 
 
-def unpacked(packed: np.ndarray) -> np.ndarray:
-    point = np.empty((len(packed), DIMS), np.int16)
+def unpacked(packed: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    point = np.empty((len(packed), DIMS), np.int16 if scale.max(initial=0) <= 10 else np.int32)
     point[:, ::2], point[:, 1::2] = packed >> 4, packed & 15
-    point[point == 15] = 20_000
+    if scale.any():
+        point <<= scale.astype(point.dtype)[:, None]
     return point
 
 
-def _route(rows: DataFrame, counters, t: float, words: int, least: int) -> DataFrame:
-    """A row for each meeting point of each text: key, side blocks, fingerprint, size, shingles left, packed point."""
+class Router:
+    """Where the texts of a batch go: the shingles each is sent under, of the fingerprints that the task has not sent yet."""
+
+    def __init__(self, order: np.ndarray, t: float, words: int, least: int) -> None:
+        self.order, self.t, self.make, self.sent = order, t, Shingler(words, least), set()
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, ...] | None:
+        row, offsets, value = self.make(texts)
+        size = np.diff(offsets)
+        if not len(size):
+            return None
+        mark = fingerprints(value, offsets)
+        first = np.unique(mark, return_index=True)[1]
+        first = first[[m not in self.sent for m in mark[first].tolist()]]
+        if len(self.sent) > 1_000_000:
+            self.sent.clear()
+        self.sent.update(mark[first].tolist())
+        owner = np.repeat(np.arange(len(size)), size)
+        often = self.order[(value % np.uint64(len(self.order))).astype(np.int64)]
+        turn = np.lexsort((value, often, owner))
+        value, often = value[turn], often[turn]
+        rank = np.arange(len(value)) - np.repeat(offsets[:-1], size)
+        once = np.zeros(len(size), bool)
+        once[first] = True
+        sent = (rank < (size - np.ceil(self.t * size - 1e-9) + 1)[owner]) & once[owner]
+        return row, size, mark, value, often, owner, rank, sent
+
+
+def _crowds(rows: DataFrame, order, t: float, words: int, least: int) -> DataFrame:
+    """k, c: the shingles that more than BLOCK texts are sent under, counted one by one. Only those whose counter promises as many are looked at."""
+    open_ = most_of(np.arange(256)) > BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, make = counters.value, Shingler(words, least)
+        route = Router(order.value, t, words, least)
         for batch in batches:
-            _, offsets, value = make(batch.column(1).to_pylist())
-            size = np.diff(offsets)
-            if not len(size):
+            if (found := route(batch.column(1).to_pylist())) is not None:
+                _, _, _, value, often, _, _, sent = found
+                k, c = np.unique(value[sent & open_[often]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], ["k", "c"])
+
+    return rows.mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).filter(F.col("c") > BLOCK)
+
+
+def _route(rows: DataFrame, order, t: float, words: int, least: int) -> DataFrame:
+    """A row for each meeting point of each text: key, fingerprint, sizes m (shingles, shingles left, scale of the point) and
+    packed point. If rows have a label column, it goes along; a text without a label has its fingerprint as one."""
+    labelled = "label" in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        route = Router(order.value, t, words, least)
+        for batch in batches:
+            if (found := route(batch.column(1).to_pylist())) is None:
                 continue
-            mark = fingerprints(value, offsets)
-            _, first = np.unique(mark, return_index=True)
-            owner = np.repeat(np.arange(len(size)), size)
-            often = table[(value % np.uint64(GROUPS)).astype(np.int64)]
-            order = np.lexsort((value, often, owner))
-            value, often = value[order], often[order]
-            rank = np.arange(len(value)) - np.repeat(offsets[:-1], size)
-            once = np.zeros(len(size), bool)
-            once[first] = True
-            sent = (rank < (size - np.ceil(t * size - 1e-9) + 1)[owner]) & once[owner]
-            packed = _points(value, owner, sent, len(size))
-            value, often, owner, rank = value[sent], often[sent], owner[sent], rank[sent]
-            blocks = -(-often // BLOCK)
-            home = (mark[owner].view(np.uint64) % np.maximum(blocks, 1).astype(np.uint64)).astype(np.int64)
-            again = np.repeat(np.arange(len(value)), np.maximum(blocks, 1))
-            other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            low, high = np.minimum(home[again], other), np.maximum(home[again], other)
-            key = mix64(value[again] + low.astype(np.uint64) * M1 + high.astype(np.uint64) * M2)
-            side = np.where(low == high, 0, np.where(home[again] == low, 1, 2))
-            who = owner[again]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(side, pa.int8()), pa.array(mark[who]), pa.array(size[who], pa.int32()), pa.array((size[who] - rank[again]), pa.int32()), packed.take(pa.array(again))],
-                ["k", "side", "f", "n", "l", "p"],
-            )
-
-    return rows.mapInArrow(run, "k long, side byte, f long, n int, l int, p binary")
-
-
-def _meet(routed: DataFrame, t: float) -> DataFrame:
-    """Distinct pairs of fingerprints that survive the bounds."""
-
-    def leaves(key, f, size, left, side, packed) -> tuple[np.ndarray, np.ndarray] | None:
+            row, size, mark, value, _, owner, rank, sent = found
+            packed, scale = _points(value, owner, sent, len(size))
+            who = owner[sent]
+            m = size[who] << 34 | (size[who] - rank[sent]) << 5 | scale
+            columns = [pa.array(value[sent].view(np.int64)), pa.array(mark[who]), pa.array(m), packed]
+            if labelled:
+                label = np.array([g if g is not None else f for g, f in zip(batch.column(2).take(pa.array(row)).to_pylist(), mark.tolist())], np.int64)
+                columns.append(pa.array(label[who]))
+            yield pa.RecordBatch.from_arrays(columns, ["k", "f", "m", "p", "label"][: len(columns)])
+
+    return rows.mapInArrow(run, "k long, f long, m long, p binary" + (", label long" if labelled else ""))
+
+
+def _split(routed: DataFrame, crowds: DataFrame) -> DataFrame:
+    """Crowded meeting points cut into blocks: a text goes to each pair of blocks that its own is in, with the side it is on."""
+    both = routed.join(broadcast_if_small(crowds), "k", "left").withColumn("b", F.coalesce(F.ceil(F.col("c") / BLOCK), F.lit(1)))
+    both = both.withColumn("home", F.pmod(F.xxhash64("f"), "b")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)))
+    low, high = F.least("home", "other"), F.greatest("home", "other")
+    side = F.when(low == high, 0).when(F.col("home") == low, 1).otherwise(2).cast("byte")
+    return both.withColumn("side", side).withColumn("k", F.when(F.col("b") > 1, F.xxhash64("k", low, high)).otherwise(F.col("k"))).drop("b", "c", "home", "other")
+
+
+def _meet(routed: DataFrame, t: float, star: bool = False) -> DataFrame:
+    """Distinct pairs of fingerprints that survive the bounds; of labelled ones only those with different labels.
+
+    star: at each meeting point a text is paired with one only, the smallest of those it may be similar to."""
+    sided, labelled = "side" in routed.columns, "label" in routed.columns
+
+    def leaves(key, f, size, left, scale, side, label, packed) -> tuple[np.ndarray, np.ndarray] | None:
         """Meeting points of up to LEAF texts, each a single leaf: all of a batch at once, neighbour by neighbour."""
         last = np.searchsorted(key, key, side="right")
-        point, out, i, d = unpacked(packed), [], np.arange(len(key)), 0
+        point, out, i, d = unpacked(packed, scale), [], np.arange(len(key)), 0
         while True:
             d += 1
             i = i[i + d < last[i]]
             if not len(i):
                 break
             j = i + d
-            a, b = size[i], size[j]
-            need, least = least_overlap(a, b, t), np.minimum(a, b)
-            long = (least > LONG) & (least >= t * np.maximum(a, b) - 1e-3)
-            ok = (long | (np.minimum(left[i], left[j]) >= need)) & (f[i] != f[j]) & ((side[i] == 0) | (side[i] != side[j]))
-            a, b, need, long = i[ok], j[ok], need[ok], long[ok]
-            ok = long.copy()
-            rest = np.flatnonzero(~long)
-            ok[rest] = np.minimum(point[a[rest]], point[b[rest]]).sum(1) >= need[rest]
+            need = least_overlap(size[i], size[j], t)
+            ok = (np.minimum(left[i], left[j]) >= need) & (f[i] != f[j])
+            if sided:
+                ok &= (side[i] == 0) | (side[i] != side[j])
+            if labelled:
+                ok &= label[i] != label[j]
+            a, b, need = i[ok], j[ok], need[ok]
+            ok = np.minimum(point[a], point[b]).sum(1) >= need
             out.append((a[ok], b[ok]))
-        return pairs_of(f, size, np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])) if out else None
-
-    def pairs_of(f, size, i, j) -> tuple[np.ndarray, ...]:
-        long = np.minimum(size[i], size[j]) > LONG
-        return f[i], f[j], np.where(long, 1, SURE), np.where(long, least_meetings(size[i], size[j], t), 1)
-
-    def tree(f, size, left, side, packed) -> tuple[np.ndarray, np.ndarray] | None:
+        return pairs_of(f, np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])) if out else None
+
+    def pairs_of(f, i, j) -> tuple[np.ndarray, np.ndarray]:
+        if star:
+            order = np.lexsort((i, j))
+            i, j = i[order], j[order]
+            first = np.ones(len(j), bool)
+            first[1:] = j[1:] != j[:-1]
+            i, j = i[first], j[first]
+        return f[i], f[j]
+
+    def tree(f, size, left, scale, side, label, packed) -> tuple[np.ndarray, np.ndarray] | None:
         _, first = np.unique(f, return_index=True)
         pick = first[np.argsort(size[first], kind="stable")]
-        f, side, size = f[pick], side[pick], size[pick]
-        found = list(Tree(size, left[pick], unpacked(packed[pick])).join(t, side if side.any() else None))
-        return pairs_of(f, size, np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])) if found else None
+        f, side, size, label = f[pick], side[pick], size[pick], label[pick]
+        found = [(i[ok], j[ok]) for i, j in Tree(size, left[pick], unpacked(packed[pick], scale[pick])).join(t, side if side.any() else None) for ok in [label[i] != label[j] if labelled else slice(None)]]
+        return pairs_of(f, np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])) if found else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -288,8 +364,10 @@ def _meet(routed: DataFrame, t: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, f, n, left, side = (batch.column(c).to_numpy() for c in ("k", "f", "n", "l", "side"))
-            held.append((key, f, n.astype(np.float32), left.astype(np.float32), side, Bytes(batch.column("p"))[0 : len(key)]))
+            key, f, m = (batch.column(c).to_numpy() for c in ("k", "f", "m"))
+            side = batch.column("side").to_numpy() if sided else np.zeros(len(key), np.int8)
+            label = batch.column("label").to_numpy() if labelled else f
+            held.append((key, f, (m >> 34).astype(np.float32), (m >> 5 & (1 << 29) - 1).astype(np.float32), m & 31, side, label, Bytes(batch.column("p"))[0 : len(key)]))
             if key[0] != key[-1] or held[0][0][0] != key[0]:
                 close(False)
             else:
@@ -303,57 +381,65 @@ def _meet(routed: DataFrame, t: float) -> DataFrame:
             yield flush(found)
 
     def flush(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        a, b, w, need = (np.concatenate(c) for c in zip(*found))
-        pair, at = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_inverse=True)
-        most = np.zeros(len(pair), np.int32)
-        np.maximum.at(most, at, need)
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(np.bincount(at, w).astype(np.int64)), pa.array(most)], ["fa", "fb", "w", "need"])
+        a, b = (np.concatenate(c) for c in zip(*found))
+        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["fa", "fb"])
 
-    return routed.repartition("k").sortWithinPartitions("k").mapInArrow(run, "fa long, fb long, w long, need int").groupBy("fa", "fb").agg(F.sum("w").alias("w"), F.max("need").alias("need")).filter("w >= need").select("fa", "fb")
+    return routed.repartition("k").sortWithinPartitions("k").mapInArrow(run, "fa long, fb long").distinct()
 
 
-def _members(rows: DataFrame, words: int, least: int, sets: bool) -> DataFrame:
-    """id, fingerprint and the sorted shingle set, or else a hash of the text, of every text with enough shingles."""
-    import xxhash
+def _sets(rows: DataFrame, words: int, least: int) -> DataFrame:
+    """Fingerprint and sorted shingle set of every text with enough shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(words, least)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            row, offsets, value = make(texts)
-            if sets:
-                last = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64)))
-            else:
-                last = pa.array(np.array([xxhash.xxh3_64_intdigest(texts[r]) for r in row.tolist()], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(fingerprints(value, offsets)), last], ["id", "f", "s" if sets else "d"])
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, f long, " + ("s array<bigint>" if sets else "d long"))
-
-
-def similar_classes(df: DataFrame, key: str, text: str, t: float = 0.8, words: int = 5, least: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(members: id, f, hash d of the text) and (links: fa < fb, similarity), both materialized: texts under the fingerprint of their set, and the
-    fingerprints whose sets have Jaccard similarity >= t. Null keys, null texts and texts with fewer than `least` distinct
-    shingles are left out; a key that is repeated with equal text counts once. Empty input gives two empty tables."""
-    spark = df.sparkSession
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
-    counters = spark.sparkContext.broadcast(_counters(rows, words, least))
-    pairs = materialize(_meet(_route(rows, counters, t, words, least), t))
-    wanted = materialize(pairs.select(F.col("fa").alias("f")).union(pairs.select("fb")).distinct())
-    sets = _members(rows, words, least, True).join(broadcast_if_small(wanted), "f", "left_semi").select("f", "s").dropDuplicates(["f"])
-    both = pairs.join(sets.select(F.col("f").alias("fa"), F.col("s").alias("sa")), "fa").join(sets.select(F.col("f").alias("fb"), F.col("s").alias("sb")), "fb")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = both.withColumn("o", shared).withColumn("similarity", F.col("o") / (F.size("sa") + F.size("sb") - F.col("o")))
-    links = materialize(links.filter(F.col("similarity") >= t - 1e-12).select("fa", "fb", "similarity"))
-    members = materialize(_members(rows, words, least, False).groupBy("id", "f").agg(F.min("d").alias("d")))
-    return members, links
-
-
-def near_duplicate_pairs(df: DataFrame, key: str, text: str, t: float = 0.8, words: int = 5, least: int = 1, expand: int = EXPAND) -> DataFrame:
-    """id_a < id_b of every two texts with similarity >= t, equal ones included.
+            _, offsets, value = make(batch.column(1).to_pylist())
+            sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(fingerprints(value, offsets)), sets], ["f", "s"])
+
+    return rows.mapInArrow(run, "f long, s array<bigint>")
+
+
+class Search:
+    """The texts of df under the fingerprints of their sets (members: id, f, hash d of the text), and the links among these.
+
+    Null keys, null texts and texts with fewer than `least` distinct shingles are left out; a key that is repeated with equal
+    text counts once. Empty input gives two empty tables. counters: size of the table of the order, a multiple of RANGE."""
+
+    def __init__(self, df: DataFrame, key: str, text: str, t: float, words: int, least: int, counters: int = COUNTERS) -> None:
+        if counters < RANGE or counters % RANGE:
+            raise ValueError(f"counters must be a multiple of {RANGE}")
+        self.t, self.words, self.least = t, words, least
+        self.rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
+        survey = materialize(_survey(self.rows, words, least, counters))
+        self.members = survey.filter("id is not null").select("id", "f", "d").distinct()
+        table = _order(survey, counters)
+        self.order = df.sparkSession.sparkContext.broadcast(table)
+        self.crowds = materialize(_crowds(self.rows, self.order, t, words, least)) if (most_of(table) > BLOCK).any() else None
+
+    def links(self, labels: DataFrame | None = None, star: bool = False) -> DataFrame:
+        """fa < fb, similarity >= t. labels (id, label): only links between texts of different labels. star: not all links,
+        but at least one for each text that has any to a smaller one under the same shingle."""
+        rows = self.rows if labels is None else self.rows.join(broadcast_if_small(labels), "id", "left").select("id", "text", "label")
+        routed = _route(rows, self.order, self.t, self.words, self.least)
+        if self.crowds is not None and not self.crowds.isEmpty():
+            routed = _split(routed, self.crowds)
+        pairs = materialize(_meet(routed, self.t, star))
+        wanted = materialize(pairs.select(F.col("fa").alias("f")).union(pairs.select("fb")).distinct())
+        sets = _sets(self.rows, self.words, self.least).join(broadcast_if_small(wanted), "f", "left_semi").dropDuplicates(["f"])
+        both = pairs.join(sets.select(F.col("f").alias("fa"), F.col("s").alias("sa")), "fa").join(sets.select(F.col("f").alias("fb"), F.col("s").alias("sb")), "fb")
+        links = both.withColumn("o", F.size(F.array_intersect("sa", "sb"))).withColumn("similarity", F.col("o") / (F.size("sa") + F.size("sb") - F.col("o")))
+        return materialize(links.filter(F.col("similarity") >= self.t - 1e-12).select("fa", "fb", "similarity"))
+
+
+def near_duplicate_pairs(df: DataFrame, key: str, text: str, t: float = 0.8, words: int = 5, least: int = 1, expand: int = EXPAND, counters: int = COUNTERS) -> DataFrame:
+    """id_a < id_b of every two texts with similarity >= t, equal ones included. See Search for what is left out.
 
     Where more than `expand` texts are the same to the byte, they are not written out as all pairs: each is paired with the
     smallest id of them, and that id alone stands for them in pairs with other texts. No other pair is left out."""
-    members, links = similar_classes(df, key, text, t, words, least)
+    search = Search(df, key, text, t, words, least, counters)
+    members, links = search.members, search.links()
     copies = members.groupBy("f", "d").agg(F.count("*").alias("size"), F.min("id").alias("rep")).filter(F.col("size") > expand)
     tagged = materialize(members.join(copies, ["f", "d"], "left"))
     star = tagged.filter("size is not null and id > rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
@@ -363,22 +449,25 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, t: float = 0.8, wor
     return cross.union(equal).union(star).distinct()
 
 
-def near_duplicate_groups(df: DataFrame, key: str, text: str, t: float = 0.8, words: int = 5, least: int = 1) -> DataFrame:
-    """A row per text: id, group_id (smallest id that chains of links reach), n_links (other texts it is similar to)."""
-    members, links = similar_classes(df, key, text, t, words, least)
-    classes = members.groupBy("f").agg(F.count("*").alias("size"), F.min("id").alias("rep"))
-    both = links.select("fa", "fb").union(links.select(F.col("fb").alias("fa"), F.col("fa").alias("fb")))
-    around = both.join(classes.select(F.col("f").alias("fb"), "size"), "fb").groupBy("fa").agg(F.sum("size").alias("around"))
-    labels = components(links.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
-    named = classes.join(labels.withColumnRenamed("node", "f"), "f", "left").withColumn("label", F.coalesce("label", "f"))
-    named = named.join(named.groupBy("label").agg(F.min("rep").alias("group_id")), "label").join(around.withColumnRenamed("fa", "f"), "f", "left")
-    return members.join(named, "f").select("id", "group_id", (F.col("size") - 1 + F.coalesce("around", F.lit(0))).alias("n_links"))
+def near_duplicate_groups(df: DataFrame, key: str, text: str, t: float = 0.8, words: int = 5, least: int = 1, counters: int = COUNTERS) -> DataFrame:
+    """A row per text: id, group_id (the smallest id that chains of similar texts reach). See Search for what is left out.
+
+    A family of m texts has up to m^2 / 2 links, of which a group needs m - 1. So the texts meet twice: first each is linked
+    with one other per meeting point, which joins almost all; then only texts of different groups are paired and verified."""
+    search = Search(df, key, text, t, words, least, counters)
+    first = search.links(star=True)
+    labels = materialize(components(first.select(F.col("fa").alias("a"), F.col("fb").alias("b"))))
+    of_id = search.members.join(labels.withColumnRenamed("node", "f"), "f", "left").groupBy("id").agg(F.min(F.coalesce("label", "f")).alias("label"), F.max(F.coalesce("label", "f")).alias("other"))
+    second = search.links(materialize(of_id.filter("label = other").select("id", "label").join(labels.select("label").distinct(), "label", "left_semi")))
+    merged = first.union(second).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    named = search.members.join(components(merged).withColumnRenamed("node", "f"), "f", "left").select("id", F.coalesce("label", "f").alias("label"))
+    return named.join(named.groupBy("label").agg(F.min("id").alias("group_id")), "label").select("id", "group_id").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label (smallest node of its component), by alternating large and small stars until nothing changes."""
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    while True:
         sides = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = sides.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()

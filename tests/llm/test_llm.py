@@ -119,8 +119,9 @@ def brute_pairs(texts, t, words, least):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-12}
 
 
-@pytest.mark.parametrize(("t", "words", "block", "leaf"), [(0.6, 3, 8192, 64), (0.8, 5, 4, 4)])
-def test_pairs_equal_brute_force(spark, monkeypatch, t, words, block, leaf):
+@pytest.mark.parametrize(("t", "words", "block", "leaf", "counters"), [(0.6, 3, 8192, 64, 1 << 20), (0.8, 5, 4, 4, 1024), (0.6, 3, 2, 3, 2048)])
+def test_pairs_equal_brute_force(spark, monkeypatch, t, words, block, leaf, counters):
+    """The last two cases have far more shingles than counters times block, as a corpus beyond the size of the table has."""
     monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "LEAF", leaf)
     rng, texts = random.Random(5), [("x", None), (None, "a b c d e f g"), ("e", ""), ("s", "too short")]
@@ -134,16 +135,36 @@ def test_pairs_equal_brute_force(spark, monkeypatch, t, words, block, leaf):
             texts.append((f"{i}-{j}", " ".join(new)))
     texts += [("copy1", texts[4][1]), ("copy2", texts[4][1]), ("copy2", texts[4][1])]
     df = spark.createDataFrame([(k, x, 0) for k, x in texts], "chunk_id string, text string, fa int")
-    got = {tuple(r) for r in neardup.near_duplicate_pairs(df, "chunk_id", "text", t, words, 20).collect()}
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(df, "chunk_id", "text", t, words, 20, counters=counters).collect()}
     want = brute_pairs(texts, t, words, 20)
     assert got == want and len(want) > 20
-    star = {tuple(r) for r in neardup.near_duplicate_pairs(df, "chunk_id", "text", t, words, 20, expand=1).collect()}
+    star = {tuple(r) for r in neardup.near_duplicate_pairs(df, "chunk_id", "text", t, words, 20, expand=1, counters=counters).collect()}
     assert star <= want and {("0-0", "copy1"), ("0-0", "copy2")} <= star
-    groups = {r.id: (r.group_id, r.n_links) for r in neardup.near_duplicate_groups(df, "chunk_id", "text", t, words, 20).collect()}
-    for a, b in want:
-        assert groups[a][0] == groups[b][0]
-    for k, (_, n) in groups.items():
-        assert n == sum(k in p for p in want)
+    groups = dict(map(tuple, neardup.near_duplicate_groups(df, "chunk_id", "text", t, words, 20, counters=counters).collect()))
+    label = {k: k for k in groups}
+    for _ in label:
+        for a, b in want:
+            label[a] = label[b] = min(label[a], label[b])
+    assert groups == label
+
+
+def test_a_crowded_shingle_is_split(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(11)
+    texts = [(f"{i:03}", prose(rng, 30) + " licence of this text " * 3 + prose(rng, 6)) for i in range(100)]
+    texts += [(f"d{k}", x + " more") for k, x in texts[:5]]
+    df = spark.createDataFrame(texts, "chunk_id string, text string")
+    search = neardup.Search(df, "chunk_id", "text", 0.6, 3, 1, 1024)
+    assert {tuple(r) for r in neardup.near_duplicate_pairs(df, "chunk_id", "text", 0.6, 3, 1, counters=1024).collect()} == brute_pairs(texts, 0.6, 3, 1)
+    routed = neardup._route(search.rows, search.order, 0.6, 3, 1)
+    most = lambda rows: rows.groupBy("k").count().agg(F.max("count")).first()[0]
+    flat = spark.createDataFrame([(k, 105) for k, in routed.select("k").distinct().limit(3).collect()], "k long, c long")
+    assert most(neardup._split(routed, flat)) <= max(most(routed), 32)
+
+
+def test_counts_as_codes_are_upper_bounds():
+    c = np.concatenate([np.arange(5000), 2 ** np.arange(13, 30)])
+    assert (neardup.most_of(neardup.coded(c)) >= c - 1e-6 * c).all() and (neardup.most_of(neardup.coded(c)) <= 1.1 * c + 1e-9).all()
 
 
 def test_long_texts_of_unequal_size_equal_brute_force(spark):
