@@ -8,9 +8,10 @@ So that the points need not all meet in one place, they are routed: of the shing
 text sends its point under each of the first |A| - ceil(t |A|) + 1. Similar texts meet under at least one of these, and
 at the first shingle they have in common the shingles still to come bound the overlap too. Any fixed order is exact;
 frequency is only what keeps the meeting points small, and is taken from a table of `counters` counters over all texts.
-Shingles that are really sent by more than BLOCK texts are counted one by one, and only these have their meeting point
-split into blocks that meet pairwise. In each meeting point an R-tree of boxes is built and joined with itself. Surviving
-pairs are verified on the whole shingle sets. Texts with equal sets share a fingerprint; every text is listed under it.
+Shingles that are really sent by more than BLOCK texts are counted one by one where counters are too coarse for that, and
+only these have their meeting point split into blocks that meet pairwise. In each meeting point an R-tree of boxes is built
+and joined with itself. Surviving pairs are bounded again by count vectors over as many groups as the texts are long, and
+then verified on the whole shingle sets. Texts with equal sets share a fingerprint; every text is listed under it.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ RANGE = 1024
 LEAF = 64
 #: A shingle under which more texts than this meet is split into blocks, and pairs of blocks meet.
 BLOCK = 8192
+#: Shingles are split by their counters, which also count others, as long as this share of all shingles at most is copied by that.
+SPARE = 0.1
 #: Texts equal to the byte: up to this many are listed pair by pair, more of them each with the smallest id only.
 EXPAND = 1000
 WORDS = re.compile(r"[a-z0-9]+")
@@ -144,28 +147,28 @@ def most_of(code: np.ndarray) -> np.ndarray:
 
 
 def _survey(rows: DataFrame, words: int, least: int, counters: int) -> DataFrame:
-    """One row per text with enough shingles: id, fingerprint f, hash d of the text; and under a null id, numbered by f, the
-    compressed counts of RANGE counters each that a task has added up over its texts."""
+    """One row per text with enough shingles: id, fingerprint f, hash d of the text, size n, count vector z; and under a null id,
+    numbered by f, the compressed counts of RANGE counters each that a task has added up over its texts."""
     import xxhash
 
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, make, id_type = np.zeros(counters, np.uint32), Shingler(words, least), None
-        names = ["id", "f", "d", "z"]
+        names = ["id", "f", "d", "n", "z"]
         for batch in batches:
             texts, id_type = batch.column(1).to_pylist(), batch.column(0).type
             row, offsets, value = make(texts)
             total += np.bincount((value % np.uint64(counters)).astype(np.int64), minlength=counters).astype(np.uint32)
             mark = pa.array(np.array([xxhash.xxh3_64_intdigest(texts[r]) for r in row.tolist()], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(fingerprints(value, offsets)), mark, pa.nulls(len(row), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(fingerprints(value, offsets)), mark, pa.array(np.diff(offsets)), pa.array(vectors(value, offsets), pa.binary())], names)
         if id_type is not None:
             parts = total.reshape(-1, RANGE)
             at = np.flatnonzero(parts.any(1))
             packed = [zlib.compress(parts[i].tobytes(), 1) for i in at.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), id_type), pa.array(at), pa.nulls(len(at), pa.int64()), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), id_type), pa.array(at), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array(packed, pa.binary())], names)
 
-    return rows.mapInArrow(run, f"id {kind}, f long, d long, z binary")
+    return rows.mapInArrow(run, f"id {kind}, f long, d long, n long, z binary")
 
 
 def _order(survey: DataFrame, counters: int) -> np.ndarray:
@@ -184,6 +187,48 @@ def _order(survey: DataFrame, counters: int) -> np.ndarray:
     return out.ravel()
 
 
+def stepped(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of counts in steps of 2^scale, rounded up, so that none is above 15, and the scale of each row."""
+    scale = np.ceil(np.log2(np.maximum(count.max(1), 15) / 15) - 1e-12).astype(np.int64)
+    return (count + (1 << scale)[:, None] - 1) >> scale[:, None], scale
+
+
+def vectors(value: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The count vector of each whole set, over a power of two of groups, at least half as many as it has shingles: a byte for
+    the scale, then half bytes."""
+    size = np.diff(offsets)
+    dims = DIMS << np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / 2 / DIMS) - 1e-12)).astype(np.int64)
+    out: list[bytes] = [b""] * len(size)
+    for d in np.unique(dims).tolist():
+        rows = np.flatnonzero(dims == d)
+        for s in range(0, len(rows), max(1, 1_000_000 // d)):
+            part = rows[s : s + max(1, 1_000_000 // d)]
+            at = np.repeat(offsets[part] - np.cumsum(size[part]) + size[part], size[part]) + np.arange(size[part].sum())
+            group = (value[at] >> np.uint64(24)) % np.uint64(d)
+            count, scale = stepped(np.bincount(np.repeat(np.arange(len(part)), size[part]) * d + group.astype(np.int64), minlength=len(part) * d).reshape(-1, d))
+            packed = np.concatenate([scale[:, None], count[:, ::2] << 4 | count[:, 1::2]], 1).astype(np.uint8)
+            for r, row in zip(part.tolist(), packed):
+                out[r] = row.tobytes()
+    return out
+
+
+def vector_bounds(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Most shingles that the sets of two count vectors can share, pair by pair; the one with more groups is folded."""
+    out, la, lb = np.zeros(len(a), np.int64), np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    for m, n in sorted(set(zip(la.tolist(), lb.tolist()))):
+        rows = np.flatnonzero((la == m) & (lb == n))
+        for s in range(0, len(rows), max(1, 4_000_000 // max(m, n))):
+            part = rows[s : s + max(1, 4_000_000 // max(m, n))].tolist()
+            sides = []
+            for x, size in ((a, m), (b, n)):
+                raw = np.frombuffer(b"".join(x[i] for i in part), np.uint8).reshape(-1, size)
+                count = np.empty((len(part), 2 * size - 2), np.int64)
+                count[:, ::2], count[:, 1::2] = raw[:, 1:] >> 4, raw[:, 1:] & 15
+                sides.append((count << raw[:, :1].astype(np.int64)).reshape(len(part), -1, 2 * min(m, n) - 2).sum(1))
+            out[part] = np.minimum(*sides).sum(1)
+    return out
+
+
 def _points(value: np.ndarray, owner: np.ndarray, sent: np.ndarray, n: int) -> tuple[pa.Array, np.ndarray]:
     """For each shingle sent, the counts per group of it and all later shingles of its text, in half bytes, and their scale.
 
@@ -191,6 +236,7 @@ def _points(value: np.ndarray, owner: np.ndarray, sent: np.ndarray, n: int) -> t
     15 are kept in steps of 2^scale, rounded up."""
     group = ((value >> np.uint64(24)) % np.uint64(DIMS)).astype(np.int64)
     whole = np.bincount(owner * DIMS + group, minlength=n * DIMS).reshape(n, DIMS)
+    large = whole.max(1, initial=0) > 15
     at = np.flatnonzero(sent)
     parts, scales = [], []
     for s in range(0, len(at), 100_000):
@@ -205,8 +251,10 @@ def _points(value: np.ndarray, owner: np.ndarray, sent: np.ndarray, n: int) -> t
             before = at[(owner[at[:s]] == who[0]).nonzero()[0]]
             lead[0] -= np.bincount(group[before], minlength=DIMS).astype(np.int32)
         left = whole[who] - (gone - np.repeat(lead, np.diff(np.append(new, len(part))), axis=0))
-        scale = np.ceil(np.log2(np.maximum(left.max(1), 15) / 15) - 1e-12).astype(np.int64)
-        left = ((left + (1 << scale)[:, None] - 1) >> scale[:, None]).astype(np.uint8)
+        scale, rest = np.zeros(len(part), np.int64), np.flatnonzero(large[who])
+        if len(rest):
+            left[rest], scale[rest] = stepped(left[rest])
+        left = left.astype(np.uint8)
         parts.append(left[:, ::2] << 4 | left[:, 1::2])
         scales.append(scale)
     packed = np.concatenate(parts) if parts else np.zeros((0, DIMS // 2), np.uint8)
@@ -289,8 +337,14 @@ def _route(rows: DataFrame, order, t: float, words: int, least: int) -> DataFram
 
 
 def _split(routed: DataFrame, crowds: DataFrame) -> DataFrame:
-    """Crowded meeting points cut into blocks: a text goes to each pair of blocks that its own is in, with the side it is on."""
-    both = routed.join(broadcast_if_small(crowds), "k", "left").withColumn("b", F.coalesce(F.ceil(F.col("c") / BLOCK), F.lit(1)))
+    """Crowded meeting points cut into blocks: a text goes to each pair of blocks that its own is in, with the side it is on.
+
+    crowds: (k, c), how many meet under a shingle; or (at, mask, c), at most how many under any that falls into a counter."""
+    if "at" in crowds.columns:
+        both = routed.join(broadcast_if_small(crowds), F.col("k").bitwiseAND(F.lit(crowds.first().mask)) == F.col("at"), "left").drop("at", "mask")
+    else:
+        both = routed.join(broadcast_if_small(crowds), "k", "left")
+    both = both.withColumn("b", F.coalesce(F.ceil(F.col("c") / BLOCK), F.lit(1)))
     both = both.withColumn("home", F.pmod(F.xxhash64("f"), "b")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)))
     low, high = F.least("home", "other"), F.greatest("home", "other")
     side = F.when(low == high, 0).when(F.col("home") == low, 1).otherwise(2).cast("byte")
@@ -405,33 +459,59 @@ class Search:
     """The texts of df under the fingerprints of their sets (members: id, f, hash d of the text), and the links among these.
 
     Null keys, null texts and texts with fewer than `least` distinct shingles are left out; a key that is repeated with equal
-    text counts once. Empty input gives two empty tables. counters: size of the table of the order, a multiple of RANGE."""
+    text counts once. Empty input gives two empty tables. counters: size of the table of the order, a power of two."""
 
     def __init__(self, df: DataFrame, key: str, text: str, t: float, words: int, least: int, counters: int = COUNTERS) -> None:
-        if counters < RANGE or counters % RANGE:
-            raise ValueError(f"counters must be a multiple of {RANGE}")
+        if counters < RANGE or counters & (counters - 1):
+            raise ValueError(f"counters must be a power of two from {RANGE} on")
         self.t, self.words, self.least = t, words, least
         self.rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
         survey = materialize(_survey(self.rows, words, least, counters))
-        self.members = survey.filter("id is not null").select("id", "f", "d").distinct()
+        self.texts = survey.filter("id is not null")
+        self.members = self.texts.select("id", "f", "d").distinct()
         table = _order(survey, counters)
         self.order = df.sparkSession.sparkContext.broadcast(table)
-        self.crowds = materialize(_crowds(self.rows, self.order, t, words, least)) if (most_of(table) > BLOCK).any() else None
+        self.crowds = self._crowds(most_of(table))
+
+    def _crowds(self, most: np.ndarray) -> DataFrame | None:
+        """Which shingles to split: by their counters, if that copies next to nothing, else by counting them."""
+        crowded = np.flatnonzero(most > BLOCK)
+        if not len(crowded):
+            return None
+        if (most[crowded] * (np.ceil(most[crowded] / BLOCK) - 1)).sum() <= SPARE * most.sum():
+            rows = [(int(i), len(most) - 1, int(most[i])) for i in crowded]
+            return self.rows.sparkSession.createDataFrame(rows, "at long, mask long, c long")
+        crowds = materialize(_crowds(self.rows, self.order, self.t, self.words, self.least))
+        return None if crowds.isEmpty() else crowds
 
     def links(self, labels: DataFrame | None = None, star: bool = False) -> DataFrame:
         """fa < fb, similarity >= t. labels (id, label): only links between texts of different labels. star: not all links,
         but at least one for each text that has any to a smaller one under the same shingle."""
         rows = self.rows if labels is None else self.rows.join(broadcast_if_small(labels), "id", "left").select("id", "text", "label")
         routed = _route(rows, self.order, self.t, self.words, self.least)
-        if self.crowds is not None and not self.crowds.isEmpty():
+        if self.crowds is not None:
             routed = _split(routed, self.crowds)
-        pairs = materialize(_meet(routed, self.t, star))
+        pairs = materialize(self._possible(_meet(routed, self.t, star)))
         wanted = materialize(pairs.select(F.col("fa").alias("f")).union(pairs.select("fb")).distinct())
         sets = _sets(self.rows, self.words, self.least).join(broadcast_if_small(wanted), "f", "left_semi").dropDuplicates(["f"])
         both = pairs.join(sets.select(F.col("f").alias("fa"), F.col("s").alias("sa")), "fa").join(sets.select(F.col("f").alias("fb"), F.col("s").alias("sb")), "fb")
         links = both.withColumn("o", F.size(F.array_intersect("sa", "sb"))).withColumn("similarity", F.col("o") / (F.size("sa") + F.size("sb") - F.col("o")))
         return materialize(links.filter(F.col("similarity") >= self.t - 1e-12).select("fa", "fb", "similarity"))
 
+    def _possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that the count vectors of the whole sets allow, too."""
+        t, of = self.t, self.texts.select("f", "n", "z").dropDuplicates(["f"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                na, nb, a, b = (batch.column(c) for c in ("na", "nb", "za", "zb"))
+                ok = vector_bounds(a.to_pylist(), b.to_pylist()) >= least_overlap(na.to_numpy(), nb.to_numpy(), t)
+                yield batch.select(["fa", "fb"]).filter(pa.array(ok))
+
+        for side in "ab":
+            pairs = pairs.join(of.select(F.col("f").alias(f"f{side}"), F.col("n").alias(f"n{side}"), F.col("z").alias(f"z{side}")), f"f{side}")
+        return pairs.mapInArrow(run, "fa long, fb long")
+
 
 def near_duplicate_pairs(df: DataFrame, key: str, text: str, t: float = 0.8, words: int = 5, least: int = 1, expand: int = EXPAND, counters: int = COUNTERS) -> DataFrame:
     """id_a < id_b of every two texts with similarity >= t, equal ones included. See Search for what is left out.

@@ -160,6 +160,20 @@ def test_a_crowded_shingle_is_split(spark, monkeypatch):
     most = lambda rows: rows.groupBy("k").count().agg(F.max("count")).first()[0]
     flat = spark.createDataFrame([(k, 105) for k, in routed.select("k").distinct().limit(3).collect()], "k long, c long")
     assert most(neardup._split(routed, flat)) <= max(most(routed), 32)
+    by_counter = spark.createDataFrame([(i, 1023, 105) for i in range(1024)], "at long, mask long, c long")
+    assert most(neardup._split(routed, by_counter)) <= 32
+
+
+def test_count_vectors_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 3 * n, n)).astype(np.uint64) for n in (5, 60, 200, 900, 3000) for _ in range(3)]
+    sets = [neardup.mix64(x + np.uint64(7)) for x in sets] + [np.full(0, 1, np.uint64)]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    z = neardup.vectors(np.concatenate(sets), offsets)
+    i, j = np.triu_indices(len(sets))
+    bound = neardup.vector_bounds([z[a] for a in i], [z[b] for b in j])
+    shared = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (bound >= shared).all() and (bound[i == j] <= 1.1 * shared[i == j]).all()
 
 
 def test_counts_as_codes_are_upper_bounds():
@@ -333,13 +347,60 @@ KINDS = {
 }
 
 
+#: Prose in languages without any listed word.
+UNLISTED = [
+    "Вчера мы ходили в большой парк рядом с домом и долго говорили о новой книге. Погода была хорошая, поэтому дети играли до самого вечера.",
+    "Dün akşam evimizin yakınındaki büyük parka gittik ve yeni kitap hakkında uzun uzun konuştuk. Hava çok güzeldi, bu yüzden çocuklar geç saate kadar oynadı.",
+    "어제 우리는 집 근처에 있는 큰 공원에 가서 동생이 가져온 새 책에 대해 오래 이야기했다. 날씨가 좋아서 아이들은 저녁까지 놀았다.",
+    "昨天我们去了家附近的大公园，聊了很久弟弟从城里带来的新书。天气很好，所以孩子们一直玩到晚上。后来大家都回家喝茶了。",
+    "Ieri siamo andati nel grande parco vicino a casa e abbiamo parlato a lungo del nuovo libro. Il tempo era bello, quindi i bambini hanno giocato fino a sera.",
+    "Wczoraj poszliśmy do dużego parku obok domu i długo rozmawialiśmy o nowej książce. Pogoda była dobra, więc dzieci bawiły się do wieczora.",
+    "ذهبنا أمس إلى الحديقة الكبيرة القريبة من البيت وتحدثنا طويلا عن الكتاب الجديد. كان الطقس جميلا، لذلك لعب الأطفال حتى المساء.",
+    "कल हम घर के पास वाले बड़े पार्क में गए और नई किताब के बारे में देर तक बात की। मौसम अच्छा था, इसलिए बच्चे शाम तक खेलते रहे।",
+    "เมื่อวานเราไปสวนสาธารณะใหญ่ใกล้บ้านและคุยกันนานเกี่ยวกับหนังสือเล่มใหม่ อากาศดีเด็กๆ จึงเล่นกันจนถึงเย็น",
+]
+
+
+def corpus_for_fit():
+    """Texts of all kinds, with sentences, items, rows and noise drawn anew."""
+    rng, texts = random.Random(12), []
+    sentence = lambda: " ".join([rng.choice(ENGLISH).title()] + [rng.choice(ENGLISH if rng.random() < 0.35 else WORDS) for _ in range(rng.randrange(5, 18))]) + rng.choice([".", ".", "?", ", " + rng.choice(WORDS) + "."])
+    for i in range(600):
+        n = rng.randrange(2, 9)
+        texts.append("\n".join(" ".join(sentence() for _ in range(rng.randrange(1, 4))) for _ in range(n)) if i % 5 < 3 else sentence() + " " + sentence())
+        texts += ["。".join("".join(rng.choice("あいうえおかきくけこさしすせそたなのはもり文章語本") for _ in range(rng.randrange(8, 40))) for _ in range(n))] * (i % 12 == 7)
+        texts += [texts[-1].upper().replace(".", "")] * (i % 12 == 5)
+        texts += ["\n".join(rng.choice(["- ", "• ", ""]) + " ".join(rng.sample(WORDS, rng.randrange(1, 4))) for _ in range(n))] * (i % 6 == 0)
+        cut = rng.choice([" | ", "\t", ";", "      "])
+        texts += ["\n".join(cut.join(rng.choice([rng.choice(WORDS), str(rng.randrange(99))]) for _ in range(4)) for _ in range(n))] * (i % 6 == 1)
+    return texts + [x for x in KINDS["junk"] for _ in range(8)]
+
+
 def test_kinds_of_text():
-    table = quality.hash_words(ENGLISH)
-    for kind, texts in KINDS.items():
-        got = quality.measure(texts, table)["kind"].tolist()
+    table, scripts = quality.hash_words(ENGLISH), quality.scripts_of(ENGLISH)
+    model = quality.fit(corpus_for_fit(), table, scripts)
+    for kind, texts in (KINDS | {"prose": KINDS["prose"] + UNLISTED}).items():
+        got = quality.measure(texts, table, scripts, model)["kind"].tolist()
         assert got == [kind] * len(texts), (kind, got)
 
 
+def test_fit_equals_forward_and_backward_by_brute_force():
+    rng = np.random.default_rng(5)
+    doc, score = np.array([0, 0, 0, 2, 2, 3]), rng.standard_normal((6, 4))
+    got, steps = quality.posterior(doc, score, 4, quality.START, quality.STEP)
+    want, moves = np.zeros((6, 4)), np.zeros((4, 4))
+    for d in (0, 2, 3):
+        at = np.flatnonzero(doc == d)
+        ways = list(itertools.product(range(4), repeat=len(at)))
+        weight = np.exp([quality.START[s[0]] + sum(score[i, k] for i, k in zip(at, s)) + sum(quality.STEP[a, b] for a, b in zip(s, s[1:])) for s in ways])
+        for s, w in zip(ways, weight / weight.sum()):
+            for i, k in zip(at, s):
+                want[i, k] += w
+            for a, b in zip(s, s[1:]):
+                moves[a, b] += w
+    assert got == pytest.approx(want) and steps == pytest.approx(moves)
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(8)
     doc = np.array([0, 0, 0, 2, 2, 2, 2, 3])
