@@ -372,7 +372,8 @@ def corpus_for_fit():
         texts += [texts[-1].upper().replace(".", "")] * (i % 12 == 5)
         texts += ["\n".join(rng.choice(["- ", "• ", ""]) + " ".join(rng.sample(WORDS, rng.randrange(1, 4))) for _ in range(n))] * (i % 6 == 0)
         cut = rng.choice([" | ", "\t", ";", "      "])
-        texts += ["\n".join(cut.join(rng.choice([rng.choice(WORDS), str(rng.randrange(99))]) for _ in range(4)) for _ in range(n))] * (i % 6 == 1)
+        cell = lambda k: str(rng.randrange(99)) + rng.choice(["", "", "%"]) if rng.random() < k else rng.choice([*WORDS, "a", "b"])
+        texts += ["\n".join(cut.join(cell(k) for _ in range(rng.randrange(3, 6))) for k in [0.0, *rng.choices([0.5, 1.0], k=n)])] * (i % 6 == 1)
     return texts + [x for x in KINDS["junk"] for _ in range(8)]
 
 
