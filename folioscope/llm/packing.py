@@ -2,9 +2,10 @@
 
 Sizes are put into classes of `grain` tokens. All patterns of few classes that exactly fill a container are enumerated;
 non-negative least squares fits how often each is used to the histogram of classes over all documents. Classes up to
-`filler` stay out of the patterns: rounding sizes up to classes leaves gaps, which small items fill later. The documents
-are hashed into blocks of bounded size; each block uses its share of every pattern, rounded down, and what is left is
-packed best-fit, largest first, into the space that remains in open containers or into new ones.
+`filler` stay out of the patterns, for the gaps of the rest. The documents are hashed into blocks of bounded size; each block
+uses its share of every pattern, rounded down. A pattern is filled with items of its classes of which the last two are
+chosen to add up to the capacity within `slack` tokens; if none do, its items stay. What is left is packed best-fit, largest
+first, into the space that remains in open containers or into new ones.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.session import materialize
+
 BLOCK_ROWS = 50_000
 
 
@@ -69,44 +72,98 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int = 500) -> np.ndarray:
     return x
 
 
-def pack_block(sizes: np.ndarray, capacity: int, grain: int, columns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
-    """Container number of each size (0 < size <= capacity). columns: patterns as classes, with their repeat count."""
-    where = np.full(len(sizes), -1, np.int64)
-    classes = -(-sizes // grain)
-    order = np.lexsort((np.arange(len(sizes)), -sizes))
-    stock: dict[int, list[int]] = defaultdict(list)
-    for i in order[::-1].tolist():
-        stock[int(classes[i])].append(i)
+class Stock:
+    """Items by size, and as a number with a bit for each size that is there."""
+
+    def __init__(self, sizes: np.ndarray) -> None:
+        self.items: dict[int, list[int]] = defaultdict(list)
+        for i in range(len(sizes) - 1, -1, -1):
+            self.items[int(sizes[i])].append(i)
+        self.mask = sum(1 << s for s in self.items)
+
+    def most(self, size: int) -> int:
+        """The largest size there is up to this one; -1 if there is none."""
+        return (self.mask & ((1 << (size + 1)) - 1)).bit_length() - 1 if size >= 0 else -1
+
+    def take(self, size: int) -> int:
+        items = self.items[size]
+        i = items.pop()
+        if not items:
+            self.mask &= ~(1 << size)
+        return i
+
+    def back(self, size: int, item: int) -> None:
+        self.items[size].append(item)
+        self.mask |= 1 << size
+
+    def fill(self, chosen: tuple[int, ...], capacity: int, grain: int, slack: int) -> list[int] | None:
+        """Items of the classes, largest class first, that fill a container but for `slack`; None leaves the stock as it was."""
+        took: list[tuple[int, int]] = []
+        room = capacity
+        for c in chosen[:-2]:
+            size = self.most(c * grain)
+            if size <= (c - 1) * grain:
+                break
+            took.append((size, self.take(size)))
+            room -= size
+        else:
+            best = (slack + 1, 0, 0)
+            if len(chosen) == 1:
+                last = self.most(room)
+                best = min(best, (room - last, 0, last)) if last > 0 else best
+            else:
+                size = self.most(chosen[-2] * grain)
+                while size > (chosen[-2] - 1) * grain and best[0]:
+                    last = self.most(room - size)
+                    if last > 0 and (last != size or len(self.items[size]) > 1):
+                        best = min(best, (room - size - last, size, last))
+                    size = self.most(size - 1)
+            if best[0] <= slack:
+                return [i for _, i in took] + [self.take(s) for s in best[1:] if s]
+        for size, i in reversed(took):
+            self.back(size, i)
+        return None
+
+
+def pack_block(sizes: np.ndarray, capacity: int, grain: int, columns: list[tuple[tuple[int, ...], int]], slack: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Container number of each size (0 < size <= capacity), and whether a pattern placed it. columns: patterns as classes,
+    with their repeat count."""
+    where, placed = np.full(len(sizes), -1, np.int64), np.zeros(len(sizes), bool)
+    stock = Stock(sizes)
     free: list[int] = []
     for chosen, repeats in columns:
         for _ in range(repeats):
-            if any(len(stock[c]) < chosen.count(c) for c in set(chosen)):
+            took = stock.fill(chosen, capacity, grain, slack)
+            if took is None:
                 break
-            took = [stock[c].pop() for c in chosen]
-            where[took] = len(free)
+            where[took], placed[took] = len(free), True
             free.append(capacity - int(sizes[took].sum()))
     open_at: dict[int, list[int]] = defaultdict(list)
+    rooms = 0
     for j, room in enumerate(free):
         open_at[room].append(j)
-    rooms = np.zeros(capacity + 1, bool)
-    rooms[[r for r, v in open_at.items() if v]] = True
-    for i in order[where[order] < 0].tolist():
+        rooms |= 1 << room
+    for i in np.lexsort((np.arange(len(sizes)), -sizes)).tolist():
+        if where[i] >= 0:
+            continue
         size = int(sizes[i])
-        fits = int(rooms[size:].argmax()) + size
-        if rooms[fits]:
+        above = rooms >> size
+        if above:
+            fits = size + (above & -above).bit_length() - 1
             j = open_at[fits].pop()
-            rooms[fits] = bool(open_at[fits])
+            if not open_at[fits]:
+                rooms &= ~(1 << fits)
         else:
             j, fits = len(free), capacity
             free.append(capacity)
         where[i] = j
         open_at[fits - size].append(j)
-        rooms[fits - size] = True
-    return where
+        rooms |= 1 << (fits - size)
+    return where, placed
 
 
-def pack(df: DataFrame, key: str = "doc_id", size: str = "tokens", capacity: int = 1024, grain: int = 16, parts: int = 6, filler: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per piece: key, container_id, piece_index, n_pieces, piece_tokens, token_offset.
+def pack(df: DataFrame, key: str = "doc_id", size: str = "tokens", capacity: int = 1024, grain: int = 16, parts: int = 4, filler: int = 4, slack: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per piece: key, container_id, piece_index, n_pieces, piece_tokens, token_offset, by_pattern.
 
     Only an item larger than the capacity is divided: into full pieces, each a container of its own, and a rest that is
     packed like an item. A size of 0, null or below goes into a container of its block as a piece of 0 tokens. Rows
@@ -115,7 +172,7 @@ def pack(df: DataFrame, key: str = "doc_id", size: str = "tokens", capacity: int
     if capacity < grain or capacity % grain:
         raise ValueError("capacity must be a multiple of grain")
     items = df.groupBy(F.col(key).alias("__key")).agg(F.greatest(F.coalesce(F.max(size), F.lit(0)), F.lit(0)).cast("long").alias("__n"))
-    items = items.withColumn("__rest", F.when(F.col("__n") <= capacity, F.col("__n")).otherwise(F.col("__n") % capacity))
+    items = materialize(items).withColumn("__rest", F.when(F.col("__n") <= capacity, F.col("__n")).otherwise(F.col("__n") % capacity))
     histogram = items.groupBy("__rest").agg(F.count("*").alias("c")).collect()  # at most capacity + 1 rows
     total = sum(r.c for r in histogram)
     counts = np.zeros(capacity // grain + 1)
@@ -134,16 +191,16 @@ def pack(df: DataFrame, key: str = "doc_id", size: str = "tokens", capacity: int
         full = np.where(n > capacity, n // capacity, 0)
         pieces = full + ((rest > 0) | (n == 0))
         container = np.zeros(len(group), np.int64)
-        small = rest > 0
+        placed, small = np.zeros(len(group), bool), rest > 0
         if small.any():
-            container[small] = pack_block(rest[small], capacity, grain, columns)
+            container[small], placed[small] = pack_block(rest[small], capacity, grain, columns, slack)
         nxt = int(container.max()) + 1
         row = np.repeat(np.arange(len(group)), pieces)
         index = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         whole = index < full[row]
         number = np.where(whole, nxt + np.cumsum(whole) - 1, container[row])
-        return pd.DataFrame({"__key": group["__key"].to_numpy()[row], "container_id": (block << 32) + number, "piece_index": index, "n_pieces": pieces[row], "piece_tokens": np.where(whole, capacity, rest[row]), "token_offset": index * capacity})
+        return pd.DataFrame({"__key": group["__key"].to_numpy()[row], "container_id": (block << 32) + number, "piece_index": index, "n_pieces": pieces[row], "piece_tokens": np.where(whole, capacity, rest[row]), "token_offset": index * capacity, "by_pattern": ~whole & placed[row]})
 
     kind = df.schema[key].dataType.simpleString()
     blocked = items.withColumn("__block", F.pmod(F.xxhash64(F.lit(6), "__key"), F.lit(blocks)))
-    return blocked.groupBy("__block").applyInPandas(run, f"__key {kind}, container_id long, piece_index int, n_pieces int, piece_tokens long, token_offset long").withColumnRenamed("__key", key)
+    return blocked.groupBy("__block").applyInPandas(run, f"__key {kind}, container_id long, piece_index int, n_pieces int, piece_tokens long, token_offset long, by_pattern boolean").withColumnRenamed("__key", key)

@@ -304,10 +304,24 @@ def test_packing_is_tight_and_whole(spark):
         parts.setdefault(r.doc_id, []).append(r.piece_tokens)
     assert max(room.values()) <= 1024 and all(sum(v) == sizes.get(k, 0) for k, v in parts.items())
     assert {k for k, v in parts.items() if len(v) > 1} == {k for k, n in sizes.items() if n > 1024}
-    assert sum(sizes.values()) / (1024 * len(room)) > 0.97
+    assert sum(sizes.values()) / (1024 * len(room)) > 0.998 and sum(r.by_pattern for r in rows) > len(rows) / 3
     assert packing.pack(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("mean", "spread", "n"), [(5.2, 0.9, 6000), (4.6, 0.6, 4000), (6.2, 0.5, 3000)])
+def test_patterns_are_no_worse_than_best_fit(mean, spread, n):
+    rng = np.random.default_rng(8)
+    sizes = np.clip(rng.lognormal(mean, spread, n).astype(int), 1, 1024)
+    a = packing.patterns(64, 4, 5)
+    counts = np.bincount(-(-sizes // 16), minlength=65).astype(float)
+    fitted = packing.nnls(a[5:], counts[5:])
+    columns = [(tuple(int(c) for c in np.repeat(np.arange(65), a[:, j].astype(int)))[::-1], int(fitted[j])) for j in np.argsort(-fitted) if fitted[j] >= 1]
+    where, placed = packing.pack_block(sizes, 1024, 16, columns)
+    plain, none = packing.pack_block(sizes, 1024, 16, [])
+    assert np.bincount(where, sizes).max() <= 1024 and (where >= 0).all() and not none.any()
+    assert placed.mean() > 0.1 and where.max() <= plain.max() + plain.max() // 500
+
+
 def test_nnls_and_patterns():
     a = packing.patterns(8, 4)
     assert (np.arange(9) @ a == 8).all() and len({tuple(c) for c in a.T}) == a.shape[1]
