@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import cooccur, knn, markup, mixing, neardup, packing, quality, split
 from folioscope.llm.tokens import folded, token_count
-from folioscope.session import table
+from folioscope.session import materialize, table
 
 SQL_TOKENS = r"coalesce(len(regexp_extract_all(text, '[A-Za-z0-9]{1,8}|[^A-Za-z0-9 \t\r\n]')), 0)"
 SQL_FOLD = "translate(lower(trim({})), ' -', '__')"
@@ -80,7 +80,7 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, list[mixing.Share]]:
     targets = table(spark, base, "mix_targets")
-    docs = mixing.sized(table(spark, base, "documents"), targets)
+    docs = materialize(mixing.sized(table(spark, base, "documents"), targets))  # texts are counted once
     shares = mixing.plan_mix(docs, targets)
     return mixing.mix(docs, shares), targets, shares
 
