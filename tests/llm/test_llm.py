@@ -232,7 +232,20 @@ def test_tail_is_close_to_the_exact_one():
             assert got == pytest.approx(-np.log10(exact[n:].sum()), abs=0.05)
 
 
-def test_pair_counts(spark):
+def test_classes_of_many_sizes_keep_the_sums():
+    rng = np.random.default_rng(1)
+    n = np.unique(np.concatenate([np.arange(1, 400), rng.integers(400, 10**7, 3000)]))
+    at = np.where(n <= cooccur.FINE, n, cooccur.FINE + 1 + np.floor(np.log(n / cooccur.FINE) / np.log(1.01))).astype(int)
+    assert (np.diff(at) >= 0).all() and len(np.unique(at)) < 1500
+    with pytest.raises(ArithmeticError):
+        cooccur.fit_null(np.array([1.0, 3]), np.array([3.0, 1]), np.array([1.0, 2]), np.array([2.0, 2]), rounds=1)
+
+
+@pytest.mark.parametrize(("basket", "fine"), [(1000, 256), (2, 3)])
+def test_pair_counts(spark, monkeypatch, basket, fine):
+    """The second case splits every basket of more than two items and puts frequencies above three in classes."""
+    monkeypatch.setattr(cooccur, "BASKET", basket)
+    monkeypatch.setattr(cooccur, "FINE", fine)
     rng = random.Random(2)
     rows = [(f"k{i}", v) for i in range(60) for v in rng.sample("abcdefgh", rng.randrange(1, 5))] + [(f"k{i}", v) for i in range(0, 60, 3) for v in "xy"]
     df = spark.createDataFrame([*rows, *rows[:20], (None, "a"), ("k1", None)], "k string, n_ab string")
