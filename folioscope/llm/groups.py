@@ -1,4 +1,4 @@
-"""Walking over the groups of a stream of Arrow batches that is sorted by a key."""
+"""Walking over the groups of a stream of Arrow batches that is sorted by a key, and cutting groups that are too large."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Bytes:
@@ -60,3 +62,14 @@ def groups(batches: Iterable[pa.RecordBatch], key: str, columns: list[str], leas
                 yield part
     if held and sum(len(h[0]) for h in held) >= least:
         yield whole()
+
+
+def in_blocks(rows: DataFrame, key: str, member: str, size: str, block: int) -> DataFrame:
+    """Groups of more than `block` rows cut into blocks by a hash of the member: a row goes to every pair of blocks that its own
+    is in, under a key of the pair, with the side it is on (0 within one block, else 1 or 2). size: a column with the number
+    of rows of the group where that is above `block`, else null; it is dropped."""
+    both = rows.withColumn("__b", F.coalesce(F.ceil(F.col(size) / block), F.lit(1)))
+    both = both.withColumn("__home", F.pmod(F.xxhash64(member), "__b")).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__b") - 1)))
+    low, high = F.least("__home", "__other"), F.greatest("__home", "__other")
+    side = F.when(low == high, 0).when(F.col("__home") == low, 1).otherwise(2).cast("byte")
+    return both.withColumn("side", side).withColumn(key, F.when(F.col("__b") > 1, F.xxhash64(key, low, high)).otherwise(F.col(key))).drop(size, "__b", "__home", "__other")

@@ -7,6 +7,7 @@ vector visits its own cell and the `probes` - 1 best others in each of `tables`
 in all of them. In a cell all pairs are compared as blocks of a matrix product over vectors of 16-bit steps; the best of every
 cell are merged for each vector. Where the steps leave the k-th place in doubt, the contenders are compared again in
 double precision on the vectors as stored. Cells above CELL vectors are split into blocks and every two blocks meet.
+`recall` measures what is found against a comparison of a stated part of the vectors with all.
 """
 
 from __future__ import annotations
@@ -17,24 +18,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.groups import groups
+from folioscope.llm.groups import groups, in_blocks
 from folioscope.llm.neardup import mix64
-from folioscope.session import materialize
+from folioscope.session import broadcast_if_small, materialize
 
-#: Up to this many vectors of a kind share one cell, so that all are compared.
+#: Up to this many vectors of a kind share one cell, so that all are compared; 0 to hash at any size.
 WHOLE = 2000
+#: Vectors asked for at once when the recall is measured.
+ASKED = 5_000
 CELL = 16_384
 #: Cosines closer than this count as undecided until they are computed in double precision.
 DOUBT = 2e-5
 SALTS = 64
 
 
-def functions_for(n: int) -> int:
+def functions_for(n: int, whole: int) -> int:
     """Hash functions per table for n vectors: more cells as n grows, slowly enough to keep near vectors together."""
-    return 0 if n <= WHOLE else max(1, round(0.45 * math.log2(n) + 1.75))
+    return 0 if n <= whole else max(1, round(0.3 * math.log2(n) + 3.2))
 
 
 class Hasher:
@@ -122,13 +125,13 @@ def _surplus(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
     return rest, answers.select("a", "b")
 
 
-def nearest(df: DataFrame, key: str, vector: str, model: str, dims: str, k: int = 5, tables: int = 4, probes: int = 3, width: float = 2.0, seed: int = 7, either: bool = False) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, model: str, dims: str, k: int = 5, tables: int = 4, probes: int = 3, width: float = 2.0, seed: int = 7, either: bool = False, whole: int = WHOLE) -> DataFrame:
     """(key_a, key_b): key_b is among the k most similar to key_a by cosine, of the same model and dims. With `either`:
     key_a < key_b, once, where either is among the k most similar to the other.
 
     Left out: null keys, null models, and vectors that are null, of another length than dims, not finite, or zero. A
     repeated key counts once. Equal cosines go to the smaller key. Fewer than k others: all of them. Kinds of up to
-    WHOLE vectors are answered exactly, larger ones with the recall that the README states. Empty input gives no row."""
+    `whole` vectors are answered exactly, larger ones with the recall that the README states. Empty input gives no row."""
     spark = df.sparkSession
     rows = _valid(df, key, vector, model, dims)
     surplus = _surplus(rows, k)
@@ -140,7 +143,7 @@ def nearest(df: DataFrame, key: str, vector: str, model: str, dims: str, k: int
 
     def cells_of(made: dict, kind: int, d: int, x: np.ndarray) -> np.ndarray:
         if (kind, d) not in made:
-            made[kind, d] = Hasher(kind, d, functions_for(sizes.get(kind, 0)), tables, probes, width, seed)
+            made[kind, d] = Hasher(kind, d, functions_for(sizes.get(kind, 0), whole), tables, probes, width, seed)
         return made[kind, d](x)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +155,7 @@ def nearest(df: DataFrame, key: str, vector: str, model: str, dims: str, k: int
                 yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(c)], ["cell", "c"])
 
     slim = core.select("id", "kind", "v")
-    full = slim.mapInArrow(count, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).filter(F.col("c") > CELL)
-    crowded = {np.uint64(r.cell & (2**64 - 1)): -(-r.c // CELL) for r in full.collect()}  # at most visits / CELL rows
-    crowd_keys = np.array(sorted(crowded), np.uint64)
-    crowd_blocks = np.array([crowded[c] for c in crowd_keys], np.int64)
+    full = materialize(slim.mapInArrow(count, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).filter(F.col("c") > CELL))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = hashers()
@@ -169,22 +169,10 @@ def nearest(df: DataFrame, key: str, vector: str, model: str, dims: str, k: int
                 small = np.round(x / step[:, None]).astype("<i2")
                 who = np.repeat(np.arange(len(x)), cells.shape[1])
                 cell = cells.ravel()
-                blocks = np.ones(len(cell), np.int64)
-                if len(crowd_keys):
-                    pos = np.minimum(np.searchsorted(crowd_keys, cell), len(crowd_keys) - 1)
-                    blocks = np.where(crowd_keys[pos] == cell, crowd_blocks[pos], 1)
-                home = (mix64(ids[at][who].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-                again = np.repeat(np.arange(len(cell)), blocks)
-                other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                low, high = np.minimum(home[again], other), np.maximum(home[again], other)
-                where = cell[again]
-                where = np.where(blocks[again] > 1, mix64(where + (low * 65537 + high + 1).astype(np.uint64)), where)
-                side = np.where(low == high, 0, np.where(home[again] == low, 1, 2))
-                who = who[again]
                 data = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * 2 * d).astype(np.int32).tobytes()), pa.py_buffer(small.tobytes())])
                 for s in range(0, len(who), 20_000):
                     w = pa.array(who[s : s + 20_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(where[s : s + 20_000].view(np.int64)), pa.array(side[s : s + 20_000], pa.int8()), pa.array(ids[at]).take(w), pa.array(step).take(w), data.take(w)], ["cell", "side", "id", "step", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[s : s + 20_000].view(np.int64)), pa.array(ids[at]).take(w), pa.array(step).take(w), data.take(w)], ["cell", "id", "step", "x"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = 2 * k + 2
@@ -254,8 +242,10 @@ def nearest(df: DataFrame, key: str, vector: str, model: str, dims: str, k: int
         if held is not None and held.num_rows:
             yield best(held)
 
-    routed = slim.mapInArrow(visit, "cell long, side byte, id long, step double, x binary").repartition("cell").sortWithinPartitions("cell")
-    lists = routed.mapInArrow(meet, "a long, b array<long>, s array<float>")
+    routed = slim.mapInArrow(visit, "cell long, id long, step double, x binary").withColumn("side", F.lit(0).cast("byte"))
+    if not full.isEmpty():
+        routed = in_blocks(routed.drop("side").join(broadcast_if_small(full), "cell", "left"), "cell", "id", "c", CELL)
+    lists = routed.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "a long, b array<long>, s array<float>")
     found = materialize(lists.repartition("a").sortWithinPartitions("a").mapInArrow(merge, "a long, b long, left int"))
     links = found.filter("left = 0").select("a", "b")
     doubt = found.filter("left > 0")
@@ -275,3 +265,46 @@ def nearest(df: DataFrame, key: str, vector: str, model: str, dims: str, k: int
         named = named.union(surplus[1])
     first, second = (F.least("ka", "kb"), F.greatest("ka", "kb")) if either else (F.col("ka"), F.col("kb"))
     return named.select(first.alias("key_a"), second.alias("key_b"))
+
+
+def recall(df: DataFrame, found: DataFrame, asked: Column, key: str, vector: str, model: str, dims: str, k: int = 5) -> DataFrame:
+    """One row: n_asked, n_true, n_found: how many of the k nearest of the vectors for which `asked` holds, by comparison with
+    all vectors in double precision, are among the pairs `found` (key_a, key_b).
+
+    The vectors asked for are sent to all others in portions of ASKED, and only the k best of each task come back."""
+    rows = _valid(df, key, vector, model, dims).select("key", "kind", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    wanted = materialize(rows.join(df.filter(asked).select(F.col(key).alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"]))
+    parts = max(1, -(-wanted.count() // ASKED))
+    best = None
+    for part in range(parts):
+        held = df.sparkSession.sparkContext.broadcast([(r.key, r.kind, np.array(r.v) / np.linalg.norm(r.v)) for r in wanted.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).collect()])  # about ASKED rows
+
+        def near(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            kinds: dict[tuple[int, int], list] = {}
+            for name, kind, v in held.value:
+                kinds.setdefault((kind, len(v)), []).append((name, v))
+            kept: dict[object, dict] = {}
+            for batch in batches:
+                names = batch.column(0).to_pylist()
+                for kind, d, at, x in _unit(batch, 2):
+                    if (kind, d) not in kinds or not len(x):
+                        continue
+                    cosine = np.array([v for _, v in kinds[kind, d]]) @ x.T
+                    for (name, _), row in zip(kinds[kind, d], cosine):
+                        mine = kept.setdefault(name, {})
+                        for j in np.flatnonzero(row >= np.partition(row, -min(k + 2, len(row)))[-min(k + 2, len(row))]).tolist():
+                            if names[at[j]] != name:
+                                mine[names[at[j]]] = row[j]
+                        if len(mine) > 4 * k:
+                            kept[name] = dict(sorted(mine.items(), key=lambda e: (-e[1], e[0]))[:k])
+            out = [(a, b, c) for a, mine in kept.items() for b, c in sorted(mine.items(), key=lambda e: (-e[1], e[0]))[:k]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["key_a", "key_b", "c"])
+
+        kind = rows.schema["key"].dataType.simpleString()
+        lists = rows.mapInArrow(near, f"key_a {kind}, key_b {kind}, c double").dropDuplicates(["key_a", "key_b"])
+        best = lists if best is None else best.union(lists)
+    place = F.row_number().over(Window.partitionBy("key_a").orderBy(F.desc("c"), "key_b"))
+    true = best.withColumn("r", place).filter(F.col("r") <= k).select("key_a", "key_b")
+    both = true.join(found.select("key_a", "key_b", F.lit(1).alias("hit")).distinct(), ["key_a", "key_b"], "left")
+    return both.agg(F.count_distinct("key_a").alias("n_asked"), F.count("*").alias("n_true"), F.count("hit").alias("n_found"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.groups import Bytes
+from folioscope.llm.groups import Bytes, in_blocks
 from folioscope.session import broadcast_if_small, materialize
 
 DIMS = 64
@@ -344,11 +344,7 @@ def _split(routed: DataFrame, crowds: DataFrame) -> DataFrame:
         both = routed.join(broadcast_if_small(crowds), F.col("k").bitwiseAND(F.lit(crowds.first().mask)) == F.col("at"), "left").drop("at", "mask")
     else:
         both = routed.join(broadcast_if_small(crowds), "k", "left")
-    both = both.withColumn("b", F.coalesce(F.ceil(F.col("c") / BLOCK), F.lit(1)))
-    both = both.withColumn("home", F.pmod(F.xxhash64("f"), "b")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)))
-    low, high = F.least("home", "other"), F.greatest("home", "other")
-    side = F.when(low == high, 0).when(F.col("home") == low, 1).otherwise(2).cast("byte")
-    return both.withColumn("side", side).withColumn("k", F.when(F.col("b") > 1, F.xxhash64("k", low, high)).otherwise(F.col("k"))).drop("b", "c", "home", "other")
+    return in_blocks(both, "k", "f", "c", BLOCK)
 
 
 def _meet(routed: DataFrame, t: float, star: bool = False) -> DataFrame:

@@ -70,6 +70,15 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return found.withColumnsRenamed({"key_a": "chunk_id_a", "key_b": "chunk_id_b"})
 
 
+def p5_recall(spark: SparkSession, base: str) -> DataFrame:
+    """Recall of the hashing, at every size, for the chunks whose id is divisible by 100 (its first 7 hexadecimal digits)."""
+    rows = _vectors(spark, base)
+    found = knn.nearest(rows, "chunk_id", "vector", "embedding_model", "embedding_dims", k=5, whole=0)
+    asked = F.conv(F.substring("chunk_id", 1, 7), 16, 10).cast("long") % 100 == 0
+    got = knn.recall(rows, found, asked, "chunk_id", "vector", "embedding_model", "embedding_dims", k=5)
+    return got.select("n_asked", "n_true", (F.col("n_found") >= 0.9 * F.col("n_true")).alias("reached"))
+
+
 def p6_containers(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack(table(spark, base, "documents").select("doc_id", token_count("text").alias("tokens")))
 
@@ -107,7 +116,7 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_clean, p3_found, p3_groups, p4_found, p4_pairs, p5_found, p5_neighbours, p6_found, p6_containers, p7_found, p7_mix, p7_shares, p8_found, p8_quality)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_clean, p3_found, p3_groups, p4_found, p4_pairs, p5_found, p5_neighbours, p5_recall, p6_found, p6_containers, p7_found, p7_mix, p7_shares, p8_found, p8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -128,6 +137,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": sets + " select a as chunk_id_a, b as chunk_id_b from o join n na on na.chunk_id = a join n nb on nb.chunk_id = b where o * 10 >= 6 * (na.n + nb.n - o)",
         "p5_found": vectors + " select distinct least(a, b) as chunk_id_a, greatest(a, b) as chunk_id_b from p where r <= 5",
+        "p5_recall": vectors + " select count(distinct a) as n_asked, count(*) as n_true, true as reached from p where r <= 5 and ('0x' || substr(a, 1, 7))::bigint % 100 = 0",
+        "p5_neighbours": vectors + " select a as key_a, b as key_b from p where r <= 5",
         "p1_found": f"select distinct chunk_id from chunk_rows where {SQL_TOKENS} > 256",
         "p4_found": known + " select a as entity_a, b as entity_b from p join f fa on fa.e = a join f fb on fb.e = b, n where p.c >= 5 and p.c * 10000 >= 15 * n.n and p.c * n.n >= 4 * fa.c * fb.c",
         "p6_found": f"select doc_id from documents where {SQL_TOKENS} > 1024",

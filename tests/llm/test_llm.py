@@ -298,6 +298,12 @@ def test_many_vectors_reach_the_recall(spark, monkeypatch):
     np.fill_diagonal(s, -2)
     top = np.argsort(-s, 1)[:, :5]
     assert len(got) == 5 * len(x)
+    df = vectors(spark, rows)
+    pairs = spark.createDataFrame(sorted(got)[:13_000:2], "key_a string, key_b string")
+    r = knn.recall(df, pairs, F.col("chunk_id").like("%7"), "chunk_id", "vector", "embedding_model", "embedding_dims").first()
+    asked = [i for i in range(len(x)) if i % 10 == 7]
+    half = set(sorted(got)[:13_000:2])
+    assert (r.n_asked, r.n_true) == (260, 1300) and r.n_found == sum((f"k{i}", f"k{j}") in half for i in asked for j in top[i])
     assert np.mean([(f"k{i}", f"k{j}") in got for i in range(len(x)) for j in top[i]]) >= 0.9
     assert knn.nearest(vectors(spark, []), "chunk_id", "vector", "embedding_model", "embedding_dims").count() == 0
 
