@@ -1,7 +1,8 @@
 """Splitting oversized texts at natural boundaries, chosen by lexical cohesion (problem 1).
 
 Every natural boundary (paragraph, line or sentence end) of an oversized text gets a cohesion value: the cosine
-between the word counts of the block of words before it and of the block after it, both sliding along the text. A
+between the term counts of the block of terms before it and of the block after it, both sliding along the text. Terms are
+the longer words, and in scripts that set no blanks between words the pairs of neighbouring characters. A
 boundary where the value dips between two peaks is a topic boundary, and the sum of the two rises is its depth. In
 each size window the deepest valley becomes the cut. A window without a natural boundary falls back to the last
 clause end, word end or token end in it, in this order. Then each piece but the first starts `overlap` tokens early.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,12 +47,50 @@ def boundary_level(text: str, end: int, start: int) -> int:
     return RAW if text[end - 1].isalnum() and text[start].isalnum() else MARK
 
 
-def depths(words: list[str], gaps: list[int], block: int) -> dict[int, float]:
+def unspaced(c: str) -> bool:
+    """Whether the character belongs to a script that sets no blanks between words."""
+    return c >= "\u0e00" and ("\u0e00" <= c < "\u0f00" or "\u1000" <= c < "\u10a0" or "\u1780" <= c < "\u1800" or "\u3040" <= c < "\ua000" and c.isalnum() or "\uf900" <= c < "\ufb00" or c >= "\U00020000")
+
+
+def terms_of(text: str, spans: list[tuple[int, int]]) -> tuple[list[str], list[int]]:
+    """The terms of a text, in order, and for each token how many terms begin before it.
+
+    A term is a word of more than three letters or digits, lower-cased, or two neighbouring characters of an unspaced script,
+    unless both are hiragana, which carry grammar."""
+    terms, before, i, n = [], [], 0, len(spans)
+    while i < n:
+        s, e = spans[i]
+        if unspaced(text[s]):
+            before.append(len(terms))
+            pair = text[s : s + 2]
+            if len(pair) == 2 and unspaced(pair[1]) and not all("\u3040" <= c < "\u30a0" for c in pair):
+                terms.append(pair)
+            i += 1
+            continue
+        j = i
+        while j < n and (j == i or spans[j][0] == spans[j - 1][1]) and (text[spans[j][0]].isalnum() or unicodedata.combining(text[spans[j][0]])) and not unspaced(text[spans[j][0]]):
+            j += 1
+        if j == i:
+            before.append(len(terms))
+            i += 1
+            continue
+        before += [len(terms)] + [len(terms) + 1] * (j - i - 1)
+        word = text[s : spans[j - 1][1]].lower()
+        if len(word) > 3:
+            terms.append(word)
+        else:
+            before[-(j - i) :] = [len(terms)] * (j - i)
+        i = j
+    return terms, before
+
+
+def depths(text: str, spans: list[tuple[int, int]], gaps: list[int], block: int) -> dict[int, float]:
     """Depth of the cohesion valley at each gap (a token position), 0 where there is none."""
+    terms, before = terms_of(text, spans)
     values = []
     for g in gaps:
-        left = Counter(w for w in words[max(0, g - block) : g] if len(w) > 3)
-        right = Counter(w for w in words[g : g + block] if len(w) > 3)
+        at = before[g]
+        left, right = Counter(terms[max(0, at - block) : at]), Counter(terms[at : at + block])
         norm = math.sqrt(sum(v * v for v in left.values()) * sum(v * v for v in right.values()))
         values.append(sum(v * right[w] for w, v in left.items() if w in right) / norm if norm else 0.0)
     found, n = {}, len(values)
@@ -83,7 +123,7 @@ def split_text(text: str | None, limit: int = 256, overlap: int = 50, block: int
         return [(0, 1, n, 0, 0, 0, len(text), "end", text)]
     levels = [RAW] + [boundary_level(text, spans[i - 1][1], spans[i][0]) for i in range(1, n)]
     natural = [i for i in range(1, n) if levels[i] >= SENTENCE]
-    depth = depths([text[s:e].lower() for s, e in spans], natural, block)
+    depth = depths(text, spans, natural, block)
     cuts, start = [], 0
     while n - start > limit:
         low, high = start + max(overlap + 1, int(limit * fill)), start + limit

@@ -44,6 +44,28 @@ def test_cut_falls_between_topics():
     assert any(abs(r[6] - len(a)) < 60 for r in rows[:-1])
 
 
+@pytest.mark.parametrize(("first", "second", "join"), [("川 水流 河口 洪水 堤防", "機械 歯車 弁座 軸受 潤滑", ""), ("река вода дельта русло", "мотор поршень клапан привод", " "), ("แม่น้ำ สายน้ำ ตลิ่ง", "เครื่องยนต์ ลูกสูบ วาล์ว", "")])
+def test_topics_are_told_apart_in_any_script(first, second, join):
+    rng = random.Random(4)
+    side = lambda names, k: "".join(join.join(rng.choice(names.split()) for _ in range(4)) + (". " if join else "。") for _ in range(k))
+    a, b = side(first, 14), side(second, 14)
+    text = a + b
+    spans = [m.span() for m in TOKEN_RE.finditer(text)]
+    gaps = [i for i in range(1, len(spans)) if split.boundary_level(text, spans[i - 1][1], spans[i][0]) >= split.SENTENCE]
+    depth = split.depths(text, spans, gaps, 40)
+    deepest = spans[max(depth, key=depth.get)][0]
+    assert max(depth.values()) > 0.3 and abs(deepest - len(a)) <= 2 * len(a) // 14
+
+
+def test_terms_count_from_the_token_they_begin_at():
+    text = "Éclair and naïveté 日本語 the end"
+    spans = [m.span() for m in TOKEN_RE.finditer(text)]
+    terms, before = split.terms_of(text, spans)
+    assert terms == ["éclair", "naïveté", "日本", "本語"] and len(before) == len(spans)
+    for (s, _), n in zip(spans, before):
+        assert n == sum(text.lower().index(t) < s for t in terms)
+
+
 def test_split_operator_edge_rows(spark):
     rows = spark.createDataFrame([("a", None, 1), ("b", "", 2), ("c", "short", 3), ("c", "short", 3), (None, "w " * 300, 4)], "chunk_id string, text string, piece_index int")
     got = sorted((r.chunk_id or "", r.piece_index, r.n_pieces) for r in split.split_oversized(rows).collect())
