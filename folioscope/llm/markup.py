@@ -2,8 +2,9 @@
 
 HTML goes by consensus host paths. A first pass scores every container of a page (its own text, less what stands in links)
 and keeps the page's best generalised path: the tags and classes from the root, without digits. Spark adds up the votes
-per host; the second pass extracts each page again, by the paths that won at its host: containers that carry mostly links
-and lie outside the winning paths, or in one that frames the whole page, are page furniture and go, the rest stays. Wiki, Markdown and LaTeX constructs are then rewritten.
+per host; the second pass extracts each page again, by the paths that won at its host: of the sections of a page only those
+on winning paths stay, and loose text, lists and tables that stand in no section. In a section that frames the whole page
+boxes of mostly links go. Wiki, Markdown and LaTeX constructs are then rewritten.
 The output marks structure the same way for all languages: "# " headings, "- " items, " | " between cells, fenced code, $formulas$.
 """
 
@@ -11,8 +12,11 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,13 +86,18 @@ TEX_BARE = "it bf tt sc em rm sf item maketitle noindent newpage clearpage cente
 TEX_HEADING = re.compile(rf"\\({'|'.join(TEX_HEAD.split())})\*?\{{([^{{}}]*)\}}")
 TEX_ARG = re.compile(rf"\\(?:{'|'.join(TEX_KEEP.split())})\*?\{{((?:[^{{}}]|\{{[^{{}}]*\}})*)\}}")
 TEX_HREF = re.compile(r"\\href\{[^{}]*\}\{([^{}]*)\}|\\url\{([^{}]*)\}")
-TEX_GONE = re.compile(rf"\\(?:{'|'.join(TEX_DROP.split())})\*?(?:\[[^\]]*\])*\{{[^{{}}]*\}}")
+TEX_GONE = re.compile(rf"~?\\(?:{'|'.join(TEX_DROP.split())})\*?(?:\[[^\]]*\])*\{{[^{{}}]*\}}")
 TEX_ENV = re.compile(r"\\(begin|end)\{([a-zA-Z*]+)\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
 TEX_SWITCH = re.compile(r"\{\\(?:it|bf|tt|sc|em|rm|sf|small|large|Large|tiny)\b[ \t]*([^{}]*)\}")
 TEX_WORD = re.compile(rf"(?<![\w:\\/])\\(?:{'|'.join(sorted(TEX_BARE.split(), key=len, reverse=True))})(?![A-Za-z\\])\*?[ \t]*")
 TEX_ANY = re.compile(r"(?<![\w:\\/.])\\[a-zA-Z]{2,}\*?(?=\{|\[[^\]\n]*\]\{)")
+#: A command of no known meaning and its last argument, which stays.
+TEX_OWN = re.compile(r"(?<![\w:\\/.])\\[a-zA-Z]{2,}\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})*\{([^{}]*)\}")
 TEX_LINE = re.compile(r"(?<=\s)\\\\(?=\s|$)", re.M)
 TEX_MATH = re.compile(r"\$\$(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)", re.S)
+TEX_FORMULA = re.compile(r"\\begin\{(equation|align|gather|multline|eqnarray|displaymath|math|flalign|alignat)(\*?)\}(.*?)\\end\{\1\2\}", re.S)
+TEX_CODE = re.compile(r"\\begin\{(verbatim|lstlisting|minted|alltt)\*?\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?[ \t]*\n?(.*?)\n?\\end\{\1\*?\}", re.S)
+TEX_TABLE = re.compile(r"\\begin\{(tabular[x*]?|longtable|array)\}(?:\[[^\]\n]*\])?(?:\{[^{}]*\})*(.*?)\\end\{\1\}", re.S)
 TEX_INLINE = re.compile(r"(?<![\w\\$])\$(?=[^\s$])([^$\n]*?[^\s$\\])\$(?![\w$])")
 #: LaTeX and wiki commands that keep an indented line from passing for code.
 INDENTED = re.compile("|".join([TEX_HEADING.pattern, TEX_ARG.pattern, TEX_GONE.pattern, TEX_HREF.pattern, TEX_ENV.pattern, r"\\\((?=\S)[^\n]+?\\\)|\$\$[^\n$]+\$\$", r"(?<![\w\])])\[\[[A-Za-z][^\[\]\n]*\]\]", r"\{\{[A-Za-z][\w -]*\|[^{}\n]*\}\}"]))
@@ -103,26 +112,33 @@ def generalised(name: str, attributes: str) -> str:
     return f"{name}.{mark}" if mark else name
 
 
+#: Steps of a generalised path that count, from the container upwards.
+STEPS = 16
+
+
 def containers(text: str) -> list[tuple[str, int, int, float, float, bool]]:
     """(path, start, end, score, share of text in links, is a frame) of each container of a page. Unclosed ones end with the page.
 
     Text counts for the innermost container around it, that of paragraphs, lists and tables for the one they stand in; so a
-    wrapper scores only for what it holds itself. A frame has no text of the page outside; html and body always are frames."""
+    wrapper scores only for what it holds itself. A frame has no text of the page outside; html and body always are frames.
+    The work grows with the length of the page, however deep it is nested."""
     page = UNSEEN.sub(lambda m: " " * len(m.group(0)), text)
-    found, stack, paths = [], [], []
-    spans: list[list] = []
-    links: list[tuple[int, int]] = []
+    tags = list(TAG.finditer(page))
+    inked = np.frombuffer(TAG.sub(lambda m: " " * len(m.group(0)), page).encode("utf-32-le", "replace"), np.uint32)
+    ink = np.concatenate([[0], np.cumsum(~((inked == 32) | ((inked >= 9) & (inked <= 13)) | (inked == 0xA0)))])
+    found, spans, open_names = [], [], Counter()
+    link_from, link_to = [], []
     open_link: list[tuple[list, int]] = []
     anchor, last = None, 0
 
     def own(end: int) -> None:
         if spans and (piece := page[last:end]).strip():
-            owner = next((s for s in reversed(spans) if s[3] not in FLOW), spans[0])
-            owner[4].append(piece)
+            pieces = spans[-1][5][4]
+            pieces.append(piece)
             if anchor is not None:
-                open_link.append((owner[4], len(owner[4]) - 1))
+                open_link.append((pieces, len(pieces) - 1))
 
-    for m in TAG.finditer(page):
+    for m in tags:
         own(m.start())
         last = m.end()
         closing, name, attributes, single = m.group(1), m.group(2).lower(), m.group(3), m.group(4)
@@ -131,54 +147,71 @@ def containers(text: str) -> list[tuple[str, int, int, float, float, bool]]:
                 anchor = m.end()
                 open_link.clear()
             elif anchor is not None:
-                links.append((anchor, m.start()))
+                link_from.append(anchor)
+                link_to.append(m.start())
                 anchor = None
                 for pieces, k in open_link:
                     pieces[k] = ""
         if name not in CONTAINERS or single or name in VOID:
             continue
         if not closing:
-            if name == "p" and stack and stack[-1] == "p":
-                stack.pop(), paths.pop()
+            if name == "p" and spans and spans[-1][3] == "p":
+                open_names["p"] -= 1
                 spans.pop()[2] = m.start()
-            stack.append(name)
-            paths.append(generalised(name, attributes))
-            span = ["/".join(paths), m.end(), len(page), name, []]
+            step = generalised(name, attributes)
+            path = (*(spans[-1][0] if spans else ())[1 - STEPS :], step)
+            span = [path, m.end(), len(page), name, [], None]
+            span[5] = spans[-1][5] if spans and name in FLOW else span  # whose own text it is
+            open_names[name] += 1
             spans.append(span)
             found.append(span)
-        elif name in stack:
-            while stack:
-                top = stack.pop()
-                paths.pop()
-                spans.pop()[2] = m.start()
-                if top == name:
+        elif open_names[name]:
+            while spans:
+                top = spans.pop()
+                open_names[top[3]] -= 1
+                top[2] = m.start()
+                if top[3] == name:
                     break
     own(len(page))
-    out, whole = [], len("".join(TAG.sub("", page).split()))
-    for path, start, end, name, pieces in found:
-        inner = TAG.sub("", page[start:end])
-        size = len(inner.strip())
-        linked = sum(len(TAG.sub("", page[a:b])) for a, b in links if a >= start and b <= end) / max(1, size)
+    linked = np.concatenate([[0], np.cumsum(ink[link_to] - ink[link_from])]) if link_to else np.zeros(1)
+    out = []
+    for path, start, end, name, pieces, _ in found:
+        size = int(ink[end] - ink[start])
+        i, j = bisect_left(link_from, start), bisect_right(link_to, end)
         mine = " ".join(" ".join(pieces).split()) + " "
-        frame = name in ("html", "body") or len("".join(inner.split())) == whole
-        out.append((path, start, end, len(mine) - 1 + 10.0 * mine.count(",") + 20 * mine.count(". ") if mine.strip() else 0.0, linked, frame))
+        score = len(mine) - 1 + 10.0 * mine.count(",") + 20 * mine.count(". ") if mine.strip() else 0.0
+        out.append(("/".join(path), start, end, score, float(linked[j] - linked[i]) / max(1, size) if j > i else 0.0, name in ("html", "body") or size == int(ink[-1])))
     return out
 
 
-def furniture(boxes: list[tuple[str, int, int, float, float, bool]], winners: frozenset[str]) -> list[tuple[int, int]]:
-    """Spans of what goes: boxes of mostly links or with a name of furniture that hold no winning box and lie outside of all, or
-    in one that is the frame of the page. Of another winning box, only menus and blocks of mostly links go; its lists stay."""
-    won = [b for b in boxes if b[0] in winners and b[3] > 0]
-    out = []
-    for path, s, e, _, linked, _ in boxes if won else ():
-        name = path.rsplit("/", 1)[-1].split(".")[0]
-        if any(s <= w[1] and w[2] <= e for w in won):
-            continue
-        around = [w for w in won if w[1] <= s and e <= w[2]]
-        if around and not max(around, key=lambda w: w[1])[5]:
+def outside(boxes: list[tuple[str, int, int, float, float, bool]], winners: frozenset[str]) -> list[tuple[int, int]]:
+    """Spans of what goes from a page that has winning boxes: sections that hold no winning box and lie in none; boxes of mostly
+    links, and what lies in a frame of the page and is named as furniture. Of another winning box, only menus and sections of
+    mostly links go; its lists stay."""
+    won = sorted(((s, e, frame) for path, s, e, score, _, frame in boxes if path in winners and score > 0), key=lambda w: (w[0], -w[1]))
+    out: list[tuple[int, int]] = []
+    starts = [w[0] for w in won]
+    stack: list[tuple[int, int, bool]] = []
+    at = 0
+    for path, s, e, _, linked, _ in sorted(boxes, key=lambda b: (b[1], -b[2])) if won else ():
+        while at < len(won) and won[at][0] <= s and (won[at][0] < s or won[at][1] >= e):
+            while stack and stack[-1][1] <= won[at][0]:
+                stack.pop()
+            stack.append(won[at])
+            at += 1
+        while stack and stack[-1][1] < e:
+            stack.pop()
+        i = bisect_left(starts, s)
+        if i < len(won) and won[i][1] <= e:
+            continue  # holds a winning box
+        step = path.rsplit("/", 1)[-1]
+        name = step.split(".")[0]
+        if stack and not stack[-1][2]:
             gone = name == "nav" or linked > 0.5 and name not in FLOW
-        else:
+        elif stack:
             gone = linked > 0.5 or name in FURNITURE
+        else:
+            gone = linked > 0.5 or name not in FLOW
         if gone:
             out.append((s, e))
     return out
@@ -188,7 +221,7 @@ def html_text(text: str, winners: frozenset[str] | None) -> str:
     """The text of a page, by the winning paths of its host."""
     if winners:
         kept, at = [], 0
-        for s, e in sorted(furniture(containers(text), winners)):  # boxes may be nested: each cut is made once
+        for s, e in sorted(outside(containers(text), winners)):  # boxes may be nested: each cut is made once
             kept.append(text[at : max(at, s)])
             at = max(at, e)
         text = "".join(kept) + text[at:]
@@ -245,6 +278,10 @@ def clean(text: str | None, winners: frozenset[str] | None = None) -> tuple[str
     entities = sum(html.unescape(e) != e for e in ENTITY.findall(t))
     if entities:
         counts["html"] += entities
+    if "\\begin" in t:
+        t = sub("tex", TEX_CODE, lambda m: keep(f"```\n{m.group(2)}\n```"), t)
+        t = sub("tex", TEX_FORMULA, lambda m: keep(f"${m.group(3).strip()}$"), t)
+        t = sub("tex", TEX_TABLE, lambda m: "\n".join(" | ".join(c.strip() for c in re.split(r"(?<!\\)&", row)) for row in re.split(r"\\\\(?:\[[^\]\n]*\])?", re.sub(r"\\(?:[hc]line|toprule|midrule|bottomrule)(?:\{[^{}]*\})?", "", m.group(2))) if row.strip()), t)
     t = sub("tex", TEX_MATH, lambda m: keep(f"${next(g for g in m.groups() if g is not None).strip()}$"), t)
     t = TEX_INLINE.sub(lambda m: (counts.__setitem__("tex", counts["tex"] + 1) or keep(m.group(0))) if FORMULA.search(m.group(1)) else m.group(0), t)
     if "\\" in t:
@@ -257,6 +294,8 @@ def clean(text: str | None, winners: frozenset[str] | None = None) -> tuple[str
         t = sub("tex", TEX_SWITCH, r"\1", t)
         t = re.sub(r"^[ \t]*\\item(?:\[[^\]\n]*\])?[ \t]*", lambda m: counts.__setitem__("tex", counts["tex"] + 1) or "- ", t, flags=re.M)
         t = sub("tex", TEX_WORD, "", t)
+        for _ in range(3):
+            t = sub("tex", TEX_OWN, r"\1", t)
         t = sub("tex", TEX_ANY, "", t)
         t = sub("tex", MATH_WORD, lambda m: m.group(0), t)
         t = sub("tex", TEX_LINE, "", t)

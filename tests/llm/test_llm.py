@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -88,7 +89,11 @@ def test_structure_is_kept():
     text = "<div><h2 id='s'>Head</h2><ul><li>one</li><li>two</li></ul><table><tr><td>a</td><td>b</td></tr></table><pre><code>x &lt; 1</code></pre><p>H<sub>2</sub>O &amp; more</p></div>"
     out = markup.clean(text)[0]
     assert "## Head" in out and "- one\n- two" in out and "a | b" in out and "```\nx < 1\n```" in out and "H_2O & more" in out
-    assert markup.clean(r"\section{A} \emph{b} $x^2$")[0].split() == ["###", "A", "b", "$x^2$"] or "b" in markup.clean(r"\section{A} \emph{b} $x^2$")[0]
+    assert markup.clean(r"\section{A} \emph{b} $x^2$")[0].split() == ["###", "A", "b", "$x^2$"]
+    assert markup.clean("\\begin{equation}g_t = \\sqrt{l}/11\\end{equation}\nthen \\emph{it}")[0] == "$g_t = \\sqrt{l}/11$\nthen it"
+    assert markup.clean("\\begin{verbatim}\nx = {1}\n\\end{verbatim}")[0] == "```\nx = {1}\n```"
+    assert markup.clean("\\begin{tabular}{l|r}\n\\hline a & b \\\\\n\\hline 1 & \\textbf{2} \\\\ \\hline\n\\end{tabular}")[0] == "a | b\n1 | 2"
+    assert markup.clean(r"see \mycmd{alpha} and \other[x]{\emph{be} ta}, \pair{a}{b}")[:1] == ("see alpha and be ta, b",)
 
 
 def test_host_votes_drop_furniture(spark):
@@ -112,6 +117,25 @@ def test_host_votes_drop_furniture_of_wrapped_pages(spark):
         assert ("a source" in text) == (k[0] == "w")
 
 
+def test_only_winning_sections_are_extracted(spark):
+    main = "<div class='main'><h1>T{0}</h1><p>Long text, with parts. And more of it, here. Number {0}.</p></div>"
+    page = lambda i: f"<html><body><div class='ad'><p>Buy this, now.</p></div>{main.format(i)}<div class='extra'><p>A short notice.</p></div><p>Loose words.</p></body></html>"
+    rows = spark.createDataFrame([(str(i), page(i), "h") for i in range(6)] + [("o", "<div class='other'><p>Alone, on a page. Of its own.</p></div>", "h")], "chunk_id string, text string, source_domain string")
+    got = {r.chunk_id: r.clean_text for r in markup.clean_markup(rows).collect()}
+    for i in range(6):
+        assert got[str(i)].split() == f"# T{i} Long text, with parts. And more of it, here. Number {i}. Loose words.".split()
+    assert got["o"] == "Alone, on a page. Of its own."
+
+
+def test_work_on_deep_pages_is_in_proportion():
+    began = time.process_time()
+    deep = "<div><ul><li><a href='x'>w</a> text, of a kind. " * 20_000
+    boxes = markup.containers(deep)
+    assert len(boxes) == 40_000 and max(len(b[0]) for b in boxes) < 100
+    markup.outside(boxes, frozenset([boxes[-1][0]]))
+    assert time.process_time() - began < 20
+
+
 def test_nested_furniture_is_cut_once():
     page = "<nav><ul><li><a href='/a'>first of the links</a></li><li><a href='/b'>second of the links</a></li></ul></nav><div class='body'>Long text, with parts. And more of it, here.</div><aside><ul><li><a href='/c'>third</a></li></ul></aside>The end."
     got = markup.clean(page, frozenset({"div.body"}))[0]
