@@ -23,6 +23,15 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return split.split_oversized(rows).filter("n_pieces > 1").select("chunk_id").distinct()
 
 
+def p1_totals(spark: SparkSession, base: str) -> DataFrame:
+    """Per chunk: the tokens of its pieces without what overlaps, and whether pieces are in bounds and follow on each other."""
+    pieces = p1_pieces(spark, base)
+    ends = F.array_sort(F.collect_list(F.struct("piece_index", "own_start_char", "end_char")))
+    rows = pieces.groupBy("chunk_id").agg(F.sum(F.col("piece_tokens") - F.col("overlap_tokens")).alias("tokens"), F.max("piece_tokens").alias("largest"), F.min(F.when(F.col("piece_index") > 0, F.col("overlap_tokens")).otherwise(50)).alias("overlap"), F.max("end_char").alias("chars"), ends.alias("e"))
+    joined = F.forall(F.sequence(F.lit(1), F.size("e")), lambda i: F.element_at("e", i).own_start_char == F.when(i == 1, 0).otherwise(F.element_at("e", F.greatest(i - 1, F.lit(1))).end_char))
+    return rows.select("chunk_id", "tokens", "chars", ((F.col("largest") <= 256) & (F.col("overlap") == 50) & joined).alias("whole"))
+
+
 def p2_clean(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "chunk_rows").select("chunk_id", "text", "source_domain")
     return markup.clean_markup(rows).dropDuplicates(["chunk_id", "clean_text"])
@@ -43,6 +52,10 @@ def p4_pairs(spark: SparkSession, base: str) -> DataFrame:
     return _pairs_of_entities(spark, base).withColumnsRenamed({"item_a": "entity_a", "item_b": "entity_b"})
 
 
+def p4_counts(spark: SparkSession, base: str) -> DataFrame:
+    return p4_pairs(spark, base).select("entity_a", "entity_b", "n_ab", "n_a", "n_b", "n_baskets", F.round("lift", 6).alias("lift"))
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     pairs = p4_pairs(spark, base).filter((F.col("n_ab") >= 5) & (F.col("n_ab") * 10_000 >= F.col("n_baskets") * 15) & (F.col("n_ab") * F.col("n_baskets") >= F.col("n_a") * F.col("n_b") * 4))
     return pairs.select("entity_a", "entity_b")
@@ -83,6 +96,13 @@ def p6_containers(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack(table(spark, base, "documents").select("doc_id", token_count("text").alias("tokens")))
 
 
+def p6_totals(spark: SparkSession, base: str) -> DataFrame:
+    """Per document the tokens that its pieces have together; and the largest container, as document -1."""
+    rows = materialize(p6_containers(spark, base))
+    largest = rows.groupBy("container_id").agg(F.sum("piece_tokens").alias("t")).agg(F.max("t").alias("t"))
+    return rows.groupBy("doc_id").agg(F.sum("piece_tokens").alias("tokens"), F.count_if(F.col("piece_tokens") > 0).alias("n_pieces")).union(largest.select(F.lit(-1).cast("long"), F.least("t", F.lit(1024)), (F.col("t") > 1024).cast("long")))
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return p6_containers(spark, base).filter("n_pieces > 1").select("doc_id").distinct()
 
@@ -116,7 +136,7 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_clean, p3_found, p3_groups, p4_found, p4_pairs, p5_found, p5_neighbours, p5_recall, p6_found, p6_containers, p7_found, p7_mix, p7_shares, p8_found, p8_quality)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_totals, p2_found, p2_clean, p3_found, p3_groups, p4_found, p4_pairs, p4_counts, p5_found, p5_neighbours, p5_recall, p6_found, p6_containers, p6_totals, p7_found, p7_mix, p7_shares, p8_found, p8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -136,11 +156,16 @@ def oracle_sql() -> dict[str, str]:
         p as (select a.chunk_id as a, b.chunk_id as b, row_number() over (partition by a.chunk_id order by list_cosine_similarity(a.v, b.v) desc, b.chunk_id) as r from e a join e b on a.m = b.m and a.d = b.d and a.chunk_id <> b.chunk_id)"""
     return {
         "p3_found": sets + " select a as chunk_id_a, b as chunk_id_b from o join n na on na.chunk_id = a join n nb on nb.chunk_id = b where o * 10 >= 6 * (na.n + nb.n - o)",
+        "p3_groups": sets.replace("with t as", "with recursive t as", 1) + """, e as (select a, b from o join n na on na.chunk_id = a join n nb on nb.chunk_id = b where o * 10 >= 6 * (na.n + nb.n - o)), u as (select a, b from e union select b, a from e),
+            g as (select chunk_id, chunk_id as label from n union select u.b, g.label from g join u on u.a = g.chunk_id where g.label < u.b) select chunk_id, min(label) as group_id from g group by 1""",
         "p5_found": vectors + " select distinct least(a, b) as chunk_id_a, greatest(a, b) as chunk_id_b from p where r <= 5",
         "p5_recall": vectors + " select count(distinct a) as n_asked, count(*) as n_true, true as reached from p where r <= 5 and ('0x' || substr(a, 1, 7))::bigint % 100 = 0",
         "p5_neighbours": vectors + " select a as key_a, b as key_b from p where r <= 5",
         "p1_found": f"select distinct chunk_id from chunk_rows where {SQL_TOKENS} > 256",
         "p4_found": known + " select a as entity_a, b as entity_b from p join f fa on fa.e = a join f fb on fb.e = b, n where p.c >= 5 and p.c * 10000 >= 15 * n.n and p.c * n.n >= 4 * fa.c * fb.c",
+        "p1_totals": f"select chunk_id, {SQL_TOKENS} as tokens, length(text)::int as chars, true as whole from (select chunk_id, min(text) as text from chunk_rows group by 1) where {SQL_TOKENS} > 0",
+        "p4_counts": known + " select a as entity_a, b as entity_b, p.c as n_ab, fa.c as n_a, fb.c as n_b, n.n as n_baskets, round(p.c * n.n::double / (fa.c::double * fb.c), 6) as lift from p join f fa on fa.e = a join f fb on fb.e = b, n",
+        "p6_totals": f"select doc_id, {SQL_TOKENS}::bigint as tokens, ceil({SQL_TOKENS} / 1024.0)::bigint as n_pieces from documents union all select -1, 1024, 0",
         "p6_found": f"select doc_id from documents where {SQL_TOKENS} > 1024",
         "p7_found": kept + " select source from s where t * max_repeats < target_share * (select sum(t) from s)",
     }
