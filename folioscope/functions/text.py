@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 QUOTES = "‘’“”"
 DASHES = "‐‑‒–—―−"
 # Words that say nothing in a question, and words that say little about a source.
-STOP_WORDS = "a an and are about does for from how in is of on or the to what which why".split()
-GENERIC_WORDS = "model models framework frameworks theory learning".split()
+STOP_WORDS = "a an are about cover covers define describe do does explain is mean means of tell the what".split()
+GENERIC_WORDS = "framework instruction model principle principles theory".split()
 SPECIFIC, GENERIC, ALL_SPECIFIC = 5.0, 0.5, 10.0
 
 
@@ -88,6 +88,11 @@ def without_thinking(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
 
 
+def strip_thinking(text: str) -> str:
+    """The same for a text of Python."""
+    return re.sub(r"<think>.*?</think>", "", text, flags=re.S).strip()
+
+
 def title_of_id(entity: str | Column) -> Column:
     return F.initcap(F.translate(entity, "_", " "))
 
@@ -96,16 +101,23 @@ def unit_interval(x: str | Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x if isinstance(x, Column) else F.col(x)))
 
 
-def slug(text: str | Column) -> Column:
-    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-")
-
-
 def words_of(text: str | Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([^ \t\r\n]+)"), F.lit(1))
 
 
-def node_id(*parts: str | Column) -> Column:
-    return reduce(lambda a, b: F.concat(a, F.lit(":"), b), [F.lit(parts[0]), *(F.col(p) if isinstance(p, str) else p for p in parts[1:])])
+def text_blocks(text: str | Column) -> Column:
+    """Paragraphs as an array: lines stripped, runs of blanks and tabs in them as one blank, cut at empty lines."""
+    c = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]+", " ")
+    c = F.regexp_replace(F.regexp_replace(c, r"(?m)^ | $", ""), r"^\n+|\n+$", "")
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, r"\n{2,}"))
+
+
+def page_number(metadata: str | Column) -> Column:
+    """The first page_no in a JSON text, of an object its own before those of its children, one level of lists and objects deep
+    at a time; null for broken JSON."""
+    v = F.try_parse_json(metadata)
+    at = lambda path: F.try_variant_get(v, path, "int")
+    return F.coalesce(at("$.page_no"), at("$.prov[0].page_no"), at("$.doc_items[0].prov[0].page_no"), F.regexp_extract(F.when(v.isNotNull(), F.col(metadata) if isinstance(metadata, str) else metadata), r'"page_no"\s*:\s*([0-9]+)', 1).try_cast("int"))
 
 
 def plain_vector(v: str | Column) -> Column:

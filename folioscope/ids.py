@@ -13,3 +13,11 @@ def content_id(*parts: str | Column) -> Column:
 
 def chunk_id(document: str, text_hash: str, occurrence: str) -> Column:
     return content_id(document, text_hash, occurrence)
+
+
+def mention_id(entity: str, chunk: str, start: str) -> Column:
+    return content_id(entity, chunk, start)
+
+
+def edge_key(origin: str, file: str, source: str, relation: str, target: str) -> Column:
+    return content_id(origin, file, source, relation, target)

@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope import ids
 from folioscope.functions import text as X
 
-CLAIM_TYPES = ["assertion", "definition", "comparison", "recommendation", "evidence"]
+# Kinds of claims, and how many items of a model's answer count.
+CLAIM_TYPES = ["assertion", "definition", "comparison", "causal", "procedural"]
+MOST_RELATIONS, MOST_CLAIMS = 15, 10
+BLANK = r"^\s+|\s+$"
 
 
 def folded(c: str | Column) -> Column:
     return F.translate(F.lower(F.trim(c)), " -", "__")
 
 
-def distinct_chunks(chunks: DataFrame) -> DataFrame:
-    """One row per chunk_id: of repeated rows the smallest (source_rel_path, chunk_index), as one struct, without sorting."""
-    fields = ["source_rel_path", "chunk_index", "document_id", "source_domain", "citation_label", "score_hint", "text", "vector", "embedding_dims", "embedding_model"]
-    return chunks.filter("chunk_id is not null").groupBy("chunk_id").agg(F.min_by(F.struct(*fields), F.struct("source_rel_path", "chunk_index")).alias("r")).select("chunk_id", "r.*")
-
-
 def chunk_sources(chunks: DataFrame) -> DataFrame:
     """chunk_id with its source, index and document, for joins that need no text."""
     return chunks.filter("chunk_id is not null").groupBy("chunk_id").agg(F.min(F.struct("source_rel_path", "chunk_index", "document_id")).alias("r")).select("chunk_id", "r.*")
@@ -78,7 +77,9 @@ def relation_evidence(relations: DataFrame, chunks: DataFrame, mentions: DataFra
     key = ["subject_entity_id", "predicate", "object_entity_id", "chunk_id"]
     best = relations.groupBy(*key).agg(F.max("confidence").alias("confidence"))
     forms = mentions.groupBy("chunk_id", "entity_id").agg(F.max(F.struct("start_char", "surface_form")).alias("m")).select("chunk_id", "entity_id", F.col("m.surface_form").alias("form"))
-    texts = chunks.groupBy("chunk_id").agg(F.min("text").alias("text"))
+    cited = best.select("chunk_id").distinct()
+    texts = chunks.select("chunk_id", "text").join(cited, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min("text").alias("text"))
+    forms = forms.join(cited, "chunk_id", "left_semi")
     out = best.join(texts, "chunk_id", "left")
     for side in ("subject", "object"):
         out = out.join(forms.select("chunk_id", F.col("entity_id").alias(f"{side}_entity_id"), F.col("form").alias(f"surface_{side}")), ["chunk_id", f"{side}_entity_id"], "left").withColumn(f"surface_{side}", F.coalesce(f"surface_{side}", f"{side}_entity_id"))
@@ -90,50 +91,76 @@ def edge_weights(relations: DataFrame, floor: float = 0.5) -> DataFrame:
     return relations.filter(F.col("confidence") >= floor).groupBy("subject_entity_id", "predicate", "object_entity_id").agg(F.max("confidence").alias("weight"), F.count("*").alias("support"))
 
 
+def _is(item: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(item).startswith(kind), F.lit(False))
+
+
+def _text(item: str, name: str) -> Column:
+    return F.when(_is(F.try_variant_get(item, f"$.{name}", "variant"), "STRING"), F.try_variant_get(item, f"$.{name}", "string"))
+
+
+def _items(payloads: DataFrame, key: str, raw: str, name: str, strings: list[str]) -> DataFrame:
+    """key, position, item: the objects of a list in a model's JSON answer in which all of `strings` are texts."""
+    good = lambda x: _is(x, "OBJECT") if not strings else _is(x, "OBJECT") & F.forall(F.array(*(F.coalesce(_is(F.try_variant_get(x, f"$.{n}", "variant"), "STRING"), F.lit(False)) for n in strings)), lambda ok: ok)
+    items = F.filter(F.try_variant_get(F.try_parse_json(raw), f"$.{name}", "array<variant>"), good)
+    return payloads.select(key, F.posexplode(items).alias("position", "item"))
+
+
+def _confidence() -> Column:
+    """A number, or a text that reads as one; anything else counts as 0.5."""
+    return F.coalesce(F.try_variant_get("item", "$.confidence", "string").try_cast("double"), F.lit(0.5))
+
+
 def parse_relations(payloads: DataFrame, key: str, raw: str) -> DataFrame:
     """Rows of `relations` in a model's JSON answer. Broken JSON and items that are no object or lack a text give nothing;
-    a confidence that is no number becomes 0.5. `position` counts all raw items."""
-    v = F.try_parse_json(raw)
-    items = F.try_variant_get(v, "$.relations", "array<variant>")
-    rows = payloads.select(key, F.posexplode(items).alias("position", "item"))
-    part = lambda name: F.when(F.schema_of_variant(F.try_variant_get("item", f"$.{name}", "variant")) == "STRING", F.try_variant_get("item", f"$.{name}", "string"))
-    out = rows.select(key, "position", *(part(n).alias(n) for n in ("subject", "predicate", "object")), F.coalesce(F.try_variant_get("item", "$.confidence", "string").try_cast("double"), F.lit(0.5)).alias("confidence"))
-    return out.dropna(subset=["subject", "predicate", "object"])
+    `position` counts the items that are left."""
+    names = ["subject", "predicate", "object"]
+    return _items(payloads, key, raw, "relations", names).select(key, "position", *(_text("item", n).alias(n) for n in names), _confidence().alias("confidence"))
 
 
 def parse_claims(payloads: DataFrame, key: str, raw: str) -> DataFrame:
     """Rows of `claims` in a model's JSON answer; a claim text that is no string is null and dropped by valid_claims."""
-    items = F.try_variant_get(F.try_parse_json(raw), "$.claims", "array<variant>")
-    rows = payloads.select(key, F.posexplode(items).alias("position", "item"))
-    part = lambda name: F.when(F.schema_of_variant(F.try_variant_get("item", f"$.{name}", "variant")) == "STRING", F.try_variant_get("item", f"$.{name}", "string"))
-    return rows.select(key, "position", *(part(n).alias(n) for n in ("claim_text", "subject", "object", "claim_type")), F.coalesce(F.try_variant_get("item", "$.confidence", "string").try_cast("double"), F.lit(0.5)).alias("confidence"))
+    return _items(payloads, key, raw, "claims", []).select(key, "position", *(_text("item", n).alias(n) for n in ("claim_text", "subject", "object", "claim_type")), _confidence().alias("confidence"))
+
 
+def predicate_vocabulary(edges: DataFrame) -> DataFrame:
+    """predicate: the kinds of relations between entities that an ontology's edges (relation, origin) have."""
+    return edges.filter(F.col("origin") == "entity").select(F.col("relation").alias("predicate")).distinct()
 
-def valid_relations(rows: DataFrame, entities: DataFrame, predicates: DataFrame, key: str = "chunk_id", limit: int = 20) -> DataFrame:
-    """Of the first `limit` raw items per chunk those whose two different entities are mentioned in it and whose predicate is known."""
+
+def valid_relations(rows: DataFrame, entities: DataFrame, predicates: DataFrame, key: str = "chunk_id", limit: int = MOST_RELATIONS) -> DataFrame:
+    """Of the first `limit` items per chunk those whose two different entities are mentioned in it and whose predicate is known."""
     known = entities.select(F.col("chunk_id").alias(key), "entity_id").distinct()
-    out = rows.filter((F.col("position") < limit) & (F.col("subject") != F.col("object"))).join(F.broadcast(predicates.select("predicate").distinct()), "predicate", "left_semi")
+    out = rows.filter((F.col("position") < limit) & (F.col("subject") != F.col("object"))).join(predicates.select("predicate").distinct(), "predicate", "left_semi")
     for side in ("subject", "object"):
         out = out.join(known.withColumnRenamed("entity_id", side), [key, side], "left_semi")
     return out.withColumn("confidence", X.unit_interval("confidence"))
 
 
-def valid_claims(rows: DataFrame, entities: DataFrame, key: str = "chunk_id", limit: int = 20) -> DataFrame:
-    """First `limit` items per chunk with text; entities not mentioned in the chunk become null, unknown types `assertion`."""
+def valid_claims(rows: DataFrame, entities: DataFrame, key: str = "chunk_id", limit: int = MOST_CLAIMS) -> DataFrame:
+    """First `limit` items per chunk with text; entities not mentioned in the chunk become null, unknown types `assertion`.
+    The id is that of the text as given, the text itself is stripped."""
     known = entities.select(F.col("chunk_id").alias(key), "entity_id").distinct()
-    out = rows.filter((F.col("position") < limit) & (F.trim("claim_text") != ""))
+    out = rows.filter((F.col("position") < limit) & (F.col("claim_text") != ""))
     for side in ("subject", "object"):
         out = out.join(known.select(key, F.col("entity_id").alias(side), F.lit(True).alias(f"k_{side}")), [key, side], "left").withColumn(side, F.when(F.col(f"k_{side}"), F.col(side))).drop(f"k_{side}")
     kind = F.when(F.col("claim_type").isin(CLAIM_TYPES), F.col("claim_type")).otherwise("assertion")
-    return out.withColumn("claim_type", kind).withColumn("confidence", X.unit_interval("confidence")).withColumn("claim_id", ids.content_id(key, "claim_text"))
+    out = out.withColumn("claim_type", kind).withColumn("confidence", X.unit_interval("confidence")).withColumn("claim_id", ids.content_id(key, "claim_text"))
+    return out.withColumn("claim_text", F.regexp_replace("claim_text", BLANK, ""))
 
 
 def mean_vectors(mentions: DataFrame, chunks: DataFrame, dims: int, top: int = 20, least: int = 3) -> DataFrame:
-    """Mean vector per entity over its `top` chunks by mention count (ties by chunk_id); vectors of another width are skipped."""
+    """entity_id, vector: mean vector per entity over its `top` chunks by mention count (ties by chunk_id); vectors of another width are skipped."""
     counts = mentions.groupBy("entity_id", "chunk_id").agg(F.count("*").alias("c"))
     total = counts.groupBy("entity_id").agg(F.sum("c").alias("t")).filter(F.col("t") >= least).select("entity_id")
     place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("c"), "chunk_id"))
     best = counts.join(total, "entity_id", "left_semi").withColumn("r", place).filter(F.col("r") <= top)
     good = chunks.filter((F.size("vector") == dims) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).select("chunk_id", "vector")
-    rows = best.join(good, "chunk_id").select("entity_id", F.posexplode("vector").alias("pos", "x"))
-    return rows.groupBy("entity_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    near = best.join(good, "chunk_id").select("entity_id", "vector")
+    return near.groupBy("entity_id").applyInArrow(_mean, "entity_id string, vector array<double>")  # at most `top` vectors a group
+
+
+def _mean(part: pa.Table) -> pa.Table:
+    rows = part.column("vector").combine_chunks()
+    x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+    return pa.table({"entity_id": part.column("entity_id")[:1], "vector": pa.array([x.mean(0)], pa.list_(pa.float64()))})

@@ -20,6 +20,69 @@ from pyspark.sql import functions as F
 from folioscope.session import BROADCAST_ROWS, materialize
 
 
+#: Rounds of PageRank between two looks at how much has moved.
+TOGETHER = 4
+
+
+def ranked(rows: DataFrame, metric: str, key: str, name: str) -> DataFrame:
+    """rows with their place by the metric, highest first, ties by key: sorted in ranges, and every range counts on from the one before."""
+    parts = materialize(rows.repartitionByRange(F.desc(metric), key).withColumn("__p", F.spark_partition_id()))
+    sizes = sorted((r["__p"], r.c) for r in parts.groupBy("__p").agg(F.count("*").alias("c")).collect())  # a row per range
+    before, starts = 0, []
+    for p, c in sizes:
+        starts.append((p, before))
+        before += c
+    offset = rows.sparkSession.createDataFrame(starts, "__p int, __o long")
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(F.desc(metric), key))
+    return parts.withColumn("__r", place).join(F.broadcast(offset), "__p").withColumn(name, (F.col("__r") + F.col("__o")).cast("int")).drop("__p", "__r", "__o")
+
+
+def combined_edges(ontology: DataFrame, relations: DataFrame, floor: float = 0.5) -> DataFrame:
+    """src, dst, relation, origin, weight, support: edges of the ontology (src, dst, relation), each of weight 1, and those of the
+    corpus by triple, above the confidence floor, with their highest confidence as weight and the number of chunks as support."""
+    known = ontology.select("src", "dst", "relation", F.lit("ontology").alias("origin"), F.lit(1.0).alias("weight"), F.lit(None).cast("long").alias("support"))
+    triple = ["subject_entity_id", "predicate", "object_entity_id"]
+    found = relations.filter(F.col("confidence") >= floor).groupBy(*triple).agg(F.max("confidence").alias("weight"), F.count("*").alias("support"))
+    return known.unionByName(found.select(F.col(triple[0]).alias("src"), F.col(triple[2]).alias("dst"), F.col(triple[1]).alias("relation"), F.lit("corpus").alias("origin"), "weight", "support"))
+
+
+def within_bound(edges: DataFrame) -> bool:
+    """Whether the operators that search from every node take the graph."""
+    return edges.filter("src <> dst").select("src", "dst").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def expand(edges: DataFrame, seeds: list[str], hops: int = 1, most: int = 50) -> list[str]:
+    """Entities around the seeds in the order of a search outward, neighbours by name, at most `most`; the seeds are left out.
+
+    Only neighbours of the nodes reached so far are brought to the driver, a level at a time."""
+    found, level, seen = [], list(seeds), set(seeds)
+    for _ in range(hops):
+        if not level or len(found) >= most:
+            break
+        both = edges.select("src", "dst").union(edges.select("dst", "src")).filter(F.col("src").isin(level) & (F.col("src") != F.col("dst")))
+        near = both.groupBy("src").agg(F.slice(F.sort_array(F.collect_set("dst")), 1, most + len(seen)).alias("n"))
+        around = {r.src: r.n for r in near.collect()}  # at most `most` nodes a level
+        after = []
+        for node in level:
+            for other in around.get(node, []):
+                if other not in seen and len(found) < most:
+                    seen.add(other)
+                    found.append(other)
+                    after.append(other)
+        level = after
+    return found
+
+
+def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: the modularity of a partition (id, community) of the graph without directions, loops and parallel edges."""
+    pairs = edges.filter("src <> dst").select("src", "dst").distinct()
+    at = lambda side: labels.select(F.col("id").alias(side), F.col("community").alias(f"c_{side}"))
+    rows = pairs.join(at("src"), "src").join(at("dst"), "dst")
+    m = F.count("*").alias("m")
+    ends = rows.select(F.explode(F.array("c_src", "c_dst")).alias("c")).groupBy("c").agg(F.count("*").alias("d"))
+    return rows.agg(m, F.count_if(F.col("c_src") == F.col("c_dst")).alias("inner")).join(F.broadcast(ends.agg(F.sum(F.col("d").cast("double") * F.col("d")).alias("dd")))).select((F.col("inner") / F.col("m") - F.col("dd") / (4.0 * F.col("m") * F.col("m"))).alias("modularity"))
+
+
 def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
 
@@ -43,15 +106,18 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int | None = None,
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
     ends = nodes.join(out.withColumnRenamed("src", "id").select("id", F.lit(True).alias("goes")), "id", "left")
-    rank = materialize(ends.select("id", "goes", F.lit(1.0 / n).alias("rank"), F.lit(None).cast("double").alias("was")))
+    rank = ends.select("id", "goes", F.lit(1.0 / n).alias("rank"), F.lit(None).cast("double").alias("was"))
     r = 0
-    while True:
-        lost, moved = rank.agg(F.coalesce(F.sum(F.when(F.col("goes").isNull(), F.col("rank"))), F.lit(0.0)), F.sum(F.abs(F.col("rank") - F.col("was")))).first()
-        if r == rounds or (rounds is None and moved is not None and moved < tol):
-            break
+    while r != rounds:
+        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("goes").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))  # one row, found in the same job
         got = step.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("s")).withColumnRenamed("dst", "id")
-        rank = materialize(rank.select("id", "goes", F.col("rank").alias("was")).join(got, "id", "left").select("id", "goes", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"), "was"))
+        both = rank.select("id", "goes", F.col("rank").alias("was")).join(got, "id", "left").join(F.broadcast(lost))
+        rank = both.select("id", "goes", (F.lit((1 - damping) / n) + F.col("lost") * (damping / n) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"), "was")
         r += 1
+        if rounds is None or r % TOGETHER == 0:
+            rank = materialize(rank)
+        if rounds is None and r % TOGETHER == 0 and rank.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < tol:
+            break
     return rank.select("id", "rank")
 
 
@@ -85,6 +151,16 @@ def cheapest(edges: DataFrame, source: str, rounds: int | None = None) -> DataFr
     return best
 
 
+def path_edges(edges: DataFrame, path: list[str]) -> list[tuple[str, str, str | None]]:
+    """(src, dst, relation) of the steps of a path; of parallel edges the first by name."""
+    steps = list(zip(path, path[1:]))
+    if not steps:
+        return []
+    rows = edges.filter(F.struct("src", "dst").isin([F.struct(F.lit(a), F.lit(b)) for a, b in steps])).groupBy("src", "dst").agg(F.min("relation").alias("relation")).collect()  # a row per step
+    names = {(r.src, r.dst): r.relation for r in rows}
+    return [(a, b, names.get((a, b))) for a, b in steps]
+
+
 def shortest_path(edges: DataFrame, source: str, target: str, most: int = 5) -> DataFrame:
     """The directed path of fewest edges, of equal ones the first in name order: path, n_hops; empty if there is none within `most`.
 
@@ -235,11 +311,11 @@ def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
 
 def communities_of_any_size(edges: DataFrame) -> DataFrame:
     """id, community: by modularity within the bound, beyond it by label propagation, numbered in order of the labels."""
-    if edges.filter("src <> dst").select("src", "dst").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if within_bound(edges):
         return communities(edges)
     labels = label_propagation(edges)
-    numbers = labels.select("community").distinct().withColumn("n", F.row_number().over(Window.orderBy("community")) - 1)
-    return labels.join(numbers, "community").select("id", F.col("n").alias("community"))
+    sizes = ranked(labels.groupBy("community").agg(F.lit(0).alias("z")), "z", "community", "n")
+    return labels.join(sizes.select("community", "n"), "community").select("id", (F.col("n") - 1).alias("community"))
 
 
 def label_propagation(edges: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -285,5 +361,9 @@ def weighted_path(edges: DataFrame, source: str, target: str) -> tuple[list[str]
     return None
 
 
-def neighbours(edges: DataFrame, node: str) -> DataFrame:
-    return edges.filter(F.col("src") == node).select(F.col("dst").alias("id"), F.lit("out").alias("direction")).union(edges.filter(F.col("dst") == node).select("src", F.lit("in")))
+def neighbours(edges: DataFrame, node: str, nodes: DataFrame | None = None) -> DataFrame:
+    """id, direction of the edges at a node; with a node table (id, node_type, label) what it says of the other end, too."""
+    keep = [c for c in ("relation", "origin", "edge_key") if c in edges.columns and nodes is not None]
+    out = edges.filter(F.col("src") == node).select(F.col("dst").alias("id"), F.lit("out").alias("direction"), *keep)
+    out = out.union(edges.filter(F.col("dst") == node).select("src", F.lit("in"), *keep))
+    return out if nodes is None else out.join(nodes.select("id", "node_type", "label"), "id", "left")

@@ -25,7 +25,7 @@ def normalise(text: str) -> str:
 def term_table(definitions: DataFrame) -> DataFrame:
     """entity_id, term_source, normalized_term from definitions (entity_id, aliases, indicators): distinct, none empty."""
     parts = [
-        definitions.select("entity_id", F.lit("canonical_id").alias("term_source"), F.translate("entity_id", "_", " ").alias("t")),
+        definitions.select("entity_id", F.lit("canonical_id").alias("term_source"), F.col("entity_id").alias("t")),
         definitions.select("entity_id", F.lit("alias"), F.explode("aliases")),
         definitions.select("entity_id", F.lit("indicator"), F.explode("indicators")),
     ]

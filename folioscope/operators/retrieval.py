@@ -2,28 +2,80 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions import text as X
-
 K = 20
 
 
-def literal_vector(values: list[float]) -> Column:
-    return F.array(*(F.lit(float(v)) for v in values))
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of an array column with `width` numbers, none of them null, and these as doubles."""
+    length = column.value_lengths().to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(np.nan_to_num(length, nan=-1) == width)
+    flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), width)
+    return rows, flat
 
 
 def nearest(rows: DataFrame, query: list[float], key: str, vector: str, k: int = 10, metric: str = "cosine", where: Column | None = None) -> DataFrame:
-    """The k rows nearest to the query: key, distance (1 - cosine, or squared Euclidean), dense_rank. Rows without a comparable
-    vector are left out; ties go to the smaller key. Only the k best of each partition are sent anywhere."""
-    q = literal_vector(query)
-    distance = 1 - X.cosine(F.col(vector), q) if metric == "cosine" else F.when(F.size(vector) == len(query), X.squared_distance(F.col(vector), q))
+    """The k keys nearest to the query: key, distance (1 - cosine, or squared Euclidean), dense_rank. Rows without a comparable
+    vector (another width, null, not finite, or zero for the cosine) are left out; a key that is repeated counts once, ties go
+    to the smaller key. Only the k best of each batch leave their task."""
+    q = np.array(query, np.float64)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x = _matrix(batch.column(1), len(q))
+            with np.errstate(all="ignore"):
+                d = 1 - (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum())) if metric == "cosine" else ((x - q) ** 2).sum(1)
+            good = np.isfinite(d) & np.isfinite(x).all(1)
+            at, d = at[good], d[good]
+            best: dict = {}
+            names = batch.column(0).take(pa.array(at)).to_pylist() if len(at) <= 4 * k else None
+            if names is None:  # ties at the edge stay; the rest can't be among the k best keys, unless these are repeated
+                edge = np.partition(d, 4 * k - 1)[4 * k - 1]
+                near = np.flatnonzero(d <= edge)
+                names = batch.column(0).take(pa.array(at[near])).to_pylist()
+                if len(set(names)) < k:
+                    near = np.arange(len(d))
+                    names = batch.column(0).take(pa.array(at)).to_pylist()
+                d = d[near]
+            for name, v in zip(names, d.tolist()):
+                if name is not None and v < best.get(name, np.inf):
+                    best[name] = v
+            kept = sorted(best.items(), key=lambda e: (e[1], e[0]))[:k]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in kept], batch.schema.field(0).type), pa.array([v for _, v in kept], pa.float64())], [key, "distance"])
+
     rows = rows if where is None else rows.filter(where)
-    best = rows.select(key, distance.alias("distance")).filter(F.col("distance").isNotNull() & ~F.isnan("distance")).orderBy("distance", key).limit(k)
+    near = rows.select(key, vector).mapInArrow(run, f"{key} {kind}, distance double") if len(q) else rows.select(key, F.lit(0.0).alias("distance")).limit(0)
+    best = near.groupBy(key).agg(F.min("distance").alias("distance")).orderBy("distance", key).limit(k)
     return best.withColumn("dense_rank", F.row_number().over(Window.orderBy("distance", key)))
 
 
+def first_vector(rows: DataFrame, key: str, vector: str, width: int) -> list[float]:
+    """The vector of the smallest key that has one of this width, finite and not zero; empty if there is none."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            at, x = _matrix(batch.column(1), width)
+            good = np.isfinite(x).all(1) & (x != 0).any(1)
+            names = batch.column(0).take(pa.array(at[good])).to_pylist()
+            for i in sorted((i for i, n in enumerate(names) if n is not None), key=lambda i: names[i])[:1]:
+                if best is None or names[i] < best[0]:
+                    best = (names[i], x[good][i].tolist())
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]])], [key, "v"])
+
+    first = rows.select(key, vector).mapInArrow(run, f"{key} {kind}, v array<double>").orderBy(key).first()
+    return list(first.v) if first else []
+
+
 def first_per_source(ranked: DataFrame, source: str, rank: str, limit: int) -> DataFrame:
     """The best row of each source, in rank order, at most `limit` sources."""
     place = F.row_number().over(Window.partitionBy(source).orderBy(rank))
@@ -79,3 +131,48 @@ def recall_at(expected: Column, ranked: Column, k: int) -> Column:
 def reciprocal_rank_at(expected: Column, ranked: Column, k: int) -> Column:
     hits = F.filter(F.transform(F.slice(ranked, 1, k), lambda x, i: F.when(F.array_contains(expected, x), i + 1)), lambda x: x.isNotNull())
     return F.when(F.size(hits) > 0, F.lit(1.0) / F.array_min(hits)).otherwise(0.0)
+
+
+def fetch_size(limit: int, rerank_top: int, distinct_sources_at: dict[int, int], wanted: int, most: int = 50) -> int:
+    """How many nearest rows a search looks at: it begins with max(limit, rerank_top) and takes `rerank_top` more at a time until
+    `wanted` different sources are among them, `most` is reached or no more rows come. distinct_sources_at: rank -> sources up to it."""
+    n = min(most, max(limit, rerank_top))
+    while distinct_sources_at.get(min(n, max(distinct_sources_at, default=0)), 0) < wanted and n < most and n <= max(distinct_sources_at, default=0):
+        n = min(most, n + max(1, rerank_top))
+    return n
+
+
+def search_profiles(profiles: DataFrame, text: str, limit: int = 20) -> DataFrame:
+    """Entities whose label or one of whose aliases holds the text, whatever its case, by PageRank; % and _ in it stand for any."""
+    hit = F.col("label").ilike(f"%{text}%") | F.exists("aliases", lambda a: a.ilike(f"%{text}%"))
+    return profiles.filter(hit).orderBy(F.desc("pagerank"), "entity_id").limit(limit)
+
+
+def deduped(rows: DataFrame, order: str, value: str) -> DataFrame:
+    """The first of values that are equal but for case, in the given order: order, value."""
+    return rows.groupBy(F.lower(value).alias("__f")).agg(F.min(F.struct(order, value)).alias("r")).select(f"r.{order}", f"r.{value}")
+
+
+def expansion_terms(entities: DataFrame, definitions: DataFrame, question: str, most: int = 12) -> DataFrame:
+    """rank, term: names to add to a question. entities: rank, entity_id, best first. Of each its id, label and aliases count, in
+    this order; terms that are equal but for case count once, and those that the question holds already not at all."""
+    named = entities.join(definitions, "entity_id")
+    names = F.filter(F.concat(F.array("entity_id", "label"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: x.isNotNull() & (F.trim(x) != ""))
+    rows = named.select("rank", F.posexplode(names).alias("p", "term")).withColumn("at", F.struct("rank", "p"))
+    rows = rows.filter(~F.contains(F.lit(question.lower()), F.lower("term")))
+    first = deduped(rows, "at", "term").orderBy("at").limit(most)
+    return first.select(F.row_number().over(Window.orderBy("at")).alias("rank"), "term")
+
+
+def evaluate(ranked: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
+    """One row per case: recall and reciprocal rank at k. ranked: case, rank, source; expected: case, source. Of a source the best
+    rank counts, and ranks are those among different sources."""
+    order = ranked.groupBy("case", "source").agg(F.min("rank").alias("rank"))
+    order = order.withColumn("rank", F.row_number().over(Window.partitionBy("case").orderBy("rank", "source")))
+    hits = expected.select("case", "source").distinct().join(order.filter(F.col("rank") <= k), ["case", "source"], "left")
+    return hits.groupBy("case").agg((F.count("rank") / F.count("source")).alias("recall"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("reciprocal_rank"))
+
+
+def evaluation_summary(cases: DataFrame) -> DataFrame:
+    """Means over all cases, 0 without any."""
+    return cases.agg(F.count("*").alias("cases"), F.coalesce(F.avg("recall"), F.lit(0.0)).alias("mean_recall"), F.coalesce(F.avg("reciprocal_rank"), F.lit(0.0)).alias("mean_reciprocal_rank"))

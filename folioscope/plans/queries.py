@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from folioscope import ids
 from folioscope.functions import text as X
+from folioscope.operators import chunking as K
 from folioscope.operators import corpus as C
+from folioscope.operators import extraction as E
 from folioscope.operators import graph as G
+from folioscope.operators import lookups as L
 from folioscope.operators import matching as M
+from folioscope.operators import pipeline as P
 from folioscope.operators import retrieval as R
 from folioscope.operators import store as S
 from folioscope.session import table
@@ -167,19 +171,24 @@ def chunk_text_normalise(spark: SparkSession, base: str) -> DataFrame:
     return _t(spark, base, "chunk_rows").filter("text is not null").select("chunk_id", "text").distinct().select("chunk_id", ids.content_id(X.chunk_form("text")).alias("clean_hash"))
 
 
+# The words of a question that don't count and those that count little, written out for SQL.
+SQL_STOP = "'a', 'about', 'an', 'are', 'cover', 'covers', 'define', 'describe', 'do', 'does', 'explain', 'is', 'mean', 'means', 'of', 'tell', 'the', 'what'"
+SQL_GENERIC = "'framework', 'instruction', 'model', 'principle', 'principles', 'theory'"
+
+
 @query(f"""with t as (select distinct chunk_id, {NORM_RANK.format('text')} as n from chunk_rows where text is not null)
-    select chunk_id, sha256(n) as form_hash, len(list_filter(string_split(n, ' '), lambda w: length(w) >= 3 and not list_contains([{', '.join(f"'{w}'" for w in X.STOP_WORDS)}], w)))::int as n_terms from t""")
+    select chunk_id, sha256(n) as form_hash, len(list_filter(string_split(n, ' '), lambda w: length(w) >= 3 and not list_contains([{SQL_STOP}], w)))::int as n_terms from t""")
 def rank_terms(spark: SparkSession, base: str) -> DataFrame:
     rows = _t(spark, base, "chunk_rows").filter("text is not null").select("chunk_id", "text").distinct()
     return rows.select("chunk_id", ids.content_id(X.rank_form("text")).alias("form_hash"), F.size(X.significant_terms("text")).alias("n_terms"))
 
 
-TERMS = [w for w in QUESTION.lower().rstrip("?").split() if len(w) >= 3 and w not in X.STOP_WORDS]
-LEXICAL = "(" + " + ".join(f"(case when contains(f, ' {w} ') then {X.GENERIC if w in X.GENERIC_WORDS else X.SPECIFIC} else 0.0 end)" for w in TERMS) + " + case when " + " and ".join(f"contains(f, ' {w} ')" for w in TERMS if w not in X.GENERIC_WORDS) + f" then {X.ALL_SPECIFIC} else 0.0 end)"
+LEXICAL = f"""(with q as (select unnest(list_filter(string_split(trim(regexp_replace(lower('{QUESTION}'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 3 and not list_contains([{SQL_STOP}], w))) as w)
+    select coalesce(sum(case when not contains(f, ' ' || w || ' ') then 0.0 when w in ({SQL_GENERIC}) then 0.5 else 5.0 end), 0.0) + case when count(*) filter (w not in ({SQL_GENERIC})) > 0 and count(*) filter (w not in ({SQL_GENERIC}) and not contains(f, ' ' || w || ' ')) = 0 then 10.0 else 0.0 end from q)"""
 HINT = "concat_ws(' ', source_filename, source_rel_path, citation_label, substr(score_hint, 1, 240))"
 
 
-@query(f"with t as (select distinct chunk_id, source_rel_path, {HINT} as h from chunk_rows), n as (select *, ' ' || {NORM_RANK.format('h')} || ' ' as f from t) select chunk_id, source_rel_path, max({LEXICAL})::double as score from n group by 1, 2")
+@query(f"with t as (select distinct chunk_id, source_rel_path, {HINT} as h from chunk_rows), n as (select *, ' ' || {NORM_RANK.format('h')} || ' ' as f from t), z as (select chunk_id, source_rel_path, {LEXICAL} as lex from n) select chunk_id, source_rel_path, max(lex)::double as score from z group by 1, 2")
 def lexical_score(spark: SparkSession, base: str) -> DataFrame:
     hint = F.concat_ws(" ", "source_filename", "source_rel_path", "citation_label", F.substring("score_hint", 1, 240))
     terms = X.significant_terms(F.lit(QUESTION))
@@ -226,9 +235,9 @@ def diversify_by_source(spark: SparkSession, base: str) -> DataFrame:
 
 
 CHUNKS = "u as (select chunk_id, any_value(vector) as vector, any_value(embedding_dims) as dims, any_value(embedding_model) as model, min(source_rel_path) as source_rel_path from chunk_rows where chunk_id is not null group by 1)"
-HYBRID = f"""{CHUNKS}, v as (select *, vector::double[] as x from u where model = 'lxd-embed-2' and dims = 96 and len(vector) = 96 and not list_contains(list_transform(vector, lambda x: coalesce(isfinite(x), false)), false) and list_contains(list_transform(vector, lambda x: x <> 0), true)),
+HYBRID = f"""{CHUNKS}, v as (select *, vector::double[] as x from u where model = (select embedding_model from chunk_rows where chunk_id is not null and embedding_dims = 96 group by 1 order by count(*) desc, 1 desc limit 1) and dims = 96 and len(vector) = 96 and not list_contains(list_transform(vector, lambda x: coalesce(isfinite(x), false)), false) and list_contains(list_transform(vector, lambda x: x <> 0), true)),
     q as (select x as qx from v order by chunk_id limit 1), d as (select chunk_id, source_rel_path, 1 - list_cosine_similarity(x, qx) as d from v, q), t as (select *, row_number() over (order by d, chunk_id) as dr from d order by d, chunk_id limit 50),
-    b as (select chunk_id, max({LEXICAL}) as lex from (select chunk_id, ' ' || {NORM_RANK.format(HINT)} || ' ' as f from chunk_rows) group by 1),
+    b as (select chunk_id, max(lex) as lex from (select chunk_id, {LEXICAL} as lex from (select chunk_id, ' ' || {NORM_RANK.format(HINT)} || ' ' as f from chunk_rows where chunk_id in (select chunk_id from t))) group by 1),
     g as (select t.*, b.lex, exists (select 1 from r where r.chunk_id = t.chunk_id and (r.s in ('{SEEDS[0]}', '{SEEDS[1]}', '{SEEDS[2]}') or r.o in ('{SEEDS[0]}', '{SEEDS[1]}', '{SEEDS[2]}'))) as hit from t join b using (chunk_id)),
     f as (select *, row_number() over (order by lex desc, dr) as lr, row_number() over (order by case when hit then 0 else 1 end, dr) as rr from g),
     s as (select *, 2.0 / (20 + dr) + 2.0 / (20 + lr) + 1.0 / (20 + rr) as score from f), o as (select *, row_number() over (order by score desc, dr) as fused_rank from s)"""
@@ -242,10 +251,10 @@ def hybrid_search(spark: SparkSession, base: str) -> DataFrame:
 
 def _hybrid(spark: SparkSession, base: str) -> DataFrame:
     chunks = _t(spark, base, "chunk_rows").filter("chunk_id is not null")
-    good = (F.col("embedding_model") == "lxd-embed-2") & (F.col("embedding_dims") == 96) & (F.size("vector") == 96) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = chunks.filter(good).select("chunk_id", "vector").groupBy("chunk_id").agg(F.first("vector").alias("vector"))
-    first = rows.orderBy("chunk_id").select("vector").first()
-    best = R.nearest(rows, list(first[0]) if first else [], "chunk_id", "vector", k=50)
+    model = F.max_by("embedding_model", F.struct("n", "embedding_model"))  # the model of most chunks
+    most = chunks.filter("embedding_dims = 96").groupBy("embedding_model").agg(F.count("*").alias("n")).agg(model).first()[0]
+    rows = chunks.filter((F.col("embedding_model") == most) & (F.col("embedding_dims") == 96)).select("chunk_id", "vector")
+    best = R.nearest(rows, R.first_vector(rows, "chunk_id", "vector", 96), "chunk_id", "vector", k=50)
     hint = F.concat_ws(" ", "source_filename", "source_rel_path", "citation_label", F.substring("score_hint", 1, 240))
     page = chunks.join(F.broadcast(best.select("chunk_id")), "chunk_id", "left_semi")  # 50 rows
     text = page.groupBy("chunk_id").agg(F.max(X.lexical_score(X.significant_terms(F.lit(QUESTION)), hint)).alias("lexical"), F.min("source_rel_path").alias("source_rel_path"))
@@ -284,10 +293,27 @@ def mention_presence(spark: SparkSession, base: str) -> DataFrame:
     return M.presence(texts, terms, "chunk_id", "text")
 
 
-@query()
+def _mentions_sql(rounds: int) -> str:
+    """All places of all terms, of which per round those are taken that no better one overlaps, and what overlaps them goes."""
+    quotes = "".join("''" if c == "'" else c for c in X.QUOTES)
+    steps = [
+        rf"t as (select distinct chunk_id, trim(regexp_replace(translate(replace(lower(text), 'ß', 'ss'), '{quotes}{X.DASHES}', '{"''" * len(X.QUOTES)}{"-" * len(X.DASHES)}'), '[\s\p{{Z}}\x{{85}}\x1c-\x1f]+', ' ', 'g')) as n from chunk_rows where text is not null and chunk_id is not null)",
+        "w as (select normalized_term as w, length(normalized_term) as k, entity_id as e, term_source as s from (select *, row_number() over (partition by normalized_term order by entity_id desc, term_source desc) as r from matcher_terms where normalized_term <> '') where r = 1)",
+        "p as (select chunk_id, n, w, k, e, s, string_split(n, w) as parts from t join w on contains(n, w))",
+        "c as (select chunk_id, n, k, e, s, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * k)::int as a from (select *, unnest(range(1, len(parts))) as i from p))",
+        "r0 as materialized (select *, a + k as b, row_number() over (partition by chunk_id, n order by k desc, case s when 'canonical_id' then 0 when 'alias' then 1 else 2 end, a, e) as g from c)",
+    ]
+    for i in range(rounds):
+        steps.append(f"a{i} as materialized (select * from r{i} x where not exists (select 1 from r{i} y where y.chunk_id = x.chunk_id and y.n = x.n and y.g < x.g and y.a < x.b and x.a < y.b))")
+        steps.append(f"r{i + 1} as materialized (select * from r{i} x where not exists (select 1 from a{i} y where y.chunk_id = x.chunk_id and y.n = x.n and y.a < x.b and x.a < y.b))")
+    taken = " union all ".join(f"select * from a{i}" for i in range(rounds))
+    return "with " + ", ".join(steps) + f" select distinct chunk_id, e as entity_id, s as term_source, substr(n, a + 1, k) as surface_form, a as start_char, b::int as end_char from ({taken})"
+
+
+@query(_mentions_sql(8))
 def mentions_detected(spark: SparkSession, base: str) -> DataFrame:
-    texts = _t(spark, base, "chunk_rows").filter("text is not null and chunk_id is not null").groupBy("chunk_id").agg(F.min("text").alias("text"))
-    return M.detect(texts, _t(spark, base, "matcher_terms"), "chunk_id", "text")
+    texts = _t(spark, base, "chunk_rows").filter("text is not null and chunk_id is not null").select("chunk_id", "text")
+    return M.detect(texts, _t(spark, base, "matcher_terms"), "chunk_id", "text").distinct()
 
 
 @query("""select sha256(array_to_string(list_sort(list(distinct concat_ws(chr(9), normalized_term, entity_id, term_source))), chr(10))) as termset_hash from matcher_terms""")
@@ -371,7 +397,7 @@ def relation_validation(spark: SparkSession, base: str) -> DataFrame:
     sorted_rows = F.array_sort(F.collect_list("x"), lambda a, b: F.when(F.struct(a.subject, a.predicate, a.object, a.z) < F.struct(b.subject, b.predicate, b.object, b.z), -1).when(F.struct(a.subject, a.predicate, a.object, a.z) > F.struct(b.subject, b.predicate, b.object, b.z), 1).otherwise(0))
     raw = rows.groupBy("chunk_id").agg(F.to_json(F.struct(sorted_rows.alias("relations"))).alias("raw"))
     parsed = C.parse_relations(raw, "chunk_id", "raw")
-    return C.valid_relations(parsed, _mentions(spark, base), _relations(spark, base).select("predicate")).select("chunk_id", "subject", "predicate", "object", "confidence")
+    return C.valid_relations(parsed, _mentions(spark, base), _relations(spark, base).select("predicate"), limit=20).select("chunk_id", "subject", "predicate", "object", "confidence")
 
 
 @query(f"""with {RELATIONS}, {MENTIONS}, v as (select distinct chunk_id, e from m), cl as (select r.*, s || ' ' || p || ' ' || o as claim_text from r)
@@ -390,7 +416,7 @@ MEANS = f"""{MENTIONS}, n as (select e, chunk_id, count(*) as c from m group by
 
 @query(f"with {MEANS} select e as entity_id, pos::int as pos, round(x, 6) as x from a")
 def mean_pool(spark: SparkSession, base: str) -> DataFrame:
-    return _means(spark, base).select("entity_id", "pos", F.round("x", 6).alias("x"))
+    return _means(spark, base).select("entity_id", F.posexplode("vector").alias("pos", "x")).select("entity_id", "pos", F.round("x", 6).alias("x"))
 
 
 def _means(spark: SparkSession, base: str) -> DataFrame:
@@ -401,9 +427,9 @@ def _means(spark: SparkSession, base: str) -> DataFrame:
 @query(f"with {MEANS} select a.e as entity_id, round(sum(pow(a.x - b.x, 2)), 5) as distance from a join a b on a.pos = b.pos and b.e = '{SEEDS[0]}' where a.e <> '{SEEDS[0]}' group by 1 order by sum(pow(a.x - b.x, 2)), 1 limit 10")
 def similar_entities(spark: SparkSession, base: str) -> DataFrame:
     means = _means(spark, base)
-    other = means.filter(F.col("entity_id") == SEEDS[0]).select("pos", F.col("x").alias("y"))
-    rows = means.filter(F.col("entity_id") != SEEDS[0]).join(F.broadcast(other), "pos").groupBy("entity_id").agg(F.sum((F.col("x") - F.col("y")) ** 2).alias("d"))
-    return rows.orderBy("d", "entity_id").limit(10).select("entity_id", F.round("d", 5).alias("distance"))
+    mine = means.filter(F.col("entity_id") == SEEDS[0]).select("vector").first()
+    best = R.nearest(means.filter(F.col("entity_id") != SEEDS[0]), list(mine.vector) if mine else [], "entity_id", "vector", 10, "l2")
+    return best.select("entity_id", F.round("distance", 5).alias("distance"))
 
 
 @query(f"with {RELATIONS}, {EDGES}, n as (select src as id from e union select dst from e) select id, (select count(*) from e where dst = id)::bigint as in_degree, (select count(*) from e where src = id)::bigint as out_degree from n")
@@ -439,9 +465,15 @@ def weighted_paths(spark: SparkSession, base: str) -> DataFrame:
     return G.cheapest(edges, SOURCE, rounds=3).select("id", F.round("cost", 6).alias("cost"))
 
 
-@query()
+def _cheapest_sql(rounds: int) -> str:
+    steps = [f"{RELATIONS}, {EDGES}", f"k0 as (select '{SOURCE}' as id, 0.0::double as cost)"]
+    steps += [f"k{i} as materialized (select id, min(cost) as cost from (select * from k{i - 1} union all select dst, cost + (1 - weight) from k{i - 1} join e on src = id) group by 1)" for i in range(1, rounds + 1)]
+    return "with " + ", ".join(steps) + f" select id, round(cost, 6) as cost from k{rounds}"
+
+
+@query(_cheapest_sql(40))
 def weighted_paths_whole(spark: SparkSession, base: str) -> DataFrame:
-    return G.cheapest(_edges(spark, base).withColumn("weight", 1 - F.col("weight")), SOURCE)
+    return G.cheapest(_edges(spark, base).withColumn("weight", 1 - F.col("weight")), SOURCE).select("id", F.round("cost", 6).alias("cost"))
 
 
 @query(f"""with recursive {RELATIONS}, {EDGES}, p as (select '{SOURCE}' as id, ['{SOURCE}'] as path union select dst, list_append(path, dst) from p join e on src = id where len(path) <= 3 and not list_contains(path, dst)), f as (select path from p where id = '{TARGET}' order by len(path), path limit 1) select array_to_string(path, '>') as path, (len(path) - 1)::int as n_hops from f""")
@@ -449,7 +481,7 @@ def shortest_path(spark: SparkSession, base: str) -> DataFrame:
     return G.shortest_path(_edges(spark, base), SOURCE, TARGET, 3)
 
 
-@query()
+@query(f"""with recursive {RELATIONS}, {EDGES}, p as (select '{SOURCE}' as id, ['{SOURCE}'] as path union select dst, list_append(path, dst) from p join e on src = id where len(path) <= 5 and not list_contains(path, dst)), f as (select path from p where id = '{TARGET}' order by len(path), path limit 1) select array_to_string(path, '>') as path, (len(path) - 1)::int as n_hops from f""")
 def shortest_path_whole(spark: SparkSession, base: str) -> DataFrame:
     return G.shortest_path(_edges(spark, base), SOURCE, TARGET)
 
@@ -459,19 +491,34 @@ def neighbours(spark: SparkSession, base: str) -> DataFrame:
     return G.neighbours(_edges(spark, base), SEEDS[0])
 
 
-@query()
+def _levels_sql(most: int) -> str:
+    """d: shortest distances h and numbers c of shortest ways between all pairs, by levels."""
+    steps = [f"{RELATIONS}, {EDGES}", "n as (select src as id from e union select dst from e)", "z as (select distinct src, dst from e where src <> dst)", "v0 as (select id as a, id as b, 0 as h, 1::double as c from n)", "w0 as (select * from v0)"]
+    for i in range(1, most + 1):
+        steps.append(f"v{i} as materialized (select a, dst as b, {i} as h, sum(c) as c from v{i - 1} join z on src = b where not exists (select 1 from w{i - 1} w where w.a = v{i - 1}.a and w.b = z.dst) group by a, dst)")
+        steps.append(f"w{i} as materialized (select * from w{i - 1} union all select * from v{i})")
+    return "with " + ", ".join(steps) + f", d as materialized (select * from w{most})"
+
+
+@query(_levels_sql(14) + """ select n.id, round(coalesce(b.x, 0) / ((select count(*) from n) - 1) / ((select count(*) from n) - 2), 9)::double as betweenness from n left join (select p.b as id, sum(p.c * q.c / t.c) as x from d p join d q on q.a = p.b join d t on t.a = p.a and t.b = q.b and t.h = p.h + q.h where p.a <> p.b and q.a <> q.b and p.a <> q.b group by 1) b using (id)""")
 def betweenness(spark: SparkSession, base: str) -> DataFrame:
-    return G.betweenness(_edges(spark, base))
+    return G.betweenness(_edges(spark, base)).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
-@query()
+@query(_levels_sql(14) + """ select b as id, round(case when sum(h) > 0 then (count(*) - 1.0) / sum(h) * ((count(*) - 1.0) / ((select count(*) from n) - 1)) else 0 end, 9)::double as closeness from d group by 1""")
 def closeness(spark: SparkSession, base: str) -> DataFrame:
-    return G.closeness(_edges(spark, base))
+    return G.closeness(_edges(spark, base)).select("id", F.round("closeness", 9).alias("closeness"))
 
 
-@query()
+def _eigenvector_sql(rounds: int) -> str:
+    steps = [f"{RELATIONS}, {EDGES}", "n as (select src as id from e union select dst from e)", "z as (select distinct src, dst from e where src <> dst)", "x0 as (select id, 1.0::double as x from n)"]
+    steps += [f"x{i} as materialized (select p.id, (p.x + coalesce(q.x, 0)) / 2 as x from x{i - 1} p left join (select dst, sum(x) as x from z join x{i - 1} on id = src group by 1) q on q.dst = p.id)" for i in range(1, rounds + 1)]
+    return "with " + ", ".join(steps) + f" select id, round(x / (select sqrt(sum(x * x)) from x{rounds}), 6) as eigenvector from x{rounds}"
+
+
+@query(_eigenvector_sql(160))
 def eigenvector(spark: SparkSession, base: str) -> DataFrame:
-    return G.eigenvector(_edges(spark, base))
+    return G.eigenvector(_edges(spark, base)).select("id", F.round("eigenvector", 6).alias("eigenvector"))
 
 
 @query()
@@ -479,7 +526,14 @@ def communities(spark: SparkSession, base: str) -> DataFrame:
     return G.communities(_edges(spark, base))
 
 
-@query()
+def _labels_sql(rounds: int) -> str:
+    steps = [f"{RELATIONS}, {EDGES}", "n as (select src as id from e union select dst from e)", "lu as (select src as a, dst as b from e where src <> dst union all select dst, src from e where src <> dst)", "l0 as (select id, id as c from n)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"l{i} as materialized (select n.id, coalesce(x.c, p.c) as c from n join l{i - 1} p on p.id = n.id left join (select b as id, arg_min(c, (-k, c)) as c from (select b, c, count(*) as k from lu join l{i - 1} on id = a group by 1, 2) group by 1) x on x.id = n.id)")
+    return "with " + ", ".join(steps)
+
+
+@query(_labels_sql(40) + " select id, least(l40.c, l39.c) as community from l40 join l39 using (id)")
 def label_propagation(spark: SparkSession, base: str) -> DataFrame:
     return G.label_propagation(_edges(spark, base))
 
@@ -494,7 +548,7 @@ def entity_profiles(spark: SparkSession, base: str) -> DataFrame:
     out = out.join(G.degrees(_edges(spark, base)).withColumnRenamed("id", "entity_id"), "entity_id", "left")
     out = out.join(terms.filter("term_source = 'alias'").groupBy("entity_id").agg(F.count("*").alias("n_aliases")), "entity_id", "left")
     out = out.join(relations.groupBy(F.col("subject_entity_id").alias("entity_id")).agg(F.count_distinct("predicate").alias("n_predicates")), "entity_id", "left").fillna(0)
-    return out.withColumn("in_rank", F.row_number().over(Window.orderBy(F.desc("in_degree"), "entity_id")))
+    return G.ranked(out, "in_degree", "entity_id", "in_rank")
 
 
 @query(f"""with {RELATIONS}, {EDGES}, n as (select src as id from e union select dst from e), cm as (select id, split_part(id, '_', 1) as community from n), ie as (select x.community, count(*) as n from e join cm x on x.id = e.src join cm y on y.id = e.dst where x.community = y.community group by 1) select a.community, count(distinct a.id) as members, coalesce(max(ie.n), 0) as inner_edges from cm a left join ie on ie.community = a.community group by 1""")
@@ -522,6 +576,421 @@ def relation_counts(spark: SparkSession, base: str) -> DataFrame:
     return _relations(spark, base).agg(F.count("*").alias("relations"), F.count_distinct("subject_entity_id", "predicate", "object_entity_id").alias("triples"), F.count_distinct("chunk_id").alias("chunks"), F.count_distinct("predicate").alias("predicates"))
 
 
+# --- the store --------------------------------------------------------------------------------------------------------
+
+
+@query(f"""with {LATEST} select (select count(*) from l) as files, (select count(*) from l where lifecycle_status <> 'deleted' and source_type <> 'image_png') as text_files, (select count(*) from l where lifecycle_status <> 'deleted' and source_type = 'image_png') as assets,
+    (select count(*) from l where lifecycle_status <> 'deleted' and retrieval_status = 'searchable') as searchable, (select count(*) from l where lifecycle_status <> 'deleted' and retrieval_status = 'asset_only') as asset_only, (select count(*) from l where lifecycle_status <> 'deleted' and retrieval_status = 'not_searchable') as not_searchable,
+    (select count(*) from chunk_rows) as chunks, (select count(*) from mention_rows) as mentions""")
+def corpus_status(spark: SparkSession, base: str) -> DataFrame:
+    return S.status(_latest(spark, base), _t(spark, base, "chunk_rows"), _t(spark, base, "mention_rows"))
+
+
+@query(f"""with {LATEST}, c as (select source_rel_path, count(distinct chunk_id) as n from chunk_rows group by 1)
+    select l.source_rel_path from l left join c on c.source_rel_path = l.source_rel_path where lifecycle_status = 'complete' and (retrieval_status = 'asset_only' or (retrieval_status = 'searchable' and chunk_count = c.n))""")
+def ready_sources(spark: SparkSession, base: str) -> DataFrame:
+    stored = _t(spark, base, "chunk_rows").groupBy("source_rel_path").agg(F.count_distinct("chunk_id").alias("n"))
+    return S.ready(_latest(spark, base), stored)
+
+
+@query(rf"""with {LATEST}, d as (select * from l where lifecycle_status <> 'deleted'), p as (select source_rel_path, regexp_extract(source_rel_path, '^(.*)_images/[^/]+$', 1) as b, regexp_extract(source_rel_path, '([^/]*)\.[^./]*$', 1) as stem from d where source_type = 'image_png'),
+    q as (select p.*, coalesce(j.source_rel_path, m.source_rel_path, n.source_rel_path) as parent, case when j.source_rel_path is not null then 'docling_sibling_images_dir' when coalesce(m.source_rel_path, n.source_rel_path) is not null then 'markdown_sibling_images_dir' else 'unresolved' end as link_method,
+    list_filter(string_split(replace(lower(stem), '-', '_'), '_'), lambda x: regexp_matches(x, '^(page)?[0-9]+$')) as parts
+    from p left join d j on j.source_rel_path = p.b || '.docling.json' left join d m on m.source_rel_path = p.b || '.docling.md' left join d n on n.source_rel_path = p.b || '.md')
+    select q.source_rel_path as asset_path, list_last(string_split(q.source_rel_path, '/')) as asset_filename, d.document_id as parent_document_id, d.absolute_path as parent_source_path, try_cast(replace(q.parts[1], 'page', '') as bigint) as page_no, link_method from q left join d on d.source_rel_path = q.parent""")
+def asset_records(spark: SparkSession, base: str) -> DataFrame:
+    live = _latest(spark, base).filter("lifecycle_status <> 'deleted'")
+    return S.asset_records(live, "2031").select("asset_path", "asset_filename", "parent_document_id", "parent_source_path", "page_no", "link_method")
+
+
+@query(f"""with {LATEST}, n as (select source_rel_path, content_hash, 'new' as state from l where source_rel_path like '%1%') select * from n union all select source_rel_path, content_hash, 'old' from l where source_rel_path not in (select source_rel_path from n)""")
+def manifest_upsert(spark: SparkSession, base: str) -> DataFrame:
+    rows = _latest(spark, base).select("source_rel_path", "content_hash")
+    return S.upsert(rows.withColumn("state", F.lit("old")), rows.filter("source_rel_path like '%1%'").withColumn("state", F.lit("new")), "source_rel_path")
+
+
+@query(f"""with {RELATIONS}, o as (select id, 'old' as state from r where chunk_id < '8') select * from o union all select distinct id, 'new' from r where id not in (select id from o)""")
+def insert_or_ignore(spark: SparkSession, base: str) -> DataFrame:
+    rows = _relations(spark, base).select(F.col("relation_id").alias("id"), "chunk_id")
+    old = rows.filter("chunk_id < '8'").select("id", F.lit("old").alias("state"))
+    return S.insert_or_ignore(old, rows.union(rows).select("id", F.lit("new").alias("state")), "id")
+
+
+GONE = "source_rel_path like '%/%a%'"
+
+
+@query(f"""with {LATEST}, dead as (select distinct chunk_id from chunk_rows where {GONE}) select 'chunk_rows' as name, count(*) as n from chunk_rows where not ({GONE}) or source_rel_path is null union all select 'mention_rows', count(*) from mention_rows where chunk_id is null or chunk_id not in (select chunk_id from dead where chunk_id is not null)
+    union all select 'extracted_relations', count(*) from extracted_relations where chunk_id is null or chunk_id not in (select chunk_id from dead where chunk_id is not null) union all select 'tombstones', count(*) from l where lifecycle_status = 'deleted' or {GONE}""")
+def deleted_sources(spark: SparkSession, base: str) -> DataFrame:
+    """What is left of every table once some sources are gone."""
+    names = ["chunk_rows", "mention_rows", "extracted_relations"]
+    gone = _latest(spark, base).select("source_rel_path").union(_t(spark, base, "chunk_rows").select("source_rel_path")).filter(GONE)
+    left = S.without_sources({n: _t(spark, base, n) for n in names}, gone) | {"tombstones": S.tombstoned(_latest(spark, base), gone, "2031").filter("lifecycle_status = 'deleted'")}
+    out = None
+    for name in [*names, "tombstones"]:
+        n = left[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = n if out is None else out.union(n)
+    return out
+
+
+@query(rf"""select distinct chunk_id, case when source_rel_path like 'V%' then 'New Place/' || source_rel_path else source_rel_path end as source_rel_path, case when source_rel_path like 'V%' then 'new_place' else source_domain end as source_domain,
+    case when source_rel_path like 'V%' then list_last(string_split(source_rel_path, '/')) else source_filename end as source_filename, case when source_rel_path like 'V%' then case when contains(citation_label, '#page=') then 'New Place/' || source_rel_path || '#page=' || regexp_extract(citation_label, '#page=(.*)$', 1) else 'New Place/' || source_rel_path end else citation_label end as citation_label,
+    case when source_rel_path like 'V%' then case when ends_with(source_path, source_rel_path) then left(source_path, length(source_path) - length(source_rel_path)) else source_path end || 'New Place/' || source_rel_path else source_path end as source_path from chunk_rows where chunk_id is not null and source_rel_path is not null and citation_label is not null and source_path is not null""")
+def moved_sources(spark: SparkSession, base: str) -> DataFrame:
+    """Chunks of sources that have moved, as they are stored under the new path."""
+    columns = ["chunk_id", "source_rel_path", "source_domain", "source_filename", "citation_label", "source_path"]
+    rows = _t(spark, base, "chunk_rows").select(*columns).dropna(subset=["chunk_id", "source_rel_path", "citation_label", "source_path"])
+    moved = rows.filter("source_rel_path like 'V%'").select(F.col("source_rel_path").alias("old_path"), F.concat(F.lit("New Place/"), "source_rel_path").alias("new_path")).distinct()
+    return S.renamed_sources(rows, moved).distinct()
+
+
+@query("""select distinct source_domain as community_id from corpus_manifest where source_domain is not null and source_domain not in (select source_domain from chunk_rows where source_domain is not null)""")
+def stale_reports(spark: SparkSession, base: str) -> DataFrame:
+    """Domains of the manifest that no chunk has any more, as reports whose community is gone."""
+    name = F.col("source_domain").alias("community_id")
+    return S.stale(_t(spark, base, "corpus_manifest").filter("source_domain is not null").select(name).distinct(), _t(spark, base, "chunk_rows").filter("source_domain is not null").select(name))
+
+
+@query("""with n as (select entity_id, case when entity_id < 'm' then 'about ' || entity_id else ' ' end as t from matcher_terms group by 1) select entity_id, case when trim(t) <> '' then t when entity_id > 'r' then 'old' end as llm_summary from n""")
+def filled_summaries(spark: SparkSession, base: str) -> DataFrame:
+    """Summaries taken over where the new one is not blank."""
+    rows = _t(spark, base, "matcher_terms").select("entity_id").distinct().withColumn("llm_summary", F.when(F.col("entity_id") > "r", "old"))
+    new = rows.select("entity_id", F.when(F.col("entity_id") < "m", F.concat(F.lit("about "), "entity_id")).otherwise(" ").alias("llm_summary"))
+    return S.filled_in(rows, new, "entity_id", "llm_summary")
+
+
+@query("select doc_id, sha256(text) as content_hash from documents where text is not null")
+def content_hashes(spark: SparkSession, base: str) -> DataFrame:
+    return _t(spark, base, "documents").filter("text is not null").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("content_hash"))
+
+
+@query(r"""with c as (select doc_id, list_transform(string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')) as ls from documents where text is not null),
+    j as (select doc_id, regexp_replace(array_to_string(ls, chr(10)), '^\n+|\n+$', '', 'g') as t from c) select doc_id, case when t = '' then 0 else len(regexp_split_to_array(t, '\n{2,}')) end::int as n_blocks, sha256(array_to_string(case when t = '' then [] else regexp_split_to_array(t, '\n{2,}') end, '|')) as blocks_hash from j""")
+def text_blocks(spark: SparkSession, base: str) -> DataFrame:
+    rows = _t(spark, base, "documents").filter("text is not null").select("doc_id", X.text_blocks("text").alias("b"))
+    return rows.select("doc_id", F.size("b").alias("n_blocks"), F.sha2(F.array_join("b", "|"), 256).alias("blocks_hash"))
+
+
+@query("""select distinct chunk_id, case when json_valid(metadata_json) then try_cast(json_extract_string(metadata_json, '$.page_no') as int) end as page_no from chunk_rows where chunk_id is not null""")
+def page_numbers(spark: SparkSession, base: str) -> DataFrame:
+    return _t(spark, base, "chunk_rows").filter("chunk_id is not null").select("chunk_id", X.page_number("metadata_json").alias("page_no")).distinct()
+
+
+@query("""select distinct entity_id, array_to_string(list_transform(string_split(replace(entity_id, '_', ' '), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') as label from matcher_terms""")
+def entity_titles(spark: SparkSession, base: str) -> DataFrame:
+    return _t(spark, base, "matcher_terms").select("entity_id", X.title_of_id("entity_id").alias("label")).distinct()
+
+
+@query(f"""with {MENTIONS} select distinct sha256(concat(e, chr(0), chunk_id, chr(0), start_char)) as mention_id from m where chunk_id is not null and start_char is not null""")
+def mention_ids(spark: SparkSession, base: str) -> DataFrame:
+    return _mentions(spark, base).dropna(subset=["chunk_id", "start_char"]).select(ids.mention_id("entity_id", "chunk_id", "start_char").alias("mention_id")).distinct()
+
+
+@query("""with d as (select entity_id, list_sort(list(distinct normalized_term) filter (term_source = 'alias')) as a, list_sort(list(distinct normalized_term) filter (term_source = 'indicator')) as i from matcher_terms group by 1)
+    select entity_id, 'canonical_id' as term_source, entity_id as normalized_term from d union select entity_id, 'alias', unnest(a) from d union select entity_id, 'indicator', unnest(i) from d""")
+def term_table(spark: SparkSession, base: str) -> DataFrame:
+    names = lambda kind: F.collect_set(F.when(F.col("term_source") == kind, F.upper("normalized_term"))).alias(kind)
+    rows = _t(spark, base, "matcher_terms").groupBy("entity_id").agg(names("alias"), names("indicator"))
+    return M.term_table(rows.withColumnsRenamed({"alias": "aliases", "indicator": "indicators"}))
+
+
+# --- extraction -------------------------------------------------------------------------------------------------------
+
+READY = f"{MENTIONS}, t as (select chunk_id, source_rel_path, document_id, text from (select *, row_number() over (partition by chunk_id order by source_rel_path nulls first, document_id nulls first, text) as n from chunk_rows where text is not null and chunk_id is not null) where n = 1), ready as (select t.*, x.es from t join (select chunk_id, list_sort(list(distinct e)) as es from m group by 1) x using (chunk_id))"
+
+
+def _ready(spark: SparkSession, base: str, least: int = 1) -> DataFrame:
+    return E.qualifying(_t(spark, base, "chunk_rows"), _mentions(spark, base), least)
+
+
+@query(f"with {READY} select chunk_id, document_id, source_rel_path, len(es)::int as n_entities, array_to_string(es, ',') as entities from ready where len(es) >= 2")
+def extraction_ready(spark: SparkSession, base: str) -> DataFrame:
+    return _ready(spark, base, 2).select("chunk_id", "document_id", "source_rel_path", F.size("entity_ids").alias("n_entities"), F.array_join("entity_ids", ",").alias("entities"))
+
+
+@query(f"with {READY}, {RELATIONS} select chunk_id from ready where chunk_id not in (select chunk_id from r)")
+def extraction_todo(spark: SparkSession, base: str) -> DataFrame:
+    return E.todo(_ready(spark, base), _relations(spark, base)).select("chunk_id")
+
+
+@query(f"with {READY}, {RELATIONS}, d as (select distinct chunk_id from r) select (select count(*) from ready) as qualifying, (select count(*) from ready where chunk_id in (select chunk_id from d)) as done, (select count(*) from ready where chunk_id not in (select chunk_id from d)) as calls")
+def extraction_preview(spark: SparkSession, base: str) -> DataFrame:
+    return E.preview(_t(spark, base, "chunk_rows"), _mentions(spark, base), _relations(spark, base), 1)
+
+
+@query(f"""with {READY} select chunk_id as custom_id, 'POST' as method, '/v1/chat/completions' as url, 'm' as model, 2 as n_messages, sha256(concat('Text:', chr(10), text, chr(10), chr(10), 'Entities:', chr(10), '- ', array_to_string(es, chr(10) || '- '))) as user_hash from ready""")
+def request_lines(spark: SparkSession, base: str) -> DataFrame:
+    """Requests for a file, read back from their JSON."""
+    v = F.parse_json("value")
+    at = lambda path, kind="string": F.variant_get(v, path, kind)
+    rows = E.request_lines(_ready(spark, base), E.CLAIM_TASK, E.prompt(), "m")
+    return rows.select(at("$.custom_id").alias("custom_id"), at("$.method").alias("method"), at("$.url").alias("url"), at("$.body.model").alias("model"), F.size(at("$.body.messages", "array<variant>")).alias("n_messages"), F.sha2(at("$.body.messages[1].content"), 256).alias("user_hash"))
+
+
+def _answers(rows: DataFrame, items: str) -> DataFrame:
+    """Relations as the lines of a service's answer file, one per chunk, and one line that is broken."""
+    content = F.to_json(F.struct(F.array_sort(F.collect_list("x")).alias(items)))
+    choice = F.struct(F.struct(content.alias("content")).alias("message"))
+    lines = rows.groupBy("chunk_id").agg(F.to_json(F.struct(F.col("chunk_id").alias("custom_id"), F.struct(F.struct(F.array(choice).alias("choices")).alias("body")).alias("response"))).alias("value")).select("value")
+    return lines.union(rows.sparkSession.createDataFrame([("{broken",)], "value string"))
+
+
+@query(f"""with {READY}, {RELATIONS}, n as (select r.*, row_number() over (partition by chunk_id order by conf, o, p, s) as pos from r) select sha256(concat(n.chunk_id, chr(0), s, chr(0), p, chr(0), o)) as relation_id, n.chunk_id, ready.document_id, ready.source_rel_path, s as subject_entity_id, p as predicate, o as object_entity_id, conf as confidence
+    from n join ready using (chunk_id) where pos <= 15 and s <> o and p <> 'frames' and list_contains(es, s) and list_contains(es, o)""")
+def relations_from_answers(spark: SparkSession, base: str) -> DataFrame:
+    x = F.struct(F.col("confidence"), F.col("object_entity_id").alias("object"), "predicate", F.col("subject_entity_id").alias("subject")).alias("x")
+    raw = E.answers_of(_answers(_relations(spark, base).select("chunk_id", x), "relations"))
+    known = _relations(spark, base).filter("predicate <> 'frames'").select("predicate").distinct()
+    return E.relation_records(raw, _ready(spark, base), known, "m", "2031").drop("extraction_model", "extracted_at")
+
+
+CLAIMED = f"""{READY}, {RELATIONS}, n as (select r.*, s || ' ' || p || ' ' || o || '. ' as raw_text, row_number() over (partition by chunk_id order by s || ' ' || p || ' ' || o || '. ', conf, o, s) as pos from r),
+    cl as (select sha256(concat(n.chunk_id, chr(0), raw_text)) as claim_id, n.chunk_id, ready.document_id, ready.source_rel_path, trim(raw_text) as claim_text, case when list_contains(es, s) then s end as subject_entity_id, case when list_contains(es, o) then o end as object_entity_id, 'assertion' as claim_type, conf as confidence from n join ready using (chunk_id) where pos <= 10)"""
+
+
+@query(f"with {CLAIMED} select * from cl")
+def claims_from_answers(spark: SparkSession, base: str) -> DataFrame:
+    return _claims(spark, base)
+
+
+def _claims(spark: SparkSession, base: str) -> DataFrame:
+    """Each relation as a claim that a service has answered with."""
+    text = F.concat(F.concat_ws(" ", "subject_entity_id", "predicate", "object_entity_id"), F.lit(". "))
+    x = F.struct(text.alias("claim_text"), "confidence", F.col("object_entity_id").alias("object"), F.col("subject_entity_id").alias("subject"), F.lit("odd").alias("claim_type")).alias("x")
+    raw = E.answers_of(_answers(_relations(spark, base).select("chunk_id", x), "claims"))
+    return E.claim_records(raw, _ready(spark, base), "m", "2031").drop("extraction_model", "extracted_at")
+
+
+@query(f"with {CLAIMED} select claim_id, confidence from cl where subject_entity_id in ('{SEEDS[0]}', '{SEEDS[1]}') or object_entity_id in ('{SEEDS[0]}', '{SEEDS[1]}') order by confidence desc, claim_id limit 50")
+def claims_about(spark: SparkSession, base: str) -> DataFrame:
+    return L.claims_about(_claims(spark, base), SEEDS[:2]).select("claim_id", "confidence")
+
+
+@query(f"with {CLAIMED} select claim_id, claim_text from cl where chunk_id = (select min(chunk_id) from cl)")
+def claims_of_chunk(spark: SparkSession, base: str) -> DataFrame:
+    claims = _claims(spark, base)
+    return L.claims_of_chunk(claims, claims.agg(F.min("chunk_id")).first()[0]).select("claim_id", "claim_text")
+
+
+@query(f"with {RELATIONS} select distinct p as predicate from r where s < o")
+def predicate_vocabulary(spark: SparkSession, base: str) -> DataFrame:
+    """Predicates of edges between entities; here those that go up in the alphabet count as the ontology's."""
+    origin = F.when(F.col("subject_entity_id") < F.col("object_entity_id"), "entity").otherwise("file_meta")
+    return C.predicate_vocabulary(_relations(spark, base).select(F.col("predicate").alias("relation"), origin.alias("origin")))
+
+
+# --- lookups ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {LATEST} select source_rel_path, document_id from l where absolute_path = (select min(absolute_path) from corpus_manifest)")
+def manifest_by_absolute_path(spark: SparkSession, base: str) -> DataFrame:
+    rows = _latest(spark, base)
+    return L.one(rows, "absolute_path", _t(spark, base, "corpus_manifest").agg(F.min("absolute_path")).first()[0]).select("source_rel_path", "document_id")
+
+
+@query("select distinct chunk_id, chunk_index, token_count from chunk_rows where source_rel_path = (select min(source_rel_path) from chunk_rows)")
+def chunks_of_source(spark: SparkSession, base: str) -> DataFrame:
+    rows = _t(spark, base, "chunk_rows")
+    return L.chunks_of_source(rows, rows.agg(F.min("source_rel_path")).first()[0]).select("chunk_id", "chunk_index", "token_count").distinct()
+
+
+@query(f"""with {MENTIONS}, c as (select distinct chunk_id from chunk_rows where source_rel_path = (select min(source_rel_path) from chunk_rows)) select chunk_id, count(*)::int as n, array_to_string(list(e order by start_char nulls first, end_char nulls first, e, term_source nulls first, surface_form nulls first), ',') as entities from m join c using (chunk_id) group by 1""")
+def mentions_of_source(spark: SparkSession, base: str) -> DataFrame:
+    chunks = _t(spark, base, "chunk_rows")
+    rows = L.mentions_of_source(_mentions(spark, base), chunks, chunks.agg(F.min("source_rel_path")).first()[0])
+    return rows.select("chunk_id", F.size("mentions").alias("n"), F.array_join(F.transform("mentions", lambda x: x.entity_id), ",").alias("entities"))
+
+
+@query(f"with {RELATIONS} select distinct chunk_id from r where s in ({SEED_LIST}) or o in ({SEED_LIST})")
+def relation_chunks(spark: SparkSession, base: str) -> DataFrame:
+    return L.chunks_with_relations(_relations(spark, base), SEEDS)
+
+
+CANONICAL = "k as (select s, p, o, count(*) as support_count, max(conf) as conf, sha256(concat(s, chr(0), p, chr(0), o)) as relation_id from r group by 1, 2, 3)"
+
+
+@query(f"with {RELATIONS}, {CANONICAL} select relation_id, support_count from k where s = '{SEEDS[0]}' or o = '{SEEDS[0]}' order by support_count desc, relation_id limit 50")
+def canonical_about(spark: SparkSession, base: str) -> DataFrame:
+    return L.canonical_about(C.canonical_relations(_relations(spark, base)), SEEDS[0]).select("relation_id", "support_count")
+
+
+@query(f"with {RELATIONS}, {CANONICAL} select relation_id, s as subject_entity_id, p as predicate, o as object_entity_id from k where relation_id = (select min(relation_id) from k)")
+def canonical_relation(spark: SparkSession, base: str) -> DataFrame:
+    rows = C.canonical_relations(_relations(spark, base))
+    return L.one(rows, "relation_id", rows.agg(F.min("relation_id")).first()[0]).select("relation_id", "subject_entity_id", "predicate", "object_entity_id")
+
+
+@query(f"""with {RELATIONS}, {CANONICAL}, b as (select relation_id from k order by support_count desc, relation_id limit 1), t as (select chunk_id, min(text) as text from chunk_rows group by 1)
+    select sha256(concat(k.relation_id, chr(0), r.chunk_id)) as evidence_id, r.conf as confidence, left(coalesce(t.text, ''), 500) as evidence_text from r join k using (s, p, o) join b using (relation_id) left join t on t.chunk_id = r.chunk_id""")
+def evidence_of_relation(spark: SparkSession, base: str) -> DataFrame:
+    relations = _relations(spark, base)
+    best = C.canonical_relations(relations).orderBy(F.desc("support_count"), "relation_id").first().relation_id
+    return L.evidence_of(C.relation_evidence(relations, _t(spark, base, "chunk_rows"), _mentions(spark, base)), best).select("evidence_id", "confidence", "evidence_text")
+
+
+@query(f"with {RELATIONS} select id as relation_id, (row_number() over (order by s, p, o, id))::int as place from r")
+def relations_in_order(spark: SparkSession, base: str) -> DataFrame:
+    rows = _relations(spark, base).withColumn("z", F.lit(0)).withColumn("k", F.struct("subject_entity_id", "predicate", "object_entity_id", "relation_id"))
+    return G.ranked(rows.select("relation_id", "z", "k"), "z", "k", "place").select("relation_id", "place")
+
+
+@query(f"""with {RELATIONS}, {MENTIONS}, {CANONICAL} select (select count(*) from k) as relations, (select count(*) from r) as relation_evidence, (select count(distinct id) from r) as claims, (select count(distinct entity_id) from matcher_terms) as entity_profiles, (select count(distinct left(s, 1)) from r) as communities, (select count(distinct left(s, 1)) from r) as community_reports""")
+def graph_counts(spark: SparkSession, base: str) -> DataFrame:
+    relations = _relations(spark, base)
+    groups = relations.select(F.left("subject_entity_id", F.lit(1)).alias("community_id"))
+    return L.counts({"relations": C.canonical_relations(relations), "relation_evidence": C.relation_evidence(relations, _t(spark, base, "chunk_rows"), _mentions(spark, base)), "claims": relations.select("relation_id").distinct(), "entity_profiles": _t(spark, base, "matcher_terms").select("entity_id").distinct(), "entity_communities": groups, "community_reports": groups.distinct()})
+
+
+# --- expansion, profiles, evaluation ----------------------------------------------------------------------------------
+
+AROUND = f"u as (select src as a, dst as b from e where src <> dst union select dst, src from e where src <> dst), w(a, i) as (values ('{SEEDS[0]}', 0), ('{SEEDS[1]}', 1), ('{SEEDS[2]}', 2)), x as (select b as id, min(i) as i from u join w using (a) where b not in (select a from w) group by 1), near as (select id, row_number() over (order by i, id) as rank from x qualify row_number() over (order by i, id) <= 50)"
+
+
+@query(f"with {RELATIONS}, {EDGES}, {AROUND} select id, rank::int as rank from near")
+def entities_around(spark: SparkSession, base: str) -> DataFrame:
+    """Neighbours of some entities in the order of a search outward."""
+    found = G.expand(_edges(spark, base), SEEDS, 1, 50)
+    return spark.createDataFrame([(e, i) for i, e in enumerate(found, 1)], "id string, rank int")
+
+
+@query(f"""with {RELATIONS}, {EDGES}, {AROUND}, {MENTIONS}, {SOURCES}, a as (select id from near union select a from w), h as (select chunk_id, count(distinct e) as matches from m where e in (select id from a) group by 1), t as (select * from h join k using (chunk_id) order by matches desc, chunk_index, chunk_id limit 80),
+    g as (select *, row_number() over (order by matches desc, chunk_index, chunk_id) as rank from t), f as (select *, row_number() over (partition by source_rel_path order by rank) as p from g) select chunk_id, matches, round(matches / (select count(*) from a), 6)::double as score from f where p = 1 order by rank limit 20""")
+def concept_documents(spark: SparkSession, base: str) -> DataFrame:
+    """Documents for concepts and what lies around them."""
+    around = [*SEEDS, *G.expand(_edges(spark, base), SEEDS, 1, 50)]
+    return R.entity_hits(_mentions(spark, base), _sources(spark, base), around, 20).select("chunk_id", "matches", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {RELATIONS}, {EDGES}, {AROUND}, n as (select id, rank::int as rank from near union all select a, 100 + i from w), t as (select n.rank, x.p, x.term from n join (select entity_id as id, 0 as p, entity_id as term from matcher_terms union select entity_id, 1, 'The ' || entity_id from matcher_terms union select entity_id, 1 + row_number() over (partition by entity_id order by normalized_term), normalized_term from matcher_terms where term_source = 'alias') x on x.id = n.id),
+    f as (select lower(term) as f, min(struct_pack(rank := rank, p := p, term := term)) as r from t where not contains(lower('{QUESTION}'), lower(term)) group by 1) select r.term as term, (row_number() over (order by r.rank, r.p))::int as rank from f order by rank limit 12""")
+def expansion_terms(spark: SparkSession, base: str) -> DataFrame:
+    """Names of entities around those asked about, to be added to a question."""
+    order = [*G.expand(_edges(spark, base), SEEDS, 1, 50)]
+    rows = spark.createDataFrame([(i, e) for i, e in enumerate(order, 1)] + [(100 + i, e) for i, e in enumerate(SEEDS)], "rank int, entity_id string")
+    names = F.array_sort(F.collect_set(F.when(F.col("term_source") == "alias", F.col("normalized_term"))))
+    known = _t(spark, base, "matcher_terms").groupBy("entity_id").agg(names.alias("aliases")).withColumn("label", F.concat(F.lit("The "), "entity_id"))
+    return R.expansion_terms(rows, known, QUESTION, 12)
+
+
+@query("""with t as (select lower(surface_form) as f, min(struct_pack(a := start_char, b := surface_form)) as r from mention_rows where surface_form is not null and start_char is not null group by 1) select r.a as start_char, r.b as surface_form from t""")
+def deduped_names(spark: SparkSession, base: str) -> DataFrame:
+    return R.deduped(_t(spark, base, "mention_rows").dropna(subset=["surface_form", "start_char"]), "start_char", "surface_form")
+
+
+RANKED_HITS = f"{MENTIONS}, {SOURCES}, q as (select unnest([{SEED_LIST}]) as case_), h as (select e as case_, chunk_id, count(*) as c from m where e in ({SEED_LIST}) group by 1, 2), g as (select case_, source_rel_path, row_number() over (partition by case_ order by c desc, chunk_id) as rank from h join k using (chunk_id)), b as (select case_, source_rel_path, min(rank) as rank from g group by 1, 2), d as (select case_, source_rel_path, row_number() over (partition by case_ order by rank, source_rel_path) as rank from b), x as (select distinct case_, k.source_rel_path from q join r on r.s = case_ or r.o = case_ join k on k.chunk_id = r.chunk_id), v as (select x.case_, count(d.rank) / count(*) as recall, coalesce(1.0 / min(d.rank), 0) as rr from x left join d on d.case_ = x.case_ and d.source_rel_path = x.source_rel_path and d.rank <= 10 group by 1)"
+
+
+def _evaluated(spark: SparkSession, base: str) -> DataFrame:
+    """Sources ranked by mentions of an entity, against those that hold a relation of it."""
+    sources = _sources(spark, base)
+    hits = _mentions(spark, base).filter(F.col("entity_id").isin(SEEDS)).groupBy(F.col("entity_id").alias("case"), "chunk_id").agg(F.count("*").alias("c")).join(sources, "chunk_id")
+    place = F.row_number().over(Window.partitionBy("case").orderBy(F.desc("c"), "chunk_id"))
+    relations = _relations(spark, base).select("chunk_id", F.explode(F.array("subject_entity_id", "object_entity_id")).alias("case")).filter(F.col("case").isin(SEEDS)).join(sources, "chunk_id")
+    return R.evaluate(hits.select("case", place.alias("rank"), F.col("source_rel_path").alias("source")), relations.select("case", F.col("source_rel_path").alias("source")), 10)
+
+
+@query(f"with {RELATIONS}, {RANKED_HITS} select case_ as entity_id, round(recall, 6)::double as recall, round(rr, 6)::double as reciprocal_rank from v")
+def evaluation_cases(spark: SparkSession, base: str) -> DataFrame:
+    return _evaluated(spark, base).select(F.col("case").alias("entity_id"), F.round("recall", 6).alias("recall"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
+@query(f"with {RELATIONS}, {RANKED_HITS} select count(*) as cases, round(avg(recall), 6)::double as mean_recall, round(avg(rr), 6)::double as mean_reciprocal_rank from v")
+def evaluation_summary(spark: SparkSession, base: str) -> DataFrame:
+    return R.evaluation_summary(_evaluated(spark, base)).select("cases", F.round("mean_recall", 6).alias("mean_recall"), F.round("mean_reciprocal_rank", 6).alias("mean_reciprocal_rank"))
+
+
+NAMED = "a as (select entity_id, array_to_string(list_transform(string_split(replace(entity_id, '_', ' '), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') as label, coalesce(list(distinct normalized_term) filter (term_source = 'alias'), []) as aliases from matcher_terms group by 1)"
+
+
+@query(_pagerank_sql(8).rsplit(" select id, round", 1)[0] + f", {NAMED} select entity_id, round(r, 8) as pagerank from a join k8 on id = entity_id where label ilike '%BRIDGE%' or list_contains(list_transform(aliases, lambda x: x ilike '%BRIDGE%'), true) order by r desc, entity_id limit 20")
+def profile_search(spark: SparkSession, base: str) -> DataFrame:
+    names = F.collect_set(F.when(F.col("term_source") == "alias", F.col("normalized_term")))
+    known = _t(spark, base, "matcher_terms").groupBy("entity_id").agg(names.alias("aliases")).withColumn("label", X.title_of_id("entity_id"))
+    ranks = G.pagerank(_edges(spark, base), rounds=8).select(F.col("id").alias("entity_id"), F.col("rank").alias("pagerank"))
+    return R.search_profiles(known.join(ranks, "entity_id"), "BRIDGE").select("entity_id", F.round("pagerank", 8).alias("pagerank"))
+
+
+DEGREES = "g as (select id, sum(i)::bigint as i, sum(o)::bigint as o from (select dst as id, 1 as i, 0 as o from e union all select src, 0, 1 from e) group by 1)"
+
+
+@query(f"with {RELATIONS}, {EDGES}, {DEGREES} select id as entity_id, i as in_degree from g order by i desc, id limit 20")
+def top_entities(spark: SparkSession, base: str) -> DataFrame:
+    return L.top(G.degrees(_edges(spark, base)).withColumnRenamed("id", "entity_id"), "in_degree", 20).select("entity_id", "in_degree")
+
+
+def _measures(spark: SparkSession, base: str) -> DataFrame:
+    """Degrees in the place of centralities, which makes ties and is plain to check."""
+    d = G.degrees(_edges(spark, base))
+    return d.select(F.col("id").alias("entity_id"), (F.col("in_degree") / 64).alias("pagerank"), (F.col("out_degree") / 64).alias("betweenness"), ((F.col("in_degree") + F.col("out_degree")) / 64).alias("closeness"), "in_degree", "out_degree", F.lit(0.0).alias("eigenvector"))
+
+
+@query(f"""with {CLAIMED}, {EDGES}, {DEGREES}, {SOURCES}, {CANONICAL.replace("k as", "kr as")}, d as (select entity_id, array_to_string(list_transform(string_split(replace(entity_id, '_', ' '), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') as label from matcher_terms group by 1),
+    st as (select e, count(distinct chunk_id) as c, count(distinct source_rel_path) as f, count(*) as n from m join k using (chunk_id) group by 1), rk as (select id, i, o, row_number() over (order by i desc, id) as r1, row_number() over (order by o desc, id) as r2, row_number() over (order by i + o desc, id) as r3 from g),
+    sd as (select distinct unnest([s, o]) as e, relation_id, p from kr), pc as (select e, p, count(*) as c, row_number() over (partition by e order by count(*) desc, p) as n from sd group by 1, 2), pt as (select e, string_agg(p || ' (' || c || ')', '; ' order by n) as t from pc where n <= 5 group by 1),
+    cs as (select distinct unnest([subject_entity_id, object_entity_id]) as e, claim_id, claim_text, confidence from cl), cr as (select *, row_number() over (partition by e order by confidence desc, claim_id) as n from cs where e is not null), ct as (select e, string_agg(left(claim_text, 80), '; ' order by n) filter (n <= 3) as t, count(*) filter (n <= 10) as n from cr group by 1),
+    cm as (select left(entity_id, 1) as community, count(*) as members from d group by 1)
+    select d.entity_id, coalesce(ct.n, 0) as n_claims, label || ' is a method entity in the play domain. It has ' || coalesce(st.n, 0) || ' mentions across ' || coalesce(st.c, 0) || ' chunks from ' || coalesce(st.f, 0) || ' source documents. Centrality: PageRank ' || coalesce(r1, (select count(*) from g)) || '/' || (select count(*) from d) || ' | Betweenness ' || coalesce(r2, (select count(*) from g)) || '/' || (select count(*) from d) || ' | Closeness ' || coalesce(r3, (select count(*) from g)) || '/' || (select count(*) from d)
+    || '. Community: ' || case when d.entity_id < 'f' then 'unassigned' else ascii(community)::int || ' (' || members || ' members)' end || '. Key relationships: ' || coalesce(pt.t, 'none') || '. Key claims: ' || coalesce(ct.t, 'none') || '.' as summary
+    from d left join st on st.e = d.entity_id left join rk on rk.id = d.entity_id left join pt on pt.e = d.entity_id left join ct on ct.e = d.entity_id left join cm on cm.community = left(d.entity_id, 1)""")
+def profile_sentences(spark: SparkSession, base: str) -> DataFrame:
+    """Profiles of all entities, with the first letter as their community and none for the first letters of the alphabet."""
+    defined = _t(spark, base, "matcher_terms").select("entity_id").distinct().select("entity_id", F.lit("method").alias("kind"), F.lit("play").alias("domain"), F.array().cast("array<string>").alias("aliases"))
+    groups = defined.filter("entity_id >= 'f'").select("entity_id", F.ascii("entity_id").alias("community_id"))
+    mentions = _mentions(spark, base)
+    rows = P.profiles(defined, C.entity_stats(mentions, _sources(spark, base)), _measures(spark, base), groups, C.canonical_relations(_relations(spark, base)), _claims(spark, base), mentions, spark.createDataFrame([], P.PROFILES), "2031")
+    return rows.select("entity_id", "n_claims", "summary")
+
+
+@query(_labels_sql(6) + f""", {CANONICAL}, {DEGREES}, ie as (select x.c, count(*) as n from k join l6 x on x.id = s join l6 y on y.id = o where x.c = y.c group by 1), rk as (select l6.c, l6.id, row_number() over (partition by l6.c order by i desc, l6.id) as n from l6 join g using (id)),
+    tp as (select c, string_agg(array_to_string(list_transform(string_split(replace(id, '_', ' '), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' '), ', ' order by n) filter (n <= 5) as t, count(*) as members, string_agg(id, ',' order by id) as ids from rk group by 1), nm as (select c, row_number() over (order by c) - 1 as community_id from tp)
+    select community_id::int as community_id, members as member_count, sha256(ids) as members_hash, coalesce(ie.n, 0) as inner_edges, 'Community ' || community_id || ' contains ' || members || ' entities. Top members: ' || t || '. Intra-community edges: ' || coalesce(ie.n, 0) || '. Key claims: none.' as summary from tp join nm using (c) left join ie using (c)""")
+def community_sentences(spark: SparkSession, base: str) -> DataFrame:
+    """Reports of the communities that six rounds of label propagation give."""
+    labels = G.label_propagation(_edges(spark, base), rounds=6)
+    numbers = G.ranked(labels.groupBy("community").agg(F.lit(0).alias("z")), "z", "community", "n")
+    rows = labels.join(numbers, "community").select(F.col("id").alias("entity_id"), (F.col("n") - 1).alias("community_id")).join(_measures(spark, base), "entity_id")
+    reports = P.community_reports(rows.withColumn("source_hash", F.lit("h")), C.canonical_relations(_relations(spark, base)), _claims(spark, base).limit(0), "2031")
+    return reports.select("community_id", "member_count", F.sha2(F.array_join("members", ","), 256).alias("members_hash"), "inner_edges", "summary")
+
+
+# --- more of the graph ------------------------------------------------------------------------------------------------
+
+
+def _combined(spark: SparkSession, base: str) -> DataFrame:
+    """Relations of one predicate as if an ontology had them, the rest from the corpus."""
+    relations = _relations(spark, base)
+    known = relations.filter("predicate = 'frames'").select(F.col("subject_entity_id").alias("src"), F.col("object_entity_id").alias("dst"), F.lit("relates_to").alias("relation")).distinct()
+    return G.combined_edges(known, relations.filter("predicate <> 'frames'"))
+
+
+@query(f"""with {RELATIONS} select distinct s as src, o as dst, 'relates_to' as relation, 'ontology' as origin, 1.0::double as weight, null::bigint as support from r where p = 'frames' union all select s, o, p, 'corpus', max(conf), count(*) from r where p <> 'frames' and conf >= 0.5 group by s, o, p""")
+def combined_graph(spark: SparkSession, base: str) -> DataFrame:
+    return _combined(spark, base)
+
+
+@query(f"""with {RELATIONS}, z as (select distinct s as src, o as dst, 'relates_to' as relation, 'ontology' as origin from r where p = 'frames' union all select s, o, p, 'corpus' from r where p <> 'frames' and conf >= 0.5 group by s, o, p), b as (select dst as id, 'out' as direction, relation, origin from z where src = '{SEEDS[0]}' union all select src, 'in', relation, origin from z where dst = '{SEEDS[0]}')
+    select b.*, case when id in (select entity_id from matcher_terms) then 'entity' end as node_type, case when id in (select entity_id from matcher_terms) then upper(id) end as label from b""")
+def labelled_neighbours(spark: SparkSession, base: str) -> DataFrame:
+    nodes = _t(spark, base, "matcher_terms").select(F.col("entity_id").alias("id"), F.lit("entity").alias("node_type"), F.upper("entity_id").alias("label")).distinct()
+    return G.neighbours(_combined(spark, base), SEEDS[0], nodes)
+
+
+@query(f"""with recursive {RELATIONS}, {EDGES}, p as (select '{SOURCE}' as id, ['{SOURCE}'] as path union select dst, list_append(path, dst) from p join e on src = id where len(path) <= 3 and not list_contains(path, dst)), f as (select path from p where id = '{TARGET}' order by len(path), path limit 1), i as (select path, unnest(range(1, len(path))) as i from f)
+    select i.i::int as step, path[i.i] as src, path[i.i + 1] as dst, (select min(p) from r where s = path[i.i] and o = path[i.i + 1]) as relation from i""")
+def labelled_path(spark: SparkSession, base: str) -> DataFrame:
+    edges = _relations(spark, base).select(F.col("subject_entity_id").alias("src"), F.col("object_entity_id").alias("dst"), F.col("predicate").alias("relation"))
+    row = G.shortest_path(edges, SOURCE, TARGET, 3).first()
+    steps = G.path_edges(edges, row.path.split(">")) if row else []
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(steps, 1)], "step int, src string, dst string, relation string")
+
+
+@query(f"""with {RELATIONS}, {EDGES}, z as (select distinct src, dst from e where src <> dst), i as (select count(*) as m, count(*) filter (left(src, 1) = left(dst, 1)) as inn from z), d as (select c, count(*) as d from (select left(src, 1) as c from z union all select left(dst, 1) from z) group by 1) select round(inn / m - (select sum(d::double * d) from d) / (4.0 * m * m), 9)::double as modularity from i""")
+def modularity(spark: SparkSession, base: str) -> DataFrame:
+    edges = _edges(spark, base)
+    return G.modularity(edges, G.nodes_of(edges).select("id", F.left("id", F.lit(1)).alias("community"))).select(F.round("modularity", 9).alias("modularity"))
+
+
+
 def queries() -> dict:
     return dict(Q)
 

@@ -49,6 +49,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize_plain(df: DataFrame) -> DataFrame:
+    """The same, without what the optimizer has inferred of the rows. Where a materialized table is united with others, inferred
+    constraints that name columns it no longer has make the optimizer fail."""
+    spark = df.sparkSession
+    was = spark.conf.get("spark.sql.constraintPropagation.enabled")
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    try:
+        return materialize(df)
+    finally:
+        spark.conf.set("spark.sql.constraintPropagation.enabled", was)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A materialized df, hinted for broadcast only if its counted rows stay under the bound."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

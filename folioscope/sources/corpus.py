@@ -13,26 +13,18 @@ DOCLING_SCHEMA = "name string, texts array<struct<text:string,label:string,level
 
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, content: bool = False) -> DataFrame:
     """All files of a known type under root: source_rel_path, absolute_path, source_type, source_domain, size, content_hash."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return described(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), root, ignore, content)
+
+
+def described(files: DataFrame, root: str, ignore: list[str] | None = None, content: bool = False) -> DataFrame:
+    """What scan tells of files (path, length, content) that lie under root."""
     path = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^[a-z]+:/*", "/")
     rel = F.expr("substring(p, instr(p, r) + length(r))")
     rows = files.withColumn("p", path).withColumn("r", F.lit(root.rstrip("/").split("://")[-1] + "/")).withColumn("source_rel_path", rel)
     rows = rows.withColumn("source_type", X.source_type("source_rel_path")).filter("source_type is not null")
     if ignore:
         rows = rows.filter(~F.element_at(F.split("source_rel_path", "/"), -1).isin(ignore))
-    out = rows.select("source_rel_path", F.col("p").alias("absolute_path"), "source_type", X.source_domain("source_rel_path").alias("source_domain"), F.col("length").alias("file_size_bytes"), F.sha2("content", 256).alias("content_hash"), *(["content"] if content else []))
-    return out
-
-
-def sections(text: DataFrame, key: str, body: str) -> DataFrame:
-    """Markdown blocks: key, block_index, heading (path of headings above), text. Fenced code is one block; blocks end at blank lines."""
-    fence = F.regexp_replace(F.regexp_replace(body, "\r\n?", "\n"), r"(?m)^(#{1,6} .*)$", "\n\n$1\n\n")
-    guarded = F.expr("transform(regexp_extract_all(f, '(?ms)^```.*?^```[ ]*$|(?:(?!^```).)+', 0), x -> x)")
-    rows = text.select(key, fence.alias("f")).select(key, guarded.alias("parts"))
-    blocks = F.flatten(F.transform("parts", lambda p: F.when(p.startswith("```"), F.array(p)).otherwise(F.split(p, r"\n\s*\n"))))
-    rows = rows.select(key, F.filter(F.transform(blocks, lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "").alias("b"))
-    rows = rows.select(key, F.posexplode("b").alias("block_index", "text"))
-    return rows.select(key, "block_index", F.length(F.regexp_extract("text", "^(#{1,6}) ", 1)).alias("heading_level"), "text")
+    return rows.select("source_rel_path", F.col("p").alias("absolute_path"), "source_type", X.source_domain("source_rel_path").alias("source_domain"), F.col("length").alias("file_size_bytes"), F.sha2("content", 256).alias("content_hash"), *(["content"] if content else []))
 
 
 def markdown_documents(files: DataFrame) -> DataFrame:
@@ -45,7 +37,8 @@ def structured_documents(files: DataFrame) -> DataFrame:
     rows = files.filter("source_type = 'docling_json'").select("source_rel_path", F.from_json(F.decode("content", "UTF-8"), DOCLING_SCHEMA).alias("d"))
     heading = lambda t: F.when(t.label.isin("section_header", "title"), F.concat(F.repeat(F.lit("#"), F.coalesce(t.level, F.lit(1))), F.lit(" "), t.text)).when(t.label == "list_item", F.concat(F.lit("- "), t.text)).otherwise(t.text)
     pages = F.flatten(F.transform("d.texts", lambda t: F.coalesce(t.prov.page_no, F.array())))
-    return rows.select("source_rel_path", F.array_join(F.transform("d.texts", heading), "\n\n").alias("text"), F.try_element_at(pages, F.lit(1)).alias("page_no"))
+    text = F.nullif(F.array_join(F.transform("d.texts", heading), "\n\n"), F.lit(""))
+    return rows.select("source_rel_path", text.alias("text"), F.try_element_at(pages, F.lit(1)).alias("page_no"))
 
 
 def documents(files: DataFrame) -> DataFrame:

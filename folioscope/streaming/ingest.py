@@ -2,32 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from folioscope import ids
-from folioscope.functions import text as X
-from folioscope.operators import corpus as C
+from folioscope.operators.pipeline import Options, merge
 from folioscope.operators.store import Store
+from folioscope.session import materialize
+from folioscope.sources import corpus as files_of
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def chunk_files(files: DataFrame, root: str, size: int = 256, overlap: int = 50) -> DataFrame:
-    rel = F.regexp_replace("path", F.lit(rf"^.*\Q{root.rstrip(chr(47))}/\E"), F.lit(""))
-    docs = files.withColumn("source_rel_path", rel).filter(X.source_type("source_rel_path").isin("markdown", "docling_md")).select("source_rel_path", F.decode("content", "UTF-8").alias("text"))
-    rows = C.window_chunks(docs, "source_rel_path", "text", size, overlap).withColumn("chunk_hash", ids.content_id("chunk_text"))
-    rows = C.with_occurrence(rows, "source_rel_path", "chunk_hash", "chunk_index")
-    return rows.select(ids.chunk_id("source_rel_path", "chunk_hash", "occurrence").alias("chunk_id"), "source_rel_path", "chunk_index", F.col("occurrence").alias("chunk_occurrence"), F.col("n_tokens").alias("token_count"), F.col("chunk_text").alias("text"), "chunk_hash")
-
+def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, terms: DataFrame, now: Callable[[int], str], options: Options | None = None) -> StreamingQuery:
+    """Files that appear under root, or change, replace what is stored of their path: chunks, vectors, mentions and manifest.
 
-def watch(spark: SparkSession, root: str, store: Store, checkpoint: str) -> StreamingQuery:
-    """Files that appear under root replace the chunks of their path. A batch that is repeated after a failure gives the same tables."""
+    A batch that is repeated after a failure finds its files unchanged and gives the same tables. Files that go are left to the next
+    batch run, as a stream never hears of them. now: the time to be written for a batch of this number."""
     stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).load(root)
 
-    def merge(batch: DataFrame, _: int) -> None:
-        newest = batch.groupBy("path").agg(F.max_by(F.struct("content", "length"), "modificationTime").alias("r")).select("path", "r.content")
-        store.replace_source_chunks(chunk_files(newest, root))
+    def add(batch: DataFrame, number: int) -> None:
+        newest = batch.groupBy("path").agg(F.max_by(F.struct("length", "content"), "modificationTime").alias("r")).select("path", "r.*")
+        scanned = materialize(files_of.described(newest, root, content=True))
+        if not scanned.isEmpty():
+            merge(store, scanned, terms, now(number), f"watch-{number}", False, options or Options(), whole=False)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
