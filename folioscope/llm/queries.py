@@ -123,6 +123,12 @@ def p7_shares(spark: SparkSession, base: str) -> DataFrame:
     return mixing.report(chosen, shares)
 
 
+def p7_plan(spark: SparkSession, base: str) -> DataFrame:
+    """What the mix takes of every source."""
+    columns = ["source", "tokens", "capacity", F.round("epochs", 6).alias("epochs"), "clamped", "falls_short"]
+    return p7_shares(spark, base).select(*columns)
+
+
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return p7_shares(spark, base).filter("falls_short").select("source")
 
@@ -131,12 +137,18 @@ def p8_quality(spark: SparkSession, base: str) -> DataFrame:
     return quality.text_quality(table(spark, base, "documents").select("doc_id", "text"), table(spark, base, "common_words"))
 
 
+def p8_statistics(spark: SparkSession, base: str) -> DataFrame:
+    """The plain statistics of texts that are not blank."""
+    rows = p8_quality(spark, base).filter("kind is not null")
+    return rows.select("doc_id", "n_lines", "n_words", F.round("mean_word_length", 6).alias("mean_word_length"), F.round("common_words", 6).alias("common_words"))
+
+
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
     return p8_quality(spark, base).filter("kind <> 'prose'").select("doc_id", "kind")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_totals, p2_found, p2_clean, p3_found, p3_groups, p4_found, p4_pairs, p4_counts, p5_found, p5_neighbours, p5_recall, p6_found, p6_containers, p6_totals, p7_found, p7_mix, p7_shares, p8_found, p8_quality)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_totals, p2_found, p2_clean, p3_found, p3_groups, p4_found, p4_pairs, p4_counts, p5_found, p5_neighbours, p5_recall, p6_found, p6_containers, p6_totals, p7_found, p7_mix, p7_shares, p7_plan, p8_found, p8_quality, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -154,7 +166,14 @@ def oracle_sql() -> dict[str, str]:
         where chunk_id is not null and len(vector) = embedding_dims and not list_contains(list_transform(vector, lambda x: coalesce(isfinite(x), false)), false) and list_contains(list_transform(vector, lambda x: x <> 0), true) group by 1),
         e as (select chunk_id, m, d, list_transform(v, lambda x: x::double) as v from u),
         p as (select a.chunk_id as a, b.chunk_id as b, row_number() over (partition by a.chunk_id order by list_cosine_similarity(a.v, b.v) desc, b.chunk_id) as r from e a join e b on a.m = b.m and a.d = b.d and a.chunk_id <> b.chunk_id)"""
+    water = ["z0 as (select source, target_share as w, t, t * max_repeats as cap, false as c, t * max_repeats < target_share * (select sum(t) from s) as short from s)"]
+    for i in range(8):  # sources that would exceed their capacity are held there, until none does
+        water.append(f"y{i} as (select *, ((select sum(t) from s) - coalesce((select sum(cap) from z{i} where c), 0)) * w / (select sum(w) from z{i} where not c) as want from z{i})")
+        water.append(f"z{i + 1} as materialized (select source, w, t, cap, c or want > cap as c, short from y{i})")
     return {
+        "p7_plan": kept + ", " + ", ".join(water) + " select source, t::bigint as tokens, cap::bigint as capacity, round(case when t = 0 then 0 when c then cap / t else want / t end, 6)::double as epochs, c as clamped, short as falls_short from (select *, ((select sum(t) from s) - coalesce((select sum(cap) from z8 where c), 0)) * w / (select sum(w) from z8 where not c) as want from z8)",
+        "p8_statistics": r"""with t as (select doc_id, text, list_filter(string_split(replace(text, chr(13), chr(10)), chr(10)), lambda x: regexp_matches(x, '[^\s\p{Z}]')) as ls, regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}]+') as ws from documents where text is not null), c as (select list(distinct lower(word)) as c from common_words where word is not null)
+            select doc_id, len(ls)::bigint as n_lines, len(ws)::bigint as n_words, round(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) / greatest(len(ws), 1), 6)::double as mean_word_length, round(len(list_filter(ws, lambda w: list_contains(c.c, lower(w)))) / greatest(len(ws), 1), 6)::double as common_words from t, c where len(ls) > 0""".replace("\\\\", "\\"),
         "p3_found": sets + " select a as chunk_id_a, b as chunk_id_b from o join n na on na.chunk_id = a join n nb on nb.chunk_id = b where o * 10 >= 6 * (na.n + nb.n - o)",
         "p3_groups": sets.replace("with t as", "with recursive t as", 1) + """, e as (select a, b from o join n na on na.chunk_id = a join n nb on nb.chunk_id = b where o * 10 >= 6 * (na.n + nb.n - o)), u as (select a, b from e union select b, a from e),
             g as (select chunk_id, chunk_id as label from n union select u.b, g.label from g join u on u.a = g.chunk_id where g.label < u.b) select chunk_id, min(label) as group_id from g group by 1""",
