@@ -54,6 +54,39 @@ def resolve(spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str,
     return sorted(taken, key=lambda s: (s[0], s[1], s[2]))
 
 
+class Trie:
+    """Finds all words in a text, as the C automaton does, where that is not installed."""
+
+    def __init__(self) -> None:
+        self.root: dict = {}
+
+    def add_word(self, word: str, value) -> None:
+        node = self.root
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = value
+
+    def make_automaton(self) -> None:
+        pass
+
+    def iter(self, text: str):
+        """(last position, value) of every occurrence."""
+        for start in range(len(text)):
+            node, at = self.root, start
+            while at < len(text) and (node := node.get(text[at])) is not None:
+                if "" in node:
+                    yield at, node[""]
+                at += 1
+
+
+def automaton():
+    try:
+        import ahocorasick
+    except ImportError:
+        return Trie()
+    return ahocorasick.Automaton()
+
+
 def detect(rows: DataFrame, terms: DataFrame, key: str, text: str, word_boundary: bool = False) -> DataFrame:
     """key, entity_id, term_source, surface_form, start_char, end_char of all resolved mentions; offsets are in the normalised text."""
     words = [tuple(r) for r in winning_terms(terms).limit(BROADCAST_ROWS + 1).collect()]
@@ -63,9 +96,7 @@ def detect(rows: DataFrame, terms: DataFrame, key: str, text: str, word_boundary
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
+        machine = automaton()
         for word, entity, source in shared.value:
             machine.add_word(word, (len(word), entity, source))
         if shared.value:
@@ -94,9 +125,7 @@ def presence(rows: DataFrame, terms: DataFrame, key: str, text: str) -> DataFram
     shared = rows.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
+        machine = automaton()
         for i, word in enumerate(shared.value):
             machine.add_word(word, i)
         if shared.value:

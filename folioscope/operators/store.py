@@ -7,6 +7,7 @@ pointer file last, so a job that dies leaves the old version in place and reader
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -133,6 +134,11 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti"))
 
 
+def slug(text: str) -> str:
+    """A name for a file: what is no letter or digit as hyphens."""
+    return re.sub(r"[^A-Za-z0-9]+", "-", text).strip("-")
+
+
 class Store:
     """Tables under one folder, on any file system that Spark writes to."""
 
@@ -250,7 +256,7 @@ class Store:
 
     def log_run(self, run: dict, kind: str = "runs") -> None:
         """One small JSON file per run and state (its status and, while it runs, its phase); the last state of a run counts."""
-        path = self._path("-".join(x for x in (f"{kind}/{run['run_id']}", run["status"], run.get("phase")) if x) + ".json")
+        path = self._path(f"{kind}/" + "-".join(slug(x) for x in (run["run_id"], run["status"], run.get("phase")) if x) + ".json")
         stream = self._fs.create(path, True)
         stream.writeBytes(json.dumps(run, sort_keys=True))
         stream.close()
