@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,10 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, flat
 
 
-def nearest(rows: DataFrame, query: list[float], key: str, vector: str, k: int = 10, metric: str = "cosine", where: Column | None = None) -> DataFrame:
-    """The k keys nearest to the query: key, distance (1 - cosine, or squared Euclidean), dense_rank. Rows without a comparable
-    vector (another width, null, not finite, or zero for the cosine) are left out; a key that is repeated counts once, ties go
-    to the smaller key. Only the k best of each batch leave their task."""
+def nearest_rows(rows: DataFrame, query: list[float], key: str, vector: str, k: int = 10, metric: str = "cosine", carry: list[str] = ()) -> DataFrame:
+    """key, distance and the `carry` columns of all rows of the k nearest keys of each batch; nothing else leaves its task."""
     q = np.array(query, np.float64)
-    kind = rows.schema[key].dataType.simpleString()
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, *carry)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -34,46 +33,64 @@ def nearest(rows: DataFrame, query: list[float], key: str, vector: str, k: int =
                 d = 1 - (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum())) if metric == "cosine" else ((x - q) ** 2).sum(1)
             good = np.isfinite(d) & np.isfinite(x).all(1)
             at, d = at[good], d[good]
-            best: dict = {}
-            names = batch.column(0).take(pa.array(at)).to_pylist() if len(at) <= 4 * k else None
-            if names is None:  # ties at the edge stay; the rest can't be among the k best keys, unless these are repeated
-                edge = np.partition(d, 4 * k - 1)[4 * k - 1]
-                near = np.flatnonzero(d <= edge)
+            size = 4 * k
+            while True:  # ties at the edge come along; more are looked at if so many rows are repeats of fewer keys
+                near = np.flatnonzero(d <= np.partition(d, size - 1)[size - 1]) if size < len(d) else np.arange(len(d))
                 names = batch.column(0).take(pa.array(at[near])).to_pylist()
-                if len(set(names)) < k:
-                    near = np.arange(len(d))
-                    names = batch.column(0).take(pa.array(at)).to_pylist()
-                d = d[near]
-            for name, v in zip(names, d.tolist()):
-                if name is not None and v < best.get(name, np.inf):
-                    best[name] = v
-            kept = sorted(best.items(), key=lambda e: (e[1], e[0]))[:k]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in kept], batch.schema.field(0).type), pa.array([v for _, v in kept], pa.float64())], [key, "distance"])
+                best: dict = {}
+                for name, v in zip(names, d[near].tolist()):
+                    if name is not None and v < best.get(name, np.inf):
+                        best[name] = v
+                if len(best) >= k or len(near) == len(d):
+                    break
+                size *= 4
+            kept = set(sorted(best, key=lambda n: (best[n], n))[:k])
+            pick = near[[i for i, n in enumerate(names) if n in kept]] if kept else near[:0]
+            out = batch.take(pa.array(at[pick]))
+            yield pa.RecordBatch.from_arrays([out.column(0), pa.array(d[pick]), *(out.column(c) for c in carry)], [key, "distance", *carry])
+
+    if not len(q):
+        return rows.select(key, F.lit(0.0).alias("distance"), *carry).limit(0)
+    names = ", ".join([f"{key} {kinds[key]}", "distance double", *(f"{c} {kinds[c]}" for c in carry)])
+    return rows.select(key, vector, *carry).mapInArrow(run, names)
+
 
+def nearest(rows: DataFrame, query: list[float], key: str, vector: str, k: int = 10, metric: str = "cosine", where: Column | None = None) -> DataFrame:
+    """The k keys nearest to the query: key, distance (1 - cosine, or squared Euclidean), dense_rank. Rows without a comparable
+    vector (another width, null, not finite, or zero for the cosine) are left out; a key that is repeated counts once, ties go
+    to the smaller key."""
     rows = rows if where is None else rows.filter(where)
-    near = rows.select(key, vector).mapInArrow(run, f"{key} {kind}, distance double") if len(q) else rows.select(key, F.lit(0.0).alias("distance")).limit(0)
-    best = near.groupBy(key).agg(F.min("distance").alias("distance")).orderBy("distance", key).limit(k)
+    best = nearest_rows(rows, query, key, vector, k, metric).groupBy(key).agg(F.min("distance").alias("distance")).orderBy("distance", key).limit(k)
     return best.withColumn("dense_rank", F.row_number().over(Window.orderBy("distance", key)))
 
 
-def first_vector(rows: DataFrame, key: str, vector: str, width: int) -> list[float]:
-    """The vector of the smallest key that has one of this width, finite and not zero; empty if there is none."""
-    kind = rows.schema[key].dataType.simpleString()
+def first_vector(rows: DataFrame, key: str, vector: str, width: int, group: str | None = None) -> tuple[object, list[float]]:
+    """(group, vector): of the group with the most rows of this width (the last of equal ones by name; all rows without a group
+    column), the vector of the smallest key that is finite and not zero; empty if there is none. One pass over the rows."""
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, group) if c}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
+        best: dict = {}
+        sizes: Counter = Counter()
+        kind = None
         for batch in batches:
             at, x = _matrix(batch.column(1), width)
+            kind = batch.column(0).type
+            sizes.update(batch.column(2).to_pylist() if group else [None] * batch.num_rows)
             good = np.isfinite(x).all(1) & (x != 0).any(1)
-            names = batch.column(0).take(pa.array(at[good])).to_pylist()
-            for i in sorted((i for i, n in enumerate(names) if n is not None), key=lambda i: names[i])[:1]:
-                if best is None or names[i] < best[0]:
-                    best = (names[i], x[good][i].tolist())
-        if best is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]])], [key, "v"])
-
-    first = rows.select(key, vector).mapInArrow(run, f"{key} {kind}, v array<double>").orderBy(key).first()
-    return list(first.v) if first else []
+            at, x = at[good], x[good]
+            names = batch.column(0).take(pa.array(at)).to_pylist()
+            groups = batch.column(2).take(pa.array(at)).to_pylist() if group else [None] * len(names)
+            for i, (g, name) in enumerate(zip(groups, names)):
+                if name is not None and (g not in best or name < best[g][0]):
+                    best[g] = (name, x[i].tolist())
+        for g, n in sizes.items():
+            name, v = best.get(g, (None, None))
+            yield pa.RecordBatch.from_arrays([pa.array([name], kind), pa.array([v], pa.list_(pa.float64())), pa.array([n]), pa.array([g], pa.string())], ["k", "v", "n", "g"])
+
+    found = rows.select(key, vector, *([group] if group else [])).mapInArrow(run, f"k {kinds[key]}, v array<double>, n long, g string")
+    first = found.groupBy("g").agg(F.sum("n").alias("n"), F.min(F.struct(F.col("k").isNull(), "k", "v")).alias("b")).orderBy(F.desc("n"), F.desc("g")).first()
+    return (first.g, list(first.b.v) if first.b.v else []) if first else (None, [])
 
 
 def first_per_source(ranked: DataFrame, source: str, rank: str, limit: int) -> DataFrame:

@@ -250,17 +250,17 @@ def hybrid_search(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, base: str) -> DataFrame:
-    chunks = _t(spark, base, "chunk_rows").filter("chunk_id is not null")
-    model = F.max_by("embedding_model", F.struct("n", "embedding_model"))  # the model of most chunks
-    most = chunks.filter("embedding_dims = 96").groupBy("embedding_model").agg(F.count("*").alias("n")).agg(model).first()[0]
-    rows = chunks.filter((F.col("embedding_model") == most) & (F.col("embedding_dims") == 96)).select("chunk_id", "vector")
-    best = R.nearest(rows, R.first_vector(rows, "chunk_id", "vector", 96), "chunk_id", "vector", k=50)
+    chunks = _t(spark, base, "chunk_rows").filter("chunk_id is not null and embedding_dims = 96")
+    model, vector = R.first_vector(chunks, "chunk_id", "vector", 96, "embedding_model")  # the model of most chunks
+    about = ["source_filename", "source_rel_path", "citation_label", "score_hint"]
+    rows = R.nearest_rows(chunks.filter(F.col("embedding_model") == model), vector, "chunk_id", "vector", 50, carry=about)
     hint = F.concat_ws(" ", "source_filename", "source_rel_path", "citation_label", F.substring("score_hint", 1, 240))
-    page = chunks.join(F.broadcast(best.select("chunk_id")), "chunk_id", "left_semi")  # 50 rows
-    text = page.groupBy("chunk_id").agg(F.max(X.lexical_score(X.significant_terms(F.lit(QUESTION)), hint)).alias("lexical"), F.min("source_rel_path").alias("source_rel_path"))
-    hits = _relations(spark, base).filter(F.col("subject_entity_id").isin(SEEDS) | F.col("object_entity_id").isin(SEEDS)).select("chunk_id", F.lit(True).alias("hit")).distinct()
-    ranked = best.join(text, "chunk_id").join(hits, "chunk_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    return R.fuse(ranked, "chunk_id", "lexical", "hit")
+    lexical = X.lexical_score(X.significant_terms(F.lit(QUESTION)), hint)
+    best = rows.groupBy("chunk_id").agg(F.min("distance").alias("distance"), F.max(lexical).alias("lexical"), F.min("source_rel_path").alias("source_rel_path")).orderBy("distance", "chunk_id").limit(50)
+    best = best.withColumn("dense_rank", F.row_number().over(Window.orderBy("distance", "chunk_id")))
+    known = _t(spark, base, "extracted_relations").dropna(subset=["chunk_id", "subject_entity_id", "predicate", "object_entity_id"])
+    hits = L.chunks_with_relations(known, SEEDS).withColumn("hit", F.lit(True))
+    return R.fuse(best.join(hits, "chunk_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False))), "chunk_id", "lexical", "hit")
 
 
 @query(f"""with {RELATIONS}, {HYBRID}, p as (select chunk_id, row_number() over (order by fused_rank) as r from (select *, row_number() over (partition by source_rel_path order by fused_rank) as p from o) where p = 1 order by fused_rank limit 10),

@@ -245,7 +245,14 @@ def test_nearest_equals_brute_force(spark):
         got = R.nearest(df, q.tolist(), "k", "v", 12, metric).orderBy("dense_rank").collect()
         want = sorted(d, key=lambda k: (round(d[k], 12), k))[:12]
         assert [r.k for r in got] == want and [r.distance for r in got] == pytest.approx([d[k] for k in want], abs=1e-12)
-    assert R.nearest(df, [], "k", "v").count() == 0 and R.first_vector(df, "k", "v", 5) == rows[0][1] and R.first_vector(df, "k", "v", 9) == []
+    assert R.nearest(df, [], "k", "v").count() == 0 and R.first_vector(df, "k", "v", 5) == (None, rows[0][1]) and R.first_vector(df, "k", "v", 9) == (None, [])
+
+
+def test_the_group_of_most_rows_has_the_first_vector(spark):
+    rows = [("c", [1.0, 2.0], "m"), ("b", [3.0, 4.0], "m"), ("a", [0.0, 0.0], "m"), ("a", [5.0, 6.0], "n"), ("d", None, "n"), ("e", [1.0], None)]
+    df = spark.createDataFrame(rows, "k string, v array<float>, g string").repartition(3)
+    assert R.first_vector(df, "k", "v", 2, "g") == ("m", [3.0, 4.0]) and R.first_vector(df.filter("g = 'n'"), "k", "v", 2, "g") == ("n", [5.0, 6.0])
+    assert R.first_vector(df.limit(0), "k", "v", 2, "g") == (None, [])
 
 
 def test_expansion_takes_names_once(spark):
