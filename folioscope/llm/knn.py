@@ -37,7 +37,7 @@ SALTS = 64
 
 def functions_for(n: int, whole: int) -> int:
     """Hash functions per table for n vectors: more cells as n grows, slowly enough to keep near vectors together."""
-    return 0 if n <= whole else max(1, round(0.3 * math.log2(n) + 3.2))
+    return 0 if n <= whole else max(1, round(0.3 * math.log2(n) + 7.2))
 
 
 class Hasher:
@@ -125,7 +125,7 @@ def _surplus(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
     return rest, answers.select("a", "b")
 
 
-def nearest(df: DataFrame, key: str, vector: str, model: str, dims: str, k: int = 5, tables: int = 4, probes: int = 3, width: float = 2.0, seed: int = 7, either: bool = False, whole: int = WHOLE) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, model: str, dims: str, k: int = 5, tables: int = 4, probes: int = 3, width: float = 3.0, seed: int = 7, either: bool = False, whole: int = WHOLE) -> DataFrame:
     """(key_a, key_b): key_b is among the k most similar to key_a by cosine, of the same model and dims. With `either`:
     key_a < key_b, once, where either is among the k most similar to the other.
 
