@@ -119,17 +119,17 @@ class Tools:
     # search
     def _validate(self, question: str, limit: int, domain: str | None) -> str:
         if not question or not question.strip():
-            raise ValueError("Question must be non-empty.")
+            raise ValueError("the question is empty")
         if not 1 <= limit <= MOST_RESULTS:
-            raise ValueError(f"limit must be between 1 and {MOST_RESULTS}.")
+            raise ValueError(f"the limit is not in 1..{MOST_RESULTS}")
         if domain is not None:
             if not domain.strip():
-                raise ValueError("domain must be non-empty when provided.")
+                raise ValueError("the domain is empty")
             known = [r.source_domain for r in latest_manifest(self.store.read("corpus_manifest", P.MANIFEST)).filter("lifecycle_status <> 'deleted' and source_domain is not null").select("source_domain").distinct().orderBy("source_domain").collect()]
             if not known:
-                raise ValueError("domain filtering is unavailable until ingest has committed corpus rows.")
+                raise ValueError("there is no domain yet: nothing has been brought in")
             if domain not in known:
-                raise ValueError(f"Unknown domain '{domain}'. Allowed domains: {', '.join(known)}")
+                raise ValueError(f"no domain {domain}; there are {', '.join(known)}")
         return question.strip()
 
     def expand(self, question: str, terms: DataFrame) -> tuple[list[str], list[str], str]:
@@ -159,7 +159,7 @@ class Tools:
         warnings, chunks = self.drift(), self.store.read("chunk_rows", P.CHUNKS)
         columns = ["chunk_id", "document_id", "source_rel_path", "source_filename", "source_domain", "citation_label", "score_hint", "text", "metadata_json"]
         if chunks.isEmpty():
-            return Found(chunks.select(*columns, F.lit(0.0).alias("score"), F.lit(0).alias("rank")), ["The searchable store is empty. Run ingest first.", *warnings])
+            return Found(chunks.select(*columns, F.lit(0.0).alias("score"), F.lit(0).alias("rank")), ["nothing has been brought in yet", *warnings])
         seeds, added, expanded = self.expand(question, terms)
         vector = providers.embed_question(self.embedder, expanded, self.options.embedding.query_instruction)
         best = R.nearest(chunks, vector, "chunk_id", "vector", k=MOST_RESULTS, where=None if domain is None else F.col("source_domain") == domain)
@@ -289,7 +289,7 @@ class Tools:
         row = G.shortest_path(edges, source, target, most).first()
         if row is None:
             longer = G.shortest_path(edges, source, target, 4 * most).first() is not None
-            return {"path": [], "edges": [], "hops": 0} | ({"note": f"Path exceeds max_hops={most}"} if longer else {})
+            return {"path": [], "edges": [], "hops": 0} | ({"note": f"the shortest path has more than {most} steps"} if longer else {})
         path = row.path.split(">")
         return {"path": path, "edges": G.path_edges(edges, path), "hops": len(path) - 1}
 

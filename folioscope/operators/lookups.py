@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def non_empty(value: str, name: str) -> str:
     if not isinstance(value, str) or not value.strip():
-        raise ValueError(f"{name} must be non-empty.")
+        raise ValueError(f"{name} is empty")
     return value
 
 

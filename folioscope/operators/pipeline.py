@@ -27,6 +27,10 @@ CHUNKS = "chunk_id string, document_id string, source_rel_path string, source_pa
 MENTIONS = "chunk_id string, entity_id string, term_source string, surface_form string, start_char int, end_char int"
 PROFILES = "entity_id string, label string, entity_type string, domain string, aliases array<string>, summary string, llm_summary string, n_chunks long, n_sources long, n_mentions long, n_claims long, top_predicates array<struct<predicate:string,count:long>>, top_claims array<struct<claim_text:string,confidence:double,claim_type:string>>, pagerank double, betweenness double, closeness double, in_degree long, out_degree long, eigenvector double, community_id int, source_hash string, generated_at string"
 
+# What profiles and reports say.
+PROFILE_SENTENCE = "%s is a %s entity in the %s domain. It has %d mentions across %d chunks from %d source documents. Centrality: PageRank %d/%d | Betweenness %d/%d | Closeness %d/%d. Community: %s. Key relationships: %s. Key claims: %s."
+REPORT_SENTENCE = "Community %d contains %d entities. Top members: %s. Intra-community edges: %d. Key claims: %s."
+
 
 @dataclass
 class Options:
@@ -194,7 +198,7 @@ def profiles(definitions: DataFrame, stats: DataFrame, centrality: DataFrame, co
     rows = rows.withColumn("label", X.title_of_id("entity_id"))
     said = lambda items, most, show: F.coalesce(F.nullif(F.array_join(F.transform(F.slice(items, 1, most), show), "; "), F.lit("")), F.lit("none"))
     text = F.format_string(
-        "%s is a %s entity in the %s domain. It has %d mentions across %d chunks from %d source documents. Centrality: PageRank %d/%d | Betweenness %d/%d | Closeness %d/%d. Community: %s. Key relationships: %s. Key claims: %s.",
+        PROFILE_SENTENCE,
         "label", "kind", "domain", "n_mentions", "n_chunks", "n_sources", "rank_pagerank", F.lit(n_entities), "rank_betweenness", F.lit(n_entities), "rank_closeness", F.lit(n_entities),
         F.when(F.col("community_id").isNull(), "unassigned").otherwise(F.concat(F.col("community_id").cast("string"), F.lit(" ("), F.col("members").cast("string"), F.lit(" members)"))),
         said(F.col("top_predicates"), 5, lambda p: F.concat(p.predicate, F.lit(" ("), p["count"].cast("string"), F.lit(")"))), said(F.col("top_claims"), 3, lambda c: F.substring(c.claim_text, 1, 80)),
@@ -223,7 +227,7 @@ def community_reports(members: DataFrame, relations: DataFrame, claims: DataFram
     rows = rows.join(inner, "community_id", "left").fillna(0, ["inner_edges"]).join(told, "community_id", "left")
     names = F.array_join(F.transform(F.slice("top_entities", 1, 5), lambda x: X.title_of_id(x.entity_id)), ", ")
     claims_text = F.coalesce(F.nullif(F.array_join(F.transform(F.slice("top_claims", 1, 3), lambda c: F.substring(c.claim_text, 1, 60)), "; "), F.lit("")), F.lit("none"))
-    text = F.format_string("Community %d contains %d entities. Top members: %s. Intra-community edges: %d. Key claims: %s.", "community_id", "member_count", names, "inner_edges", claims_text)
+    text = F.format_string(REPORT_SENTENCE, "community_id", "member_count", names, "inner_edges", claims_text)
     return rows.withColumn("summary", text).withColumn("llm_summary", F.lit(None).cast("string")).withColumn("source_hash", ids.content_id(F.array_join("members", ","), F.array_join("hashes", ","))).withColumn("community_level", F.lit(0)).withColumn("generated_at", F.lit(now)).drop("hashes")
 
 

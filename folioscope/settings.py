@@ -94,6 +94,10 @@ class Reranker:
     host: str = "127.0.0.1"
     port: int = 8012
 
+    def address(self) -> str | None:
+        """Where the service is asked: the endpoint under the url, with one slash between them."""
+        return f"{self.url.rstrip('/')}/{self.endpoint.strip().lstrip('/')}" if self.url else None
+
     def check(self) -> None:
         """A service that is to be started must be the one that is asked."""
         if not self.auto_start:
@@ -245,9 +249,9 @@ def drift(now: dict[str, str], stored: dict[str, str]) -> list[str]:
     out = []
     for key, value in now.items():
         if key not in stored:
-            out.append(f"Committed ingest config is missing '{key}'.")
+            out.append(f"{key} was not kept by the last ingest")
         elif stored[key] != value:
-            out.append(f"Config drift: {key} stored={stored[key]} current={value}.")
+            out.append(f"{key} has changed since the last ingest: {stored[key]} then, {value} now")
     return out
 
 

@@ -139,7 +139,7 @@ def test_graph_and_tools(spark, corpus, tmp_path, terms):
     assert means.cases == 2 and means.mean_recall == 0.5 and means.mean_reciprocal_rank > 0
     tools.remembered = {"a": "1"}
     store.put("ingest_config", {"a": "2"}, DAY(1))
-    assert tools.drift() == ["Config drift: a stored=2 current=1."] and store.has_state()
+    assert tools.drift() == ["a has changed since the last ingest: 2 then, 1 now"] and store.has_state()
 
 
 def test_a_graph_beyond_the_bound(spark, tmp_path, monkeypatch, terms):
@@ -255,8 +255,9 @@ def test_settings_are_checked(tmp_path):
     for wrong in ({"profile": "a", "path": "b"}, {"profile": "none"}):
         with pytest.raises((ValueError, FileNotFoundError)):
             settings.load(tmp_path, **wrong)
+    assert settings.Reranker("http://h:1/", " v1/x").address() == "http://h:1/v1/x" and settings.Reranker().address() is None
     kept = settings.remembered(s)
-    assert settings.drift(kept, {}) == [] and settings.drift(kept, kept) == [] and settings.drift(kept, {k: v for k, v in kept.items() if k != "models.embed"}) == ["Committed ingest config is missing 'models.embed'."]
+    assert settings.drift(kept, {}) == [] and settings.drift(kept, kept) == [] and settings.drift(kept, {k: v for k, v in kept.items() if k != "models.embed"}) == ["models.embed was not kept by the last ingest"]
 
 
 def test_commands_and_server(spark, corpus, tmp_path):
@@ -280,7 +281,7 @@ def test_commands_and_server(spark, corpus, tmp_path):
     out = io.StringIO()
     serve(app, io.StringIO("\n".join(map(json.dumps, asked)) + "\nnot json\n"), out)
     got = [json.loads(line) for line in out.getvalue().splitlines()]
-    assert len(got[0]["result"]) == 20 and len(got[1]["result"]) == 2 and got[3]["error"] == "unknown tool: none" and "non-empty" in got[4]["error"] and "error" in got[5]
+    assert len(got[0]["result"]) == 20 and len(got[1]["result"]) == 2 and got[3]["error"] == "unknown tool: none" and "query is empty" in got[4]["error"] and "error" in got[5]
     assert {r["id"] for r in got[2]["result"]} >= {"taxonomy_type:side:kind", "pace map"}
 
 
