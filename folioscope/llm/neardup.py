@@ -16,6 +16,7 @@ then verified on the whole shingle sets. Texts with equal sets share a fingerpri
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,6 +40,8 @@ LEAF = 64
 BLOCK = 8192
 #: Shingles are split by their counters, which also count others, as long as this share of all shingles at most is copied by that.
 SPARE = 0.1
+#: Of the fingerprints in pairs 16 bits each are sent to all tasks, so that only their sets are shuffled; up to 2 to the power of this, 32 MB.
+MOST_BITS = 28
 #: Texts equal to the byte: up to this many are listed pair by pair, more of them each with the smallest id only.
 EXPAND = 1000
 WORDS = re.compile(r"[a-z0-9]+")
@@ -438,15 +441,36 @@ def _meet(routed: DataFrame, t: float, star: bool = False) -> DataFrame:
     return routed.repartition("k").sortWithinPartitions("k").mapInArrow(run, "fa long, fb long").distinct()
 
 
-def _sets(rows: DataFrame, words: int, least: int) -> DataFrame:
-    """Fingerprint and sorted shingle set of every text with enough shingles."""
+def _bitmap(marks: DataFrame) -> np.ndarray:
+    """A bit for each value of the low bits of the fingerprints f: about 16 bits a fingerprint, at most MOST_BITS in all."""
+    bits = 1 << min(MOST_BITS, max(16, math.ceil(math.log2(16 * max(1, marks.count())))))
+    part = 1 << 13
+
+    def pack(rows: pa.Table) -> pa.Table:
+        seen = np.zeros(part, bool)
+        seen[rows.column("at").to_numpy()] = True
+        return pa.table({"r": rows.column("r")[:1], "z": pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary())})
+
+    low = F.col("f").bitwiseAND(F.lit(bits - 1))
+    found = marks.select(F.floor(low / part).cast("int").alias("r"), (low % part).cast("int").alias("at")).distinct().groupBy("r").applyInArrow(pack, "r int, z binary").toArrow()
+    out = np.zeros((bits // part, part // 8), np.uint8)
+    for r, z in zip(found.column("r").to_pylist(), found.column("z").to_pylist()):
+        out[r] = np.frombuffer(z, np.uint8)
+    return out.ravel()
+
+
+def _sets(rows: DataFrame, words: int, least: int, bitmap) -> DataFrame:
+    """Fingerprint and sorted shingle set of every text with enough shingles whose fingerprint the bitmap may know."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(words, least)
+        make, known = Shingler(words, least), bitmap.value
         for batch in batches:
             _, offsets, value = make(batch.column(1).to_pylist())
+            mark = fingerprints(value, offsets)
+            at = mark & (8 * len(known) - 1)
             sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(fingerprints(value, offsets)), sets], ["f", "s"])
+            wanted = pa.array((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(mark), sets], ["f", "s"]).filter(wanted)
 
     return rows.mapInArrow(run, "f long, s array<bigint>")
 
@@ -489,7 +513,8 @@ class Search:
             routed = _split(routed, self.crowds)
         pairs = materialize(self._possible(_meet(routed, self.t, star)))
         wanted = materialize(pairs.select(F.col("fa").alias("f")).union(pairs.select("fb")).distinct())
-        sets = _sets(self.rows, self.words, self.least).join(broadcast_if_small(wanted), "f", "left_semi").dropDuplicates(["f"])
+        bitmap = self.rows.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+        sets = _sets(self.rows, self.words, self.least, bitmap).join(wanted, "f", "left_semi").dropDuplicates(["f"])
         both = pairs.join(sets.select(F.col("f").alias("fa"), F.col("s").alias("sa")), "fa").join(sets.select(F.col("f").alias("fb"), F.col("s").alias("sb")), "fb")
         links = both.withColumn("o", F.size(F.array_intersect("sa", "sb"))).withColumn("similarity", F.col("o") / (F.size("sa") + F.size("sb") - F.col("o")))
         return materialize(links.filter(F.col("similarity") >= self.t - 1e-12).select("fa", "fb", "similarity"))

@@ -210,6 +210,15 @@ def test_a_crowded_shingle_is_split(spark, monkeypatch):
     assert most(neardup._split(routed, by_counter)) <= 32
 
 
+def test_the_bitmap_knows_all_its_fingerprints(spark):
+    rng = np.random.default_rng(6)
+    marks = rng.integers(-(2**63), 2**63 - 1, 9000)
+    bitmap = neardup._bitmap(spark.createDataFrame([(int(f),) for f in marks], "f long"))
+    at = lambda f: (bitmap[(f & (8 * len(bitmap) - 1)) >> 3] >> ((f & 7).astype(np.uint8))) & 1 > 0
+    assert at(marks).all() and at(rng.integers(-(2**63), 2**63 - 1, 9000)).mean() < 0.1 and len(bitmap) == 1 << 15
+    assert not neardup._bitmap(spark.createDataFrame([], "f long")).any()
+
+
 def test_count_vectors_bound_the_overlap():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 3 * n, n)).astype(np.uint64) for n in (5, 60, 200, 900, 3000) for _ in range(3)]
