@@ -498,7 +498,7 @@ class Search:
         crowded = np.flatnonzero(most > BLOCK)
         if not len(crowded):
             return None
-        if (most[crowded] * (np.ceil(most[crowded] / BLOCK) - 1)).sum() <= SPARE * most.sum():
+        if np.isfinite(most).all() and (most[crowded] * (np.ceil(most[crowded] / BLOCK) - 1)).sum() <= SPARE * most.sum():
             rows = [(int(i), len(most) - 1, int(most[i])) for i in crowded]
             return self.rows.sparkSession.createDataFrame(rows, "at long, mask long, c long")
         crowds = materialize(_crowds(self.rows, self.order, self.t, self.words, self.least))
