@@ -96,6 +96,17 @@ def halves(text: str) -> list[str]:
     return parts if all(parts) else [text]
 
 
+def halved(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, part, part_text: the halves of each text; one that can't be cut is its only part, null gives none."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(k, i, part) for k, t in zip(pdf["k"], pdf["t"]) if isinstance(t, str) for i, part in enumerate(halves(t))], columns=["k", "part", "part_text"])
+
+    return rows.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, part int, part_text string").withColumnRenamed("k", key)
+
+
 def structured_chunks(text: str, size: int, least: int, count: Callable[[str], int], strategy: str = "hybrid") -> list[tuple[str, int, tuple[str, ...]]]:
     """(text with its headings, tokens, headings) of each chunk of a document.
 

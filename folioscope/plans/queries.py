@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope import ids
+from folioscope import ids, providers
 from folioscope.functions import text as X
 from folioscope.operators import chunking as K
 from folioscope.operators import corpus as C
@@ -17,6 +17,7 @@ from folioscope.operators import pipeline as P
 from folioscope.operators import retrieval as R
 from folioscope.operators import store as S
 from folioscope.session import table
+from folioscope.sources import corpus as N
 
 QUESTION = "How does the audience of a storyboard model learn from a shared narrative?"
 SEEDS = ["pacing_scaffold", "contrast_ladder", "caption_pattern"]
@@ -694,6 +695,75 @@ def term_table(spark: SparkSession, base: str) -> DataFrame:
     return M.term_table(rows.withColumnsRenamed({"alias": "aliases", "indicator": "indicators"}))
 
 
+# --- files ------------------------------------------------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, base: str) -> DataFrame:
+    """Files as a scan reads them, of the manifest's paths; each holds its own path."""
+    paths = _t(spark, base, "corpus_manifest").select("absolute_path").dropna().distinct()
+    return paths.select(F.concat(F.lit("file:"), F.replace("absolute_path", F.lit(" "), F.lit("%20"))).alias("path"), F.lit(7).cast("long").alias("length"), F.encode("absolute_path", "UTF-8").alias("content"))
+
+
+@query(r"""select distinct substr(absolute_path, length('/corpus/') + 1) as source_rel_path, absolute_path, case when lower(absolute_path) like '%.docling.json' then 'docling_json' when lower(absolute_path) like '%.docling.md' then 'docling_md' when lower(absolute_path) like '%.md' then 'markdown' when lower(absolute_path) like '%.png' then 'image_png' end as source_type,
+    translate(lower(split_part(substr(absolute_path, length('/corpus/') + 1), '/', 1)), '- ', '__') as source_domain, 7::bigint as file_size_bytes, sha256(absolute_path) as content_hash from corpus_manifest where absolute_path is not null and regexp_matches(lower(absolute_path), '\.(md|docling\.json|png)$')""")
+def scanned_files(spark: SparkSession, base: str) -> DataFrame:
+    return N.described(_files(spark, base), "/corpus")
+
+
+@query("""select chunk_id as source_rel_path, text, null::int as page_no from chunk_rows where text is not null and chunk_id < '8' union select chunk_id, case when text = '' then null when chunk_id < 'b' then '## ' || text || chr(10) || chr(10) || '- second' else text || chr(10) || chr(10) || '- second' end, 4 from chunk_rows where text is not null and chunk_id >= '8'""")
+def parsed_files(spark: SparkSession, base: str) -> DataFrame:
+    """Texts as the content of Markdown files and of structured JSON documents, read back."""
+    rows = _t(spark, base, "chunk_rows").dropna(subset=["chunk_id", "text"]).filter("text <> ''").select("chunk_id", "text").distinct()
+    item = lambda text, label: F.struct(text.alias("text"), label.alias("label"), F.lit(2).alias("level"), F.array(F.struct(F.lit(4).alias("page_no"))).alias("prov"))
+    label = F.when(F.col("chunk_id") < "b", "section_header").otherwise("text")
+    made = F.to_json(F.struct(F.lit("n").alias("name"), F.array(item(F.col("text"), label), item(F.lit("second"), F.lit("list_item"))).alias("texts")))
+    plain = F.col("chunk_id") < "8"
+    files = rows.select(F.col("chunk_id").alias("source_rel_path"), F.when(plain, "markdown").otherwise("docling_json").alias("source_type"), F.encode(F.when(plain, F.col("text")).otherwise(made), "UTF-8").alias("content"))
+    return N.documents(files).select("source_rel_path", "text", "page_no")
+
+
+@query("""with p as (select distinct source_rel_path from corpus_manifest where source_rel_path is not null), b as (select list_last(string_split(source_rel_path, '/')) as name, min(source_rel_path) as f from p group by 1 having count(*) = 1) select name as question, list_sort([f, 'nowhere ' || name])[1] as first, list_sort([f, 'nowhere ' || name])[2] as second from b""")
+def expected_sources(spark: SparkSession, base: str) -> DataFrame:
+    """Expected base names of an evaluation, resolved to the one path with this name; an unknown one stays."""
+    paths = _t(spark, base, "corpus_manifest").select("source_rel_path").dropna().distinct()
+    name = F.element_at(F.split("source_rel_path", "/"), -1)
+    cases = paths.groupBy(name.alias("question")).agg(F.count("*").alias("n")).filter("n = 1").select("question", F.array("question", F.concat(F.lit("nowhere "), "question")).alias("expected_source_files"), F.lit(None).cast("string").alias("domain"))
+    return N.resolve_expected(cases, paths).select("question", F.col("expected")[0].alias("first"), F.col("expected")[1].alias("second"))
+
+
+INK = r"length(regexp_replace(text, '[\s\x1c-\x1f\x{85}\p{Z}]+', '', 'g'))"
+
+
+@query(rf"select chunk_id, 2 as parts, {INK}::bigint as ink from (select distinct chunk_id, text from chunk_rows where text is not null and chunk_id is not null) where {INK} > 30")
+def halved_texts(spark: SparkSession, base: str) -> DataFrame:
+    """How many parts a text is halved into, and the characters of these that are no blanks."""
+    rows = _t(spark, base, "chunk_rows").dropna(subset=["chunk_id", "text"]).select("chunk_id", "text").distinct()
+    ink = F.length(F.regexp_replace("part_text", r"(?U)[\s\x1c-\x1f\x85]+", ""))
+    return K.halved(rows, "chunk_id", "text").groupBy("chunk_id").agg(F.count("*").cast("int").alias("parts"), F.sum(ink).alias("ink")).filter("ink > 30")
+
+
+@query(rf"select chunk_id, true as fits, {INK}::bigint as ink from (select distinct chunk_id, text from chunk_rows where text is not null and chunk_id is not null) where {INK} > 0")
+def embedded_parts(spark: SparkSession, base: str) -> DataFrame:
+    """Texts embedded by a model that takes forty words at most: whether all parts fit, and their characters that are no blanks."""
+    rows = _t(spark, base, "chunk_rows").dropna(subset=["chunk_id", "text"]).select("chunk_id", "text").distinct()
+    parts = K.embed_or_split(rows, "chunk_id", "text", providers.hashing_embedder(16, most=40), 16)
+    ink = F.length(F.regexp_replace("part_text", r"(?U)[\s\x1c-\x1f\x85]+", ""))
+    fits = (F.regexp_count(F.lower("part_text"), F.lit("[a-z0-9]+")) <= 40) & (F.size("vector") == 16)
+    return parts.groupBy("chunk_id").agg(F.bool_and(fits).alias("fits"), F.sum(ink).alias("ink")).filter("ink > 0")
+
+
+@query(f"with {RELATIONS} select distinct sha256(concat('entity', chr(0), chunk_id, chr(0), s, chr(0), p, chr(0), o)) as edge_key from r")
+def edge_keys(spark: SparkSession, base: str) -> DataFrame:
+    return _relations(spark, base).withColumn("origin", F.lit("entity")).select(ids.edge_key("origin", "chunk_id", "subject_entity_id", "predicate", "object_entity_id").alias("edge_key")).distinct()
+
+
+@query("""select distinct chunk_id, trim(citation_label || ' and ' || coalesce(embedding_model, '')) as answer from chunk_rows where citation_label is not null""")
+def without_thinking(spark: SparkSession, base: str) -> DataFrame:
+    """Answers of a model once what it thought aloud is gone."""
+    said = F.concat(F.lit("<think>a\nb</think> "), "citation_label", F.lit(" and <think></think>"), F.coalesce("embedding_model", F.lit("")), F.lit(" "))
+    return _t(spark, base, "chunk_rows").filter("citation_label is not null").select("chunk_id", X.without_thinking(said).alias("answer")).distinct()
+
+
 # --- extraction -------------------------------------------------------------------------------------------------------
 
 READY = f"{MENTIONS}, t as (select chunk_id, source_rel_path, document_id, text from (select *, row_number() over (partition by chunk_id order by source_rel_path nulls first, document_id nulls first, text) as n from chunk_rows where text is not null and chunk_id is not null) where n = 1), ready as (select t.*, x.es from t join (select chunk_id, list_sort(list(distinct e)) as es from m group by 1) x using (chunk_id))"

@@ -269,3 +269,4 @@ def set_logging(level: str = "INFO", form: str = "json") -> None:
     handler = logging.StreamHandler()
     handler.setFormatter(Lines() if form == "json" else logging.Formatter("%(asctime)s %(levelname)s %(name)s %(message)s"))
     logging.basicConfig(level=level.upper(), handlers=[handler], force=True)
+    logging.getLogger("py4j").setLevel("WARNING")
