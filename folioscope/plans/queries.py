@@ -752,6 +752,17 @@ def embedded_parts(spark: SparkSession, base: str) -> DataFrame:
     return parts.groupBy("chunk_id").agg(F.bool_and(fits).alias("fits"), F.sum(ink).alias("ink")).filter("ink > 0")
 
 
+@query(r"""with t as (select doc_id, list_filter(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda x: not regexp_matches(x, '^#{1,6}[ \t]+')) as ls from documents where text is not null and not contains(text, '```') and not contains(text, '~~~')),
+    n as (select doc_id, list_sum(list_transform(ls, lambda x: len(regexp_extract_all(x, '[^ \t\r\n]+'))))::bigint as words from t) select doc_id, words, true as fits from n where words > 0""")
+def structured_words(spark: SparkSession, base: str) -> DataFrame:
+    """Documents chunked by their structure: the words of all chunks without their headings, and whether each chunk fits."""
+    docs = _t(spark, base, "documents").filter("text is not null and not contains(text, '```') and not contains(text, '~~~')")
+    rows = K.chunk_documents(docs, "doc_id", "text", least=1)
+    heads = F.array_join(F.from_json("headings_json", "headings array<string>")["headings"], " ")
+    words = F.size(X.words_of("chunk_text")) - F.size(X.words_of(heads))
+    return rows.groupBy("doc_id").agg(F.sum(words).alias("words"), F.bool_and(F.col("n_tokens") <= 256).alias("fits")).filter("words > 0")
+
+
 @query(f"with {RELATIONS} select distinct sha256(concat('entity', chr(0), chunk_id, chr(0), s, chr(0), p, chr(0), o)) as edge_key from r")
 def edge_keys(spark: SparkSession, base: str) -> DataFrame:
     return _relations(spark, base).withColumn("origin", F.lit("entity")).select(ids.edge_key("origin", "chunk_id", "subject_entity_id", "predicate", "object_entity_id").alias("edge_key")).distinct()
