@@ -78,9 +78,9 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     pairs = edges.filter("src <> dst").select("src", "dst").distinct()
     at = lambda side: labels.select(F.col("id").alias(side), F.col("community").alias(f"c_{side}"))
     rows = pairs.join(at("src"), "src").join(at("dst"), "dst")
-    m = F.count("*").alias("m")
-    ends = rows.select(F.explode(F.array("c_src", "c_dst")).alias("c")).groupBy("c").agg(F.count("*").alias("d"))
-    return rows.agg(m, F.count_if(F.col("c_src") == F.col("c_dst")).alias("inner")).join(F.broadcast(ends.agg(F.sum(F.col("d").cast("double") * F.col("d")).alias("dd")))).select((F.col("inner") / F.col("m") - F.col("dd") / (4.0 * F.col("m") * F.col("m"))).alias("modularity"))
+    ends = rows.select(F.explode(F.array("c_src", "c_dst")).alias("c"), ((F.col("c_src") == F.col("c_dst")).cast("int")).alias("i")).groupBy("c").agg(F.count("*").alias("d"), F.sum("i").alias("i"))
+    sums = ends.agg((F.sum("d") / 2).alias("m"), (F.sum("i") / 2).alias("inner"), F.sum(F.col("d").cast("double") * F.col("d")).alias("dd"))
+    return sums.select((F.col("inner") / F.col("m") - F.col("dd") / (4.0 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -97,7 +97,9 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int | None = None,
     """id, rank: weights of parallel edges add up, and what has no way out is spread over all nodes.
 
     Runs until all ranks together move by less than `tol`, or for a given number of rounds. Every round leaves at most
-    `damping` of the last one's movement, so it ends."""
+    `damping` of the last one's movement, so it ends. What has no way out need not be spread round by round: it gives every node
+    the same, so that without it the limit differs by a factor only, and a given number of rounds is a sum of the flows of all
+    rounds, whose weights follow from how much of each flow ends there."""
     flat = materialize(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")))
     out = flat.groupBy("src").agg(F.sum("w").alias("total")).filter("total > 0")
     step = materialize(flat.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
@@ -106,18 +108,26 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int | None = None,
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
     ends = nodes.join(out.withColumnRenamed("src", "id").select("id", F.lit(True).alias("goes")), "id", "left")
-    rank = ends.select("id", "goes", F.lit(1.0 / n).alias("rank"), F.lit(None).cast("double").alias("was"))
-    r = 0
-    while r != rounds:
-        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("goes").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))  # one row, found in the same job
-        got = step.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("s")).withColumnRenamed("dst", "id")
-        both = rank.select("id", "goes", F.col("rank").alias("was")).join(got, "id", "left").join(F.broadcast(lost))
-        rank = both.select("id", "goes", (F.lit((1 - damping) / n) + F.col("lost") * (damping / n) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"), "was")
-        rank = materialize(rank)
-        r += 1
-        if rounds is None and r % TOGETHER == 0 and rank.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < tol:
-            break
-    return rank.select("id", "rank")
+    push = lambda rank: step.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("s")).withColumnRenamed("dst", "id")
+    flow, start = damping * F.coalesce("s", F.lit(0.0)), F.lit(1.0 / n)
+    if rounds is None:
+        rank = materialize(nodes.select("id", start.alias("rank"), F.lit(None).cast("double").alias("was")))
+        r = 0
+        while r % TOGETHER or not r or rank.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] >= tol:
+            rank = materialize(rank.select("id", F.col("rank").alias("was")).join(push(rank), "id", "left").select("id", (start + flow).alias("rank"), "was"))
+            r += 1
+        total = rank.agg(F.sum("rank")).first()[0]
+        return rank.select("id", (F.col("rank") / total).alias("rank"))
+    rank = materialize(ends.select("id", "goes", start.alias("rank"), F.array(start).alias("all")))
+    for _ in range(rounds):
+        rank = materialize(rank.select("id", "goes", "all").join(push(rank), "id", "left").select("id", "goes", flow.alias("rank"), F.concat("all", F.array(flow)).alias("all")))
+    stuck = [0.0] * (rounds + 1)
+    for row in rank.filter("goes is null").select(F.posexplode("all").alias("j", "x")).groupBy("j").agg(F.sum("x").alias("x")).collect():  # a row per round
+        stuck[row.j] = row.x
+    share = [1.0]
+    for _ in range(rounds):
+        share = [1 - damping + damping * sum(a * x for a, x in zip(share, stuck)), *share]
+    return rank.select("id", F.aggregate(F.zip_with("all", F.array(*map(F.lit, share)), lambda x, a: x * a), F.lit(0.0), lambda s, x: s + x).alias("rank"))
 
 
 def hops(edges: DataFrame, seeds: list[str], most: int = 3) -> DataFrame:

@@ -62,11 +62,13 @@ def top(rows: DataFrame, metric: str, limit: int = 20, key: str = "entity_id") -
 
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
     """One row: relations, evidence, claims, profiles, communities and reports."""
+    names = {"relations": "relations", "relation_evidence": "relation_evidence", "claims": "claims", "entity_profiles": "entity_profiles", "entity_communities": "communities", "community_reports": "community_reports"}
     out = None
-    for name, column in (("relations", "*"), ("relation_evidence", "*"), ("claims", "*"), ("entity_profiles", "*"), ("entity_communities", "community_id"), ("community_reports", "*")):
-        n = tables[name].agg((F.count("*") if column == "*" else F.count_distinct(column)).alias("communities" if name == "entity_communities" else name))
-        out = n if out is None else out.join(F.broadcast(n))  # one row each
-    return out
+    for table, name in names.items():
+        rows = tables[table].select(F.lit(name).alias("name"), (F.col("community_id") if table == "entity_communities" else F.lit(None)).cast("string").alias("c"))
+        out = rows if out is None else out.union(rows)
+    mine = lambda name: F.count_distinct(F.when(F.col("name") == name, F.col("c"))) if name == "communities" else F.count_if(F.col("name") == name)
+    return out.agg(*(mine(name).alias(name) for name in names.values()))
 
 
 def latest(runs: list[dict]) -> dict | None:

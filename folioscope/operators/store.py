@@ -84,8 +84,11 @@ def status(manifest: DataFrame, chunks: DataFrame, mentions: DataFrame) -> DataF
     """One row: files (deleted ones too), text files, assets, how many of each retrieval status, chunks and mentions."""
     live = F.col("lifecycle_status") != "deleted"
     role = lambda name: F.count_if(live & (F.col("retrieval_status") == name)).alias(name)
-    out = manifest.agg(F.count("*").alias("files"), F.count_if(live & (F.col("source_type") != "image_png")).alias("text_files"), F.count_if(live & (F.col("source_type") == "image_png")).alias("assets"), role("searchable"), role("asset_only"), role("not_searchable"))
-    return out.join(F.broadcast(chunks.agg(F.count("*").alias("chunks")))).join(F.broadcast(mentions.agg(F.count("*").alias("mentions"))))  # one row each
+    out = manifest.select(F.lit(0).alias("part"), "lifecycle_status", "source_type", "retrieval_status")
+    for part, rows in ((1, chunks), (2, mentions)):
+        out = out.union(rows.select(F.lit(part), *(F.lit(None).cast("string"),) * 3))
+    live = live & (F.col("part") == 0)
+    return out.agg(F.count_if(F.col("part") == 0).alias("files"), F.count_if(live & (F.col("source_type") != "image_png")).alias("text_files"), F.count_if(live & (F.col("source_type") == "image_png")).alias("assets"), role("searchable"), role("asset_only"), role("not_searchable"), F.count_if(F.col("part") == 1).alias("chunks"), F.count_if(F.col("part") == 2).alias("mentions"))
 
 
 def without_sources(tables: dict[str, DataFrame], paths: DataFrame) -> dict[str, DataFrame]:
