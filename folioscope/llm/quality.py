@@ -3,8 +3,9 @@
 Every line that is not blank is a step of the model; its states are prose, list, table and junk. What a line shows
 (length, words, share of function words, symbols, vowels, cells, bullets, repetition, ...) is put into bins, and each state
 has a distribution over the bins of every statistic. These distributions, the start and the steps between states are
-fitted by Baum-Welch to a bounded sample of the documents; a rough first guess per line (`guess`) only gives the states
-their names. The most likely sequence of states (Viterbi) labels the lines, and the shares of characters under each label
+fitted by Baum-Welch to all lines of all documents; a rough first guess per line (`guess`) only gives the states
+their names. Texts are measured once: what the model sees of their lines is kept, and each round adds up over it what it
+expects. The most likely sequence of states (Viterbi) labels the lines, and the shares of characters under each label
 make the kind of the document. Statistics that need known words or vowels count as unseen in a script that has none listed.
 Lines of a whole batch are measured at once, as arrays of code points, and the model steps through all documents together.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import pickle
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.neardup import mix64
+from folioscope.session import materialize
 
 PROSE, LIST, TABLE, JUNK = range(4)
 KINDS = ["prose", "list", "table", "junk"]
@@ -272,6 +274,44 @@ def binned(f: dict[str, np.ndarray]) -> list[tuple[np.ndarray, int]]:
     return out
 
 
+#: Number of bins of each statistic.
+SIZES = [size for _, size in binned(line_features([], np.zeros(0, np.uint64), np.zeros(0, np.int64)))]
+#: Statistics are looked up and counted in groups, as long as the bins of a group combine in at most this many ways.
+WAYS = 4096
+
+
+def _groups() -> list[list[int]]:
+    out, room = [], 0
+    for i, size in enumerate(SIZES):
+        if room < size + 1:
+            out, room = [*out, []], WAYS
+        out[-1].append(i)
+        room //= size + 1
+    return out
+
+
+GROUPS = _groups()
+
+
+@dataclass
+class Lines:
+    """What the model sees of n texts: per line its text, in order, and per group of statistics one number for its bins."""
+
+    doc: np.ndarray
+    codes: list[np.ndarray]
+    n: int
+
+
+def lines_of(f: dict[str, np.ndarray]) -> Lines:
+    bins, codes = binned(f), []
+    for group in GROUPS:
+        code = np.zeros(len(f["doc"]), np.int64)
+        for i in group:
+            code = code * (SIZES[i] + 1) + bins[i][0] + 1
+        codes.append(code.astype(np.uint16))
+    return Lines(f["doc"].astype(np.int32), codes, len(f["doc_words"]))
+
+
 @dataclass
 class Model:
     """Logarithms: start of each state, step from state to state, and per statistic the chance of each bin under each state."""
@@ -280,54 +320,67 @@ class Model:
     step: np.ndarray
     bins: list[np.ndarray]
 
-    def score(self, f: dict[str, np.ndarray]) -> np.ndarray:
+    def score(self, lines: Lines) -> np.ndarray:
         """Log-likelihood of what each line shows under each state; a statistic that says nothing counts alike for all."""
-        out = np.zeros((len(f["doc"]), 4))
-        for (at, _), table in zip(binned(f), self.bins):
-            out += np.vstack([table, np.zeros(4)])[at]
+        out = np.zeros((len(lines.doc), 4))
+        for group, code in zip(GROUPS, lines.codes):
+            table = np.zeros((1, 4))
+            for i in group:
+                table = (table[:, None] + np.vstack([np.zeros(4), self.bins[i]])).reshape(-1, 4)
+            out += table[code]
         return out
 
 
 def posterior(doc: np.ndarray, score: np.ndarray, n: int, start: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chance of each state of every line, and how often each step is expected, by the forward and backward pass."""
     lines = np.bincount(doc, minlength=n)
-    offset = np.cumsum(lines) - lines
     order = np.argsort(-lines, kind="stable")
-    order = order[lines[order] > 0]
-    seen = np.exp(score - score.max(1, keepdims=True))
-    ahead, back, steps, move = np.zeros_like(seen), np.ones_like(seen), np.zeros((4, 4)), np.exp(step)
-    longest = int(lines.max(initial=0))
-    live = [order[: int(np.searchsorted(-lines[order], -k, side="left"))] for k in range(longest)]
-    for k in range(longest):
-        at = offset[live[k]] + k
-        ahead[at] = seen[at] * (np.exp(start) if not k else ahead[at - 1] @ move)
-        ahead[at] /= ahead[at].sum(1, keepdims=True)
-    for k in range(longest - 1, 0, -1):
-        at = offset[live[k]] + k
-        after = seen[at] * back[at]
-        back[at - 1] = after @ move.T
-        joint = ahead[at - 1][:, :, None] * move * after[:, None, :]
-        steps += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-        back[at - 1] /= back[at - 1].sum(1, keepdims=True)
-    out = ahead * back
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    # all first lines stand together, then all second ones, ..., each time those of longer documents before others
+    nth = np.arange(len(doc)) - (np.cumsum(lines) - lines)[doc]
+    live = np.bincount(nth)
+    base = np.cumsum(live) - live
+    place = base[nth] + rank[doc]
+    seen, move = np.empty((4, len(doc))), np.exp(step)
+    seen[:, place] = np.exp(score - score.max(1, keepdims=True)).T
+    ahead, back = np.empty_like(seen), np.ones_like(seen)
+    spans = list(zip(base.tolist(), (base + live).tolist()))
+    for k, (lo, hi) in enumerate(spans):
+        if k:
+            before = spans[k - 1][0]
+            now = seen[:, lo:hi] * (move.T @ ahead[:, before : before + hi - lo])
+        else:
+            now = seen[:, lo:hi] * np.exp(start)[:, None]
+        ahead[:, lo:hi] = now / now.sum(0)
+    for k in range(len(spans) - 1, 0, -1):
+        (lo, hi), before = spans[k], spans[k - 1][0]
+        now = move @ (seen[:, lo:hi] * back[:, lo:hi])
+        back[:, before : before + hi - lo] = now / now.sum(0)
+    later = np.arange(live[0], len(doc)) if len(doc) else np.zeros(0, np.int64)
+    earlier, after = ahead[:, later - np.repeat(live[:-1], live[1:])], (seen * back)[:, later]
+    steps = move * (earlier @ (after / ((move.T @ earlier) * after).sum(0)).T)
+    out = (ahead * back)[:, place].T
     return out / np.maximum(out.sum(1, keepdims=True), 1e-300), steps
 
 
 #: Lines that count as seen before any is, so that nothing is impossible, and the share of a state's lines that are taken
-#: from all states alike: a bin that no line of the sample has then speaks for no state.
+#: from all states alike: a bin that no line has then speaks for no state.
 PRIOR, BLEND = 0.5, 0.002
 
 
 #: Texts are measured together up to about this many characters, which keeps the arrays in the cache.
 TOGETHER = 150_000
+#: What is kept of the lines is kept in blocks of texts of up to about this many characters, where a line counts as so many more.
+BLOCK, LINE = 2_000_000, 40
 
 
-def portions(texts: list[str]) -> Iterator[list[str]]:
+def portions(texts: list[str], most: int = TOGETHER, line: int = 0) -> Iterator[list[str]]:
     part, size = [], 0
     for text in texts:
         part.append(text)
-        size += len(text)
-        if size > TOGETHER:
+        size += len(text) + (line * (text.count("\n") + text.count("\r")) if line else 0)
+        if size > most:
             yield part
             part, size = [], 0
     if part:
@@ -345,26 +398,60 @@ def features_of(texts: list[str], common: np.ndarray, scripts: np.ndarray) -> di
     return {k: np.concatenate([f[k] for f in parts]) for k in parts[0]} if parts else line_features([], common, scripts)
 
 
-def fit(texts: list[str], common: np.ndarray, scripts: np.ndarray, rounds: int = 8, tol: float = 1e-3) -> Model:
-    """Baum-Welch on the lines of some texts, until the chances move by less than `tol` on average, at most `rounds` times."""
+def counted(lines: Lines, chance: np.ndarray, steps: np.ndarray, moved: float = 0.0) -> np.ndarray:
+    """What lines add to the model, to be summed: chances of the states by bin of each statistic and on first lines, steps,
+    by how much all chances moved, number of lines."""
+    parts = []
+    for group, code in zip(GROUPS, lines.codes):
+        shape = [SIZES[i] + 1 for i in group]
+        seen = np.stack([np.bincount(code, chance[:, k], minlength=int(np.prod(shape))) for k in range(4)], 1).reshape(*shape, 4)
+        parts += [seen.sum(tuple(b for b in range(len(group)) if b != a))[1:].ravel() for a in range(len(group))]
+    first = np.flatnonzero(np.diff(lines.doc, prepend=-1))
+    return np.concatenate([*parts, chance[first].sum(0), steps.ravel(), [moved, len(lines.doc)]])
+
+
+def guessed(f: dict[str, np.ndarray], lines: Lines) -> np.ndarray:
+    return counted(lines, *posterior(lines.doc, guess(f), lines.n, START, STEP))
+
+
+def expected(lines: Lines, model: Model, before: Model | None) -> np.ndarray:
+    chance, steps = posterior(lines.doc, model.score(lines), lines.n, model.start, model.step)
+    was = chance if before is None else posterior(lines.doc, before.score(lines), lines.n, before.start, before.step)[0]
+    return counted(lines, chance, steps, np.abs(chance - was).sum())
+
+
+def model_of(counts: np.ndarray) -> Model:
+    *bins, start, steps = np.split(counts[:-2], np.cumsum([4 * size for size in SIZES] + [4]))
+    tables = []
+    for seen in (x.reshape(-1, 4) for x in bins):
+        common_to_all = seen.sum(1, keepdims=True) + PRIOR
+        seen = seen + (BLEND * seen.sum(0) + PRIOR) * common_to_all / common_to_all.sum()
+        tables.append(np.log(seen / seen.sum(0)))
+    start, steps = start + PRIOR, steps.reshape(4, 4) + PRIOR
+    return Model(np.log(start / start.sum()), np.log(steps / steps.sum(1, keepdims=True)), tables)
+
+
+#: Baum-Welch goes on until the chances move by less than TOL on average from one model to the next, at most for ROUNDS models.
+ROUNDS, TOL = 8, 1e-3
+
+
+def settled(counts: np.ndarray, expect: Callable[[Model, Model | None], np.ndarray], rounds: int = ROUNDS, tol: float = TOL) -> Model:
+    """The model that the rounds lead to from the counts of the guess. expect: counts of all lines by a model, and how the
+    chances moved since the model before it."""
+    model, before = model_of(counts), None
+    for _ in range(rounds - 1 if counts[-1] else 0):
+        counts = expect(model, before)
+        if before and counts[-2] < tol * 4 * counts[-1]:
+            break
+        model, before = model_of(counts), model
+    return model
+
+
+def fit(texts: list[str], common: np.ndarray, scripts: np.ndarray, rounds: int = ROUNDS, tol: float = TOL) -> Model:
+    """Baum-Welch on the lines of some texts."""
     f = features_of(texts, common, scripts)
-    n, bins, first = len(texts), binned(f), np.flatnonzero(np.concatenate([[True], np.diff(f["doc"]) > 0]))[: len(f["doc"])]
-    chance, steps = posterior(f["doc"], guess(f), n, START, STEP)
-    while True:
-        tables = []
-        for at, size in bins:
-            seen = np.stack([np.bincount(at[at >= 0], chance[at >= 0, k], minlength=size) for k in range(4)], 1)
-            common_to_all = seen.sum(1, keepdims=True) + PRIOR
-            seen = seen + (BLEND * seen.sum(0) + PRIOR) * common_to_all / common_to_all.sum()
-            tables.append(np.log(seen / seen.sum(0)))
-        start = chance[first].sum(0) + PRIOR
-        steps = steps + PRIOR
-        model = Model(np.log(start / start.sum()), np.log(steps / steps.sum(1, keepdims=True)), tables)
-        was = chance
-        chance, steps = posterior(f["doc"], model.score(f), n, model.start, model.step)
-        rounds -= 1
-        if rounds <= 0 or np.abs(chance - was).mean() < tol:
-            return model
+    lines = lines_of(f)
+    return settled(guessed(f, lines), lambda model, before: expected(lines, model, before), rounds, tol)
 
 
 def viterbi(doc: np.ndarray, score: np.ndarray, n: int, start: np.ndarray = START, step: np.ndarray = STEP) -> np.ndarray:
@@ -399,81 +486,103 @@ def viterbi(doc: np.ndarray, score: np.ndarray, n: int, start: np.ndarray = STAR
     return state
 
 
-def measure(texts: list[str], common: np.ndarray, scripts: np.ndarray, model: Model) -> dict[str, np.ndarray]:
-    """Statistics and kind of each of the texts, which must not be blank."""
-    f = line_features(texts, common, scripts)
-    n = len(texts)
-    state = viterbi(f["doc"], model.score(f), n, model.start, model.step)
-    shares = np.zeros((n, 4))
-    np.add.at(shares, (f["doc"], state), f["chars"])
-    shares /= np.maximum(shares.sum(1, keepdims=True), 1)
-    kind = np.where(shares[:, JUNK] > 0.5, JUNK, np.where(shares[:, LIST] > 0.5, LIST, np.where(shares[:, TABLE] > 0.5, TABLE, PROSE)))
+def statistics(f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The plain statistics of each text."""
+    n, words = len(f["doc_words"]), np.maximum(f["doc_words"], 1)
     lines = np.bincount(f["doc"], minlength=n)
-    words = np.maximum(f["doc_words"], 1)
     return {
         "n_lines": lines, "n_words": f["doc_words"].astype(np.int64), "mean_word_length": f["doc_word_chars"] / words, "symbol_ratio": f["doc_symbols"] / np.maximum(f["doc_solid"], 1),
         "punctuated_lines": np.bincount(f["doc"], f["ends"], minlength=n) / np.maximum(lines, 1), "common_words": f["doc_common"] / words,
-        "prose_share": shares[:, PROSE], "list_share": shares[:, LIST], "table_share": shares[:, TABLE], "junk_share": shares[:, JUNK], "kind": np.array(KINDS)[kind],
     }
 
 
+def judged(lines: Lines, chars: np.ndarray, model: Model) -> dict[str, np.ndarray]:
+    """Shares of the characters under each state and the kind of each text, null without lines. chars: those of each line."""
+    state = viterbi(lines.doc, model.score(lines), lines.n, model.start, model.step)
+    shares = np.zeros((lines.n, 4))
+    np.add.at(shares, (lines.doc, state), chars)
+    shares /= np.maximum(shares.sum(1, keepdims=True), 1)
+    kind = np.where(shares[:, JUNK] > 0.5, JUNK, np.where(shares[:, LIST] > 0.5, LIST, np.where(shares[:, TABLE] > 0.5, TABLE, PROSE)))
+    named = np.where(np.bincount(lines.doc, minlength=lines.n) > 0, np.array(KINDS, object)[kind], None)
+    return {"prose_share": shares[:, PROSE], "list_share": shares[:, LIST], "table_share": shares[:, TABLE], "junk_share": shares[:, JUNK], "kind": named}
+
+
+def measure(texts: list[str], common: np.ndarray, scripts: np.ndarray, model: Model) -> dict[str, np.ndarray]:
+    """Statistics and kind of each of the texts."""
+    f = features_of(texts, common, scripts)
+    return statistics(f) | judged(lines_of(f), f["chars"], model)
+
+
 SCHEMA = "n_lines long, n_words long, mean_word_length double, symbol_ratio double, punctuated_lines double, common_words double, prose_share double, list_share double, table_share double, junk_share double, kind string"
-#: The model is fitted to about this many documents, drawn by a hash of key and text, of each up to the first so many characters.
-FIT_DOCUMENTS, FIT_CHARACTERS = 3000, 20_000
 
 
 def _good(text: str | None) -> bool:
     return bool(text) and not text.isspace()
 
 
-def fitted(rows: DataFrame, common: np.ndarray, scripts: np.ndarray, documents: int = FIT_DOCUMENTS) -> Model:
-    """The model, fitted in one task to a sample of rows (__key, __text): all of them, or about `documents` by a seeded hash."""
-    n = rows.count()
-    draw = F.xxhash64(F.lit(8), F.col("__key").cast("string"), "__text")
-    sample = rows.filter("__text is not null").withColumn("__draw", draw)
-    if n > documents:
-        sample = sample.filter(F.pmod("__draw", F.lit(1 << 40)) < int((1 << 40) * documents / n))
-    sample = sample.select("__draw", F.substring("__text", 1, FIT_CHARACTERS).alias("__text"))
+def measured(rows: DataFrame, common: np.ndarray, scripts: np.ndarray) -> DataFrame:
+    """Blocks of rows (__key, __text): the keys, the Lines, the characters of each line with the statistics, the counts of the guess."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drawn = sorted((d, t) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if _good(t))
-        if drawn:
-            model = fit([t for _, t in drawn], common, scripts)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.start, model.step, model.bins))], pa.binary())], ["model"])
+        for batch in batches:
+            done = 0
+            for part in portions([t if _good(t) else "" for t in batch.column(1).to_pylist()], BLOCK, LINE):
+                f = features_of(part, common, scripts)
+                lines = lines_of(f)
+                keys = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), batch.column(0).slice(done, len(part)))
+                kept = (pickle.dumps((lines.doc, lines.codes, lines.n)), pickle.dumps((f["chars"].astype(np.int32), statistics(f))), guessed(f, lines).tobytes())
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array([x], pa.binary()) for x in kept)], ["keys", "lines", "rest", "counts"])
+                done += len(part)
+
+    return rows.mapInArrow(run, f"keys array<{rows.schema['__key'].dataType.simpleString()}>, lines binary, rest binary, counts binary")
+
 
-    found = sample.repartition(1).mapInArrow(run, "model binary").collect() if documents > 0 else []  # a few KB
-    return Model(*pickle.loads(found[0].model)) if found else fit([], common, scripts)  # noqa: S301 (written above)
+def added(blocks: DataFrame, column: str, count: Callable[[bytes], np.ndarray]) -> np.ndarray:
+    """Sum over all blocks of the counts made from a column; a row of a few KB per partition comes to the driver, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column(0):
+                total = count(x.as_py()) + (0 if total is None else total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
 
+    found = blocks.select(column).mapInArrow(run, "counts binary").collect()
+    return sum((np.frombuffer(r.counts) for r in found), np.zeros(4 * sum(SIZES) + 4 + 16 + 2))
 
-def text_quality(df: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", word: str = "word", fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
+
+def fitted(blocks: DataFrame) -> Model:
+    """The model, fitted to the lines of all blocks."""
+
+    def expect(model: Model, before: Model | None) -> np.ndarray:
+        return added(blocks, "lines", lambda x: expected(Lines(*pickle.loads(x)), model, before))  # noqa: S301 (written by measured)
+
+    return settled(added(blocks, "counts", np.frombuffer), expect)
+
+
+def text_quality(df: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", word: str = "word") -> DataFrame:
     """A row per row of df: the key and SCHEMA. Null and blank texts have counts and ratios of 0 and the kind null.
 
     Words are runs of letters and digits. The common words are a hand-written list of a few languages, all used for
     every text, whatever language it claims to be in; a script in which none is written is judged by the other statistics.
-    All documents are measured by a model that is fitted to `fit_documents` of them. No shuffle of texts takes place; other
-    columns are not carried."""
+    All documents are measured by a model that is fitted to all of them, whole. Texts are read once and not shuffled: what
+    is kept of their lines is materialized, and every round of the fit reads it. Other columns are not carried."""
     listed = common_words.select(F.lower(word).alias("w")).filter("w is not null").distinct().limit(100_001).collect()
     if len(listed) > 100_000:
         raise ValueError("common words are meant to be a short list")
     table, scripts = hash_words(sorted(r.w for r in listed)), scripts_of([r.w for r in listed])
     rows = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    model = fitted(rows, table, scripts, fit_documents)
+    blocks = materialize(measured(rows, table, scripts))
+    model = fitted(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            good = [i for i, t in enumerate(texts) if _good(t)]
-            parts = [measure(part, table, scripts, model) for part in portions([texts[i] for i in good])]
-            columns = []
-            for name in names:
-                if name == "kind":
-                    value = np.full(len(texts), None, object)
-                else:
-                    value = np.zeros(len(texts), np.int64 if name in ("n_lines", "n_words") else np.float64)
-                if parts:
-                    value[good] = np.concatenate([p[name] for p in parts])
-                columns.append(pa.array(value, pa.string() if name == "kind" else None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["__key", *names])
-
-    return rows.mapInArrow(run, f"__key {rows.schema['__key'].dataType.simpleString()}, {SCHEMA}").withColumnRenamed("__key", key)
+            for keys, kept, rest in zip(*batch.columns):
+                lines, (chars, values) = Lines(*pickle.loads(kept.as_py())), pickle.loads(rest.as_py())  # noqa: S301 (written by measured)
+                values |= judged(lines, chars, model)
+                columns = [pa.array(values[name], pa.string() if name == "kind" else None) for name in names]
+                yield pa.RecordBatch.from_arrays([keys.values, *columns], ["__key", *names])
+
+    return blocks.select("keys", "lines", "rest").mapInArrow(run, f"__key {rows.schema['__key'].dataType.simpleString()}, {SCHEMA}").withColumnRenamed("__key", key)

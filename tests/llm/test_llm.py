@@ -473,6 +473,34 @@ def test_kinds_of_text():
         assert got == [kind] * len(texts), (kind, got)
 
 
+def vague(rng):
+    """Lines that could be of several kinds, so that their labels hang on all that the model is fitted to."""
+    words = [*ENGLISH[: rng.randrange(1, 20)], *WORDS]
+    line = lambda: rng.choice(["", "", "- ", "1. "]) + rng.choice([" ", ", ", "; ", " | "]).join(rng.choices(words, k=rng.randrange(1, 14))) + rng.choice(["", "", ".", "!"])
+    return "\n".join(line() for _ in range(rng.randrange(1, 7)))
+
+
+def long_texts():
+    """Texts that go on with bare words after more than 20,000 characters of other lines, among short ones."""
+    rng, short = random.Random(4), corpus_for_fit()
+    heads = ["\n".join(rng.choices(short[:200], k=120))[:21_000] for _ in range(4)]
+    return short + ["\n".join([head, *(" ".join(rng.choices(WORDS, k=6)) for _ in range(600))]) for head in heads]
+
+
+@pytest.mark.parametrize("draw", [lambda: [vague(random.Random(i)) for i in range(4000)], long_texts], ids=["many", "long"])
+def test_model_is_fitted_to_all_lines_of_all_documents(spark, monkeypatch, draw):
+    monkeypatch.setattr(quality, "BLOCK", 40_000, raising=False)  # many blocks in each partition
+    texts = draw()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in quality.text_quality(docs, spark.createDataFrame([(w,) for w in ENGLISH], "word string")).collect()}
+    table, scripts = quality.hash_words(ENGLISH), quality.scripts_of(ENGLISH)
+    want = quality.measure(texts, table, scripts, quality.fit(texts, table, scripts))
+    assert sorted(got) == list(range(len(texts)))
+    assert [i for i in got if got[i].kind != want["kind"][i]] == []
+    for name in ("prose_share", "list_share", "table_share", "junk_share"):
+        assert [got[i][name] for i in range(len(texts))] == pytest.approx(list(want[name]))
+
+
 def test_fit_equals_forward_and_backward_by_brute_force():
     rng = np.random.default_rng(5)
     doc, score = np.array([0, 0, 0, 2, 2, 3]), rng.standard_normal((6, 4))
